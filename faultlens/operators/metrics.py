@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultlens import constants as K
 from faultlens.functions import naming
 from faultlens.functions.text import fixed
+from faultlens.plans.materialize import materialize
 from faultlens.plans.ordering import numbered
 from faultlens.plans.quantile import exact_median
 
@@ -20,11 +21,15 @@ def mean_std(value: str = "value") -> dict[str, Column]:
 
 
 def series_stats(points: DataFrame) -> DataFrame:
-    """n, mean, std, median and MAD of every series in `points`."""
-    center = exact_median(points, METRIC, "value", "median", extra=mean_std())
+    """n, mean, std, median and MAD of every series in `points`.
+
+    The values are read four times (sketch and ranks, around zero and around the median), so they are
+    written once, in three columns; the centre, one row per series, likewise.
+    """
+    values = materialize(points.select(*METRIC, "value"), "series")
+    center = materialize(exact_median(values, METRIC, "value", "median", extra=mean_std()), "series-centre")
     spread = (
-        points.select(*METRIC, "value")
-        .join(center.select(*METRIC, "median"), METRIC)
+        values.join(center.select(*METRIC, "median"), METRIC)
         .select(*METRIC, F.abs(F.col("value") - F.col("median")).alias("deviation"))
     )
     mad = exact_median(spread, METRIC, "deviation", "mad").drop("n")

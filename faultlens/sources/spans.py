@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import constants as K
@@ -16,21 +16,17 @@ SPANS = (
 )
 
 
-def clean_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """Trim parent ids, drop the spellings of "none", and number spans that came without an id.
+def clean_ids(df: DataFrame, order: list[str], chunk: Column) -> DataFrame:
+    """Trim parent ids, drop the spellings of "none", and name spans that came without an id `{trace}_{n}`.
 
-    A missing span id becomes `{trace}_{n}`, n being the span's place in its trace; places are only
-    computed for traces that need them.
+    n is the span's place in its trace; long traces are numbered piece by piece (`chunk` follows `order`).
     """
     cleaned = df.withColumn("parent_id", S.clean_parent(F.col("parent_id")))
-    place = Window.partitionBy("case_id", "trace_id").orderBy(*order)
-    return cleaned.withColumn(
-        "span_id",
-        F.coalesce(
-            F.nullif(F.trim("span_id"), F.lit("")),
-            F.concat("trace_id", F.lit("_"), (F.row_number().over(place) - 1).cast("string")),
-        ),
-    )
+    placed = numbered(cleaned, ["case_id", "trace_id"], order, chunk, "__n")
+    own = F.nullif(F.trim("span_id"), F.lit(""))
+    return placed.withColumn(
+        "span_id", F.coalesce(own, F.concat("trace_id", F.lit("_"), F.col("__n").cast("string")))
+    ).drop("__n")
 
 
 def read_spans(spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "folders") -> DataFrame:
@@ -77,10 +73,4 @@ def read_spans(spark: SparkSession, root: str, fmt: str = "parquet", layout: str
         return rows.withColumn(
             "span_id", F.when(bare, F.concat("trace_id", F.lit("_"), F.col("seq").cast("string"))).otherwise(F.col("span_id"))
         )
-    return number_spans(rows)
-
-
-def number_spans(rows: DataFrame) -> DataFrame:
-    """Span ids `{trace}_{n}` for files without any; long traces are numbered piece by piece."""
-    placed = numbered(rows, ["case_id", "trace_id"], ["start_us", "seq"], F.floor(F.col("start_us") / F.lit(1_000_000)), "__n")
-    return placed.withColumn("span_id", F.concat("trace_id", F.lit("_"), F.col("__n").cast("string"))).drop("__n")
+    return clean_ids(rows, ["start_us", "seq"], F.floor(F.col("start_us") / F.lit(1_000_000)))

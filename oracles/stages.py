@@ -123,7 +123,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
 STAGES["p_logs"] = f"SELECT * FROM (SELECT *, {PHASE} AS phase FROM v_logs) WHERE phase IS NOT NULL"
 STAGES["points"] = f"SELECT * FROM (SELECT *, {PHASE} AS phase FROM v_points) WHERE phase IS NOT NULL"
 STAGES["lines"] = """
-SELECT *, concat('[', strftime(make_timestamp(us), CASE WHEN us % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END),
+SELECT *, concat('[', CASE WHEN us % 1000000 = 0 THEN strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') ELSE strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') END,
                  '+00:00] ', message) AS line,
        row_number() OVER (PARTITION BY case_id, phase, service ORDER BY ts, seq) - 1 AS line_no
 FROM (SELECT *, CAST(round(ts * 1000000) AS BIGINT) AS us FROM p_logs)"""
@@ -198,7 +198,7 @@ FROM (SELECT case_id, service, count(*) AS snippets,
              count(*) FILTER (WHERE {any_of('lower(target_line)', K.INFRA_PHRASES)}) AS infra_hits,
              count(*) FILTER (WHERE {any_of('lower(target_line)', K.SILENT_PHRASES)}) AS silent_hits,
              concat('--- Service: ', service, ' ---', {NL}, string_agg(block, {NL} || {NL} ORDER BY line_number)) AS txt
-      FROM snips GROUP BY ALL) s JOIN novels n USING (case_id, service)"""
+      FROM snips GROUP BY case_id, service) s JOIN novels n USING (case_id, service)"""
 STAGES["ranked_ev"] = """
 SELECT *, row_number() OVER w AS budget_rank, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS used
 FROM evidence WINDOW w AS (PARTITION BY case_id ORDER BY snippets DESC, novel_templates DESC, service)"""
@@ -499,7 +499,7 @@ SELECT *, {bucket_sql('top1_hit', 'top3_hit', 'fault_match')} AS error_bucket FR
 # --- context --------------------------------------------------------------------------------
 STAGES["topology"] = f"""
 SELECT case_id, concat('### Service Dependency Graph (Caller -> Callees):', {NL}, string_agg(concat('- ', caller, ' ➔ [', c, ']'), {NL} ORDER BY caller)) AS topology
-FROM (SELECT case_id, caller, string_agg(callee, ', ' ORDER BY callee) AS c FROM edges GROUP BY ALL) GROUP BY ALL"""
+FROM (SELECT case_id, caller, string_agg(callee, ', ' ORDER BY callee) AS c FROM edges GROUP BY ALL) GROUP BY case_id"""
 STAGES["parts"] = f"""
 SELECT c.case_id, c.mode, concat('### Incident Reference ID: INC-', upper(substr(sha256(c.case_id), 1, 8))) AS header,
        CASE WHEN c.mode IN ('logs-traces', 'fusion') THEN CASE WHEN p.topology IS NULL THEN t.text ELSE concat(p.topology, {NL}, {NL}, t.text) END END AS tr,
@@ -525,19 +525,20 @@ FROM (SELECT *, concat_ws({NL} || {NL}, header, trace_section, metric_section, l
 
 
 def oracle(query: str) -> str:
-    """Query preceded by the stages it needs, in dependency order."""
-    needed: list[str] = []
+    """Query preceded by the stages it needs; stages are declared in dependency order."""
+    wanted: set[str] = set()
 
     def visit(text: str) -> None:
         for name in STAGES:
-            if name not in needed and name not in open_names and re.search(rf"\b{name}\b", text):
-                open_names.append(name)
+            if name not in wanted and re.search(rf"\b{name}\b", text):
+                wanted.add(name)
                 visit(STAGES[name])
-                needed.append(name)
 
-    open_names: list[str] = []
     visit(query)
-    if not needed:
+    if not wanted:
         return query
-    body = ",\n".join(f"{n} AS ({STAGES[n]})" for n in needed)
-    return f"WITH RECURSIVE {body}\n{query}"
+    body = ",\n".join(f"{n} AS ({STAGES[n]})" for n in STAGES if n in wanted)
+    own = query.strip()
+    if own.startswith("WITH "):
+        return f"WITH RECURSIVE {body},\n{own[5:]}"
+    return f"WITH RECURSIVE {body}\n{own}"

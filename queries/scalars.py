@@ -227,7 +227,7 @@ def clean_ids(spark, sf):
         "CASE WHEN l_quantity > 25 THEN concat('s', CAST(l_partkey AS STRING)) END AS span_id",
         f"{PARENT} AS parent_id", "struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place",
     )
-    return clean(d, ["place"]).groupBy("l_orderkey", "span_id").agg(
+    return clean(d, ["place"], F.col("place.l_linenumber")).groupBy("l_orderkey", "span_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("parent_id").alias("with_parent")
     )
 
