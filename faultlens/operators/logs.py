@@ -79,7 +79,10 @@ def novel_counts(annotated: DataFrame) -> DataFrame:
 
 
 def with_positions(annotated: DataFrame) -> DataFrame:
-    """Add what windows and contexts need: the previous candidate and a count of non-probe lines."""
+    """Add what windows and contexts need: the previous candidate and a count of non-probe lines.
+
+    Windows, contexts and counts all read the result, so it is written to the shared folder.
+    """
     is_candidate = F.col("keyword").isNotNull() | F.col("is_novel")
     return running(
         annotated,
@@ -88,6 +91,7 @@ def with_positions(annotated: DataFrame) -> DataFrame:
         line_chunk(),
         sums={"solid_upto": F.when(F.col("probe"), 0).otherwise(1).cast("bigint")},
         prior_max={"previous_candidate": F.when(is_candidate, F.col("line_no"))},
+        store="positioned",
     )
 
 

@@ -205,10 +205,13 @@ def bottlenecks(timed: DataFrame, p99: DataFrame) -> DataFrame:
     return mark_bottlenecks(timed, p99).filter("is_bottleneck")
 
 
-def span_facts(incident: DataFrame, baseline: DataFrame, with_path: bool = False) -> DataFrame:
-    """One row per incident span with every fact later steps use; written once, read many times."""
-    marked = mark_roots(link_spans(with_error_facts(incident)))
-    marked = materialize(marked, "links")
+def span_facts(spans: DataFrame, with_path: bool = False) -> DataFrame:
+    """One row per incident span with every fact later steps use; written once, read many times.
+
+    Takes labelled spans of both phases with the columns of `with_error_facts`.
+    """
+    baseline, incident = spans.filter("phase = 'baseline'"), spans.filter("phase = 'incident'")
+    marked = materialize(mark_roots(link_spans(incident)), "links")
     depth = span_depth(marked, with_path)
     timed = mark_bottlenecks(with_self_time(marked), baseline_p99(baseline))
     facts = timed.join(depth, SPAN).withColumn("is_timeout_child", timeout_child())

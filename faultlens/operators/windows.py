@@ -47,13 +47,17 @@ def label_trace_phase(
     return spans.join(labelled, ["case_id", "trace_id"])
 
 
-def number_lines(logs: DataFrame) -> DataFrame:
-    """Line form and 0-based line number per (case, phase, service), in time order."""
-    lines = logs.select(
+def as_lines(logs: DataFrame) -> DataFrame:
+    """Add the line form `[instant] message`."""
+    return logs.select(
         "case_id", "phase", "service", "ts", "message", "seq",
         clock.format_line(F.col("ts"), F.col("message")).alias("line"),
     )
-    return numbered(lines, ["case_id", "phase", "service"], ["ts", "seq"], F.floor("ts"), "line_no")
+
+
+def number_lines(logs: DataFrame) -> DataFrame:
+    """Line form and 0-based line number per (case, phase, service), in time order."""
+    return numbered(as_lines(logs), ["case_id", "phase", "service"], ["ts", "seq"], F.floor("ts"), "line_no")
 
 
 def time_buckets(

@@ -32,17 +32,27 @@ class Investigation:
     # --- slices -----------------------------------------------------------------------------
     @cached_property
     def lines(self) -> DataFrame:
-        labelled = windows.label_phase(self.raw_logs, self.cases, self.baseline_seconds, self.incident_seconds)
-        return windows.number_lines(labelled)
+        return windows.number_lines(self.labelled_logs)
+
+    @cached_property
+    def labelled_logs(self) -> DataFrame:
+        return windows.label_phase(self.raw_logs, self.cases, self.baseline_seconds, self.incident_seconds)
 
     @cached_property
     def points(self) -> DataFrame:
-        return windows.label_phase(self.raw_points, self.cases, self.baseline_seconds, self.incident_seconds)
+        """Sliced points; six narrow columns that every metric stage reads."""
+        sliced = windows.label_phase(self.raw_points, self.cases, self.baseline_seconds, self.incident_seconds)
+        return materialize(sliced, "points")
 
     @cached_property
     def spans(self) -> DataFrame:
         return windows.label_trace_phase(self.raw_spans, self.cases, self.baseline_seconds, self.incident_seconds)
 
+    @cached_property
+    def slim_spans(self) -> DataFrame:
+        """Sliced spans with their error facts in place of tags and logs."""
+        return materialize(traces.with_error_facts(self.spans), "spans")
+
     # --- logs -------------------------------------------------------------------------------
     @cached_property
     def annotated(self) -> DataFrame:
@@ -50,18 +60,20 @@ class Investigation:
         if self.template_source == "mined":
             judged = templates.classify_lines(self.lines)
         else:
-            signed = logs.with_signatures(self.lines)
-            known = signed.filter("phase = 'baseline'").select("case_id", "template")
-            judged = logs.flag_novel(signed.filter("phase = 'incident'"), known)
+            # The baseline only lends its signatures, so its lines need no numbers.
+            calm = windows.as_lines(self.labelled_logs.filter("phase = 'baseline'"))
+            known = logs.with_signatures(calm).select("case_id", "template")
+            incident = windows.number_lines(self.labelled_logs.filter("phase = 'incident'"))
+            judged = logs.flag_novel(logs.with_signatures(incident), known)
         return logs.annotate(judged)
 
     @cached_property
     def positioned(self) -> DataFrame:
-        """Annotated lines with running positions; read by windows, contexts and counts alike."""
+        """Annotated lines with running positions."""
         kept = self.annotated.select(
             "case_id", "service", "line_no", "line", "template", "is_novel", "keyword", "probe"
         )
-        return materialize(logs.with_positions(kept), "positioned")
+        return logs.with_positions(kept)
 
     @cached_property
     def log_windows(self) -> DataFrame:
@@ -103,9 +115,7 @@ class Investigation:
     # --- traces -----------------------------------------------------------------------------
     @cached_property
     def facts(self) -> DataFrame:
-        return traces.span_facts(
-            self.spans.filter("phase = 'incident'"), self.spans.filter("phase = 'baseline'"), with_path=True
-        )
+        return traces.span_facts(self.slim_spans, with_path=True)
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.plans.materialize import materialize
+
 CHUNK_LINES = 100_000
 _CHUNK = "__chunk"
 
@@ -22,15 +24,40 @@ def running(
     sums: dict[str, Column] | None = None,
     prior_max: dict[str, Column] | None = None,
     upto_max: dict[str, Column] | None = None,
+    store: str | None = None,
 ) -> DataFrame:
     """Add running sums and maxima in `order` within `keys`; `chunk` must not decrease along `order`.
 
-    `sums` and `upto_max` include the current row, `prior_max` stops before it.
+    `sums` (of values that are never negative) and `upto_max` include the current row, `prior_max` stops
+    before it. With `store` the values within chunks are written once, so a costly `df` runs only once.
     """
     sums, prior_max, upto_max = sums or {}, prior_max or {}, upto_max or {}
+    maxima = {**prior_max, **upto_max}
+    local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    before = local.rowsBetween(Window.unboundedPreceding, -1)
     chunked = df.withColumn(_CHUNK, chunk)
-    totals = [F.sum(e).alias(n) for n, e in sums.items()]
-    totals += [F.max(e).alias(n) for n, e in {**prior_max, **upto_max}.items()]
+    if store:
+        chunked = materialize(
+            chunked.select(
+                "*",
+                *[F.sum(e).over(upto).alias(n) for n, e in sums.items()],
+                *[F.max(e).over(before).alias(n) for n, e in prior_max.items()],
+                *[F.max(e).over(upto).alias(n) for n, e in upto_max.items()],
+                *[F.max(e).over(upto).alias(f"__u_{n}") for n, e in prior_max.items()],
+            ),
+            store,
+        )
+        inside = chunked
+        totals = [F.max(n).alias(n) for n in (*sums, *upto_max)] + [F.max(f"__u_{n}").alias(n) for n in prior_max]
+    else:
+        inside = chunked.select(
+            "*",
+            *[F.sum(e).over(upto).alias(n) for n, e in sums.items()],
+            *[F.max(e).over(before).alias(n) for n, e in prior_max.items()],
+            *[F.max(e).over(upto).alias(n) for n, e in upto_max.items()],
+        )
+        totals = [F.sum(e).alias(n) for n, e in sums.items()] + [F.max(e).alias(n) for n, e in maxima.items()]
     earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         chunked.groupBy(*keys, _CHUNK)
@@ -39,21 +66,12 @@ def running(
             *keys,
             _CHUNK,
             *[F.sum(n).over(earlier).alias(f"__c_{n}") for n in sums],
-            *[F.max(n).over(earlier).alias(f"__c_{n}") for n in (*prior_max, *upto_max)],
+            *[F.max(n).over(earlier).alias(f"__c_{n}") for n in maxima],
         )
     )
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    before = local.rowsBetween(Window.unboundedPreceding, -1)
-    out = chunked.select(
-        "*",
-        *[F.sum(e).over(upto).alias(n) for n, e in sums.items()],
-        *[F.max(e).over(before).alias(n) for n, e in prior_max.items()],
-        *[F.max(e).over(upto).alias(n) for n, e in upto_max.items()],
-    ).join(carried, [*keys, _CHUNK])
     added = {n: F.col(n) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in sums}
-    added |= {n: F.greatest(F.col(n), F.col(f"__c_{n}")) for n in (*prior_max, *upto_max)}
-    return out.withColumns(added).select(*df.columns, *added)
+    added |= {n: F.greatest(F.col(n), F.col(f"__c_{n}")) for n in maxima}
+    return inside.join(carried, [*keys, _CHUNK]).withColumns(added).select(*df.columns, *added)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str) -> DataFrame:

@@ -15,13 +15,27 @@ SERVICE_LABELS = (
 END_SLACK_SECONDS = 5.0
 
 
-def _folder(depth: int = 1):
-    return F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), rf"([^/]+)(?:/[^/]+){{{depth}}}$", 1)
+def _path():
+    return F.url_decode(F.col("_metadata.file_path"))
 
 
-def read_promql_matrix(spark: SparkSession, glob: str) -> DataFrame:
-    """Points of range-query results: one row per value, named `service/metric` when a label tells the service."""
-    docs = spark.read.schema(MATRIX).option("multiLine", "true").json(glob).withColumn("case_id", _folder())
+def _case():
+    """Case id from `case_id=<case>/` anywhere in the path, else the folder the file lies in."""
+    named = F.nullif(F.regexp_extract(_path(), r"/case_id=([^/]+)/", 1), F.lit(""))
+    return F.coalesce(named, F.regexp_extract(_path(), r"([^/]+)/[^/]+$", 1))
+
+
+def _documents(spark: SparkSession, glob: str, schema: str, multi_line: bool) -> DataFrame:
+    reader = spark.read.schema(schema).option("multiLine", str(multi_line).lower())
+    return reader.json(glob).withColumn("case_id", _case())
+
+
+def read_promql_matrix(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
+    """Points of range-query results: one row per value, named `service/metric` when a label tells the service.
+
+    A file is one document, or one document per line with `multi_line=False`.
+    """
+    docs = _documents(spark, glob, MATRIX, multi_line)
     series = docs.select("case_id", "metric_name", "query", F.explode("data").alias("d"))
     service = F.coalesce(*[F.try_element_at("d.metric", F.lit(x)) for x in SERVICE_LABELS])
     name = F.when(service.isNull(), F.col("metric_name")).otherwise(F.concat(service, F.lit("/"), F.col("metric_name")))
@@ -34,25 +48,25 @@ def read_promql_matrix(spark: SparkSession, glob: str) -> DataFrame:
     ).filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
 
 
-def read_trace_json(spark: SparkSession, glob: str) -> DataFrame:
-    """Spans of trace documents; a trace captured by several requests is kept once."""
-    docs = spark.read.schema(f"data {TRACES}").option("multiLine", "true").json(glob).withColumn("case_id", _folder())
+def read_trace_json(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
+    """Spans of trace documents; a span captured by several requests is kept once."""
+    docs = _documents(spark, glob, f"data {TRACES}", multi_line)
     traces = docs.select("case_id", F.explode("data").alias("t")).select("case_id", "t.*")
     return explode_traces(traces).dropDuplicates(["case_id", "trace_id", "span_id"])
 
 
 def read_container_logs(spark: SparkSession, glob: str, windows: DataFrame | None = None) -> DataFrame:
-    """Lines of <case>/<service>.log files, blanks removed.
+    """Lines of <case>/<service>.log files (or case_id=…/service=… folders), blanks removed.
 
     With `windows(case_id, start_ts, end_ts)` lines outside the window are dropped; its end has five
     seconds of slack. Lines without an instant are kept.
     """
-    path = F.url_decode(F.col("_metadata.file_path"))
+    named = F.nullif(F.regexp_extract(_path(), r"/service=([^/]+)/", 1), F.lit(""))
     lines = (
         spark.read.text(glob)
         .select(
-            _folder().alias("case_id"),
-            F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1).alias("service"),
+            _case().alias("case_id"),
+            F.coalesce(named, F.regexp_extract(_path(), r"([^/]+)\.[^./]+$", 1)).alias("service"),
             text.strip(F.col("value")).alias("line"),
             F.monotonically_increasing_id().alias("seq"),
         )

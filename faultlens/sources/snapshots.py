@@ -22,9 +22,12 @@ SNAPSHOT = (
 )
 
 
-def read_snapshots(spark: SparkSession, glob: str) -> dict[str, DataFrame]:
-    """Cases, logs, points and spans of all snapshots; a document may nest its telemetry or not."""
-    docs = spark.read.schema(SNAPSHOT).option("multiLine", "true").json(glob)
+def read_snapshots(spark: SparkSession, glob: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """Cases, logs, points and spans of all snapshots; a document may nest its telemetry or not.
+
+    A file is one document, or one document per line with `multi_line=False`.
+    """
+    docs = spark.read.schema(SNAPSHOT).option("multiLine", str(multi_line).lower()).json(glob)
     docs = docs.withColumn("run_id", F.coalesce("run_id", F.lit("unknown")))
     sides = []
     for phase, source in (("incident", "telemetry"), ("baseline", "baseline")):

@@ -223,8 +223,8 @@ def check_phase_order(spark, sf):
 )
 def check_trace_shape(spark, sf):
     # Some roots are withheld so that the check has something to find.
-    spans = investigation(spark, sf).spans.filter("phase = 'incident' AND NOT (seq = 1 AND service = 'svc5')")
-    return Ch.trace_shape(T.link_spans(T.with_error_facts(spans)))
+    spans = investigation(spark, sf).slim_spans.filter("phase = 'incident' AND NOT (seq = 1 AND service = 'svc5')")
+    return Ch.trace_shape(T.link_spans(spans))
 
 
 @register(

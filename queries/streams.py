@@ -1 +1,71 @@
+"""Streaming operators, run over files written from the tables until all of them are processed."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faultlens import constants as K
+from faultlens.functions import naming
+from faultlens.operators import fusion
+from faultlens.plans import views
+from faultlens.plans.materialize import scratch_path
+from faultlens.streaming.buckets import stream_buckets as buckets
+from faultlens.streaming.dedup import stream_dedup as dedup
+from faultlens.streaming.runs import drain, latest, stream_cases as score_stream
+from queries.common import investigation, rounded
+from queries.windows import SQL as WINDOW_SQL
+
 QUERIES, SQL = {}, {}
+
+
+def _landed(spark, df, label, files=4):
+    """Write a DataFrame as several files and open it as a stream."""
+    path = scratch_path(spark, label)
+    df.repartition(files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def stream_buckets(spark, sf):
+    inv = investigation(spark, sf)
+    signals = (
+        inv.raw_logs.select("case_id", "ts", "service", F.lit("log").alias("kind"))
+        .unionByName(inv.raw_points.select("case_id", "ts", naming.bucket_service(F.col("metric_name")).alias("service"), F.lit("metric").alias("kind")))
+        .unionByName(inv.raw_spans.select("case_id", (F.col("start_us") / 1e6).alias("ts"), "service", F.lit("span").alias("kind")))
+    )
+    # Files hold rows of all times, so nothing may count as late here: the delay spans the window.
+    counted = buckets(
+        _landed(spark, signals, "signals"), inv.cases, K.BUCKET_SECONDS, "1 hour", views.BASELINE_SECONDS, views.INCIDENT_SECONDS
+    )
+    out = scratch_path(spark, "buckets")
+    drain(counted, out, scratch_path(spark, "checkpoint"), "update")
+    start = F.round(F.unix_micros("bucket_end") / 1e6 - K.BUCKET_SECONDS, 3)
+    return latest(spark, out, ["case_id", "bucket_index"]).select(
+        "case_id", "bucket_index", start.alias("start_ts"), F.round(start + K.BUCKET_SECONDS, 3).alias("end_ts"),
+        "log_count", "metric_points_count", "span_count", F.array_join("services", ",").alias("services"),
+    )
+
+
+def stream_cases(spark, sf):
+    inv = investigation(spark, sf)
+    reports = fusion.rca_report(inv.diagnosis).select(
+        "case_id", "mode", "root_cause_service", "culprit_services", "category", "confidence"
+    )
+    out = scratch_path(spark, "scored")
+    score_stream(_landed(spark, reports, "reports"), inv.cases, out, scratch_path(spark, "checkpoint"))
+    return latest(spark, out, ["case_id", "mode"]).select(
+        "case_id", "mode", "predicted_service", "top1_hit", "error_bucket", *rounded("mrr")
+    )
+
+
+def stream_dedup(spark, sf):
+    spans = investigation(spark, sf).raw_spans.select("case_id", "trace_id", "span_id", "start_us", "duration_us")
+    twice = spans.unionByName(spans.filter("duration_us > 100000"))
+    out = scratch_path(spark, "deduped")
+    drain(dedup(_landed(spark, twice, "captured"), "1 hour"), out, scratch_path(spark, "checkpoint"))
+    return spark.read.parquet(out).select("case_id", "trace_id", "span_id", "duration_us")
+
+
+QUERIES.update(stream_buckets=stream_buckets, stream_cases=stream_cases, stream_dedup=stream_dedup)
+SQL["stream_buckets"] = WINDOW_SQL["time_buckets"]
+SQL["stream_cases"] = "SELECT case_id, mode, predicted_service, top1_hit, error_bucket, round(CAST(mrr AS DOUBLE), 4) AS mrr FROM scores"
+SQL["stream_dedup"] = "SELECT case_id, trace_id, span_id, duration_us FROM v_spans"

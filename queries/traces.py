@@ -36,7 +36,7 @@ def parent_of(spark, sf):
 @register("SELECT span_id, has_parent, parent_service, parent_duration_us, parent_timeout FROM links")
 def link_spans(spark, sf):
     inv = investigation(spark, sf)
-    links = T.link_spans(T.with_error_facts(inv.spans.filter("phase = 'incident'")))
+    links = T.link_spans(inv.slim_spans.filter("phase = 'incident'"))
     return links.select("span_id", "has_parent", "parent_service", "parent_duration_us", "parent_timeout")
 
 
@@ -48,7 +48,7 @@ def service_edges(spark, sf):
 @register("SELECT case_id, trace_id, span_id, service FROM links WHERE NOT has_parent")
 def roots(spark, sf):
     inv = investigation(spark, sf)
-    links = T.link_spans(T.with_error_facts(inv.spans.filter("phase = 'incident'")))
+    links = T.link_spans(inv.slim_spans.filter("phase = 'incident'"))
     return T.roots(links).select("case_id", "trace_id", "span_id", "service")
 
 
@@ -75,7 +75,7 @@ def timeout_children(spark, sf):
 @register(f"SELECT case_id, service, operation, spans, {rounded_sql('p99_ms')} FROM p99s")
 def baseline_p99(spark, sf):
     inv = investigation(spark, sf)
-    return T.baseline_p99(inv.spans.filter("phase = 'baseline'")).select(
+    return T.baseline_p99(inv.slim_spans.filter("phase = 'baseline'")).select(
         "case_id", "service", "operation", "spans", *rounded("p99_ms")
     )
 
