@@ -87,8 +87,11 @@ def truncate_tokens(text: Column, max_tokens: Column, full_length: Column | None
 
 
 def fixed(value: Column, digits: int, plus: bool = False) -> Column:
-    """Fixed-point text, rounding the exact binary value half to even as C's printf does."""
-    text = F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+    """Fixed-point text, rounding the binary value half to even as C's printf does.
+
+    Six decimals are settled first: the last bits of a sum depend on the order of its rows.
+    """
+    text = F.replace(F.format_number(F.round(value, 6), digits), F.lit(","), F.lit(""))
     if plus:
         text = F.when(value >= 0, F.concat(F.lit("+"), text)).otherwise(text)
     return text

@@ -40,7 +40,7 @@ def tokens_sql(masked: str) -> str:
 
 
 def fmt(x: str, digits: int, plus: bool = False) -> str:
-    return f"printf('%{'+' if plus else ''}.{digits}f', {x})"
+    return f"printf('%{'+' if plus else ''}.{digits}f', round(CAST({x} AS DOUBLE), 6))"
 
 
 def fault_category_sql(fault: str) -> str:
