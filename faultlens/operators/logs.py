@@ -28,14 +28,20 @@ def with_signatures(lines: DataFrame) -> DataFrame:
     return lines.withColumn("template", text.signature(F.col("line")))
 
 
-def flag_novel(incident: DataFrame, baseline_templates: DataFrame) -> DataFrame:
-    """Mark lines whose template the baseline never had; a blank line is never novel."""
-    known = baseline_templates.select("case_id", "template").distinct().withColumn("__known", F.lit(True))
-    return (
-        incident.join(known, ["case_id", "template"], "left")
-        .withColumn("is_novel", F.col("__known").isNull() & (F.col("template") != ""))
-        .drop("__known")
-    )
+def flag_novel(incident: DataFrame, baseline: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+    """Mark lines whose template the baseline never had; a blank line is never novel.
+
+    A case without any baseline of its own is held against the `saved` templates instead, if given.
+    """
+    own = baseline.select("case_id", "template").distinct().withColumn("__known", F.lit(True))
+    judged = incident.join(own, ["case_id", "template"], "left")
+    known = F.coalesce("__known", F.lit(False))
+    if saved is not None:
+        calm = own.select("case_id").distinct().withColumn("__calm", F.lit(True))
+        shared = saved.select("template").distinct().withColumn("__saved", F.lit(True))
+        judged = judged.join(calm, "case_id", "left").join(shared, "template", "left")
+        known = F.when(F.col("__calm"), known).otherwise(F.coalesce("__saved", F.lit(False)))
+    return judged.withColumn("is_novel", ~known & (F.col("template") != "")).select(*incident.columns, "is_novel")
 
 
 def choose_baseline(runs: DataFrame, newest: int = K.BASELINE_RUNS) -> DataFrame:
@@ -45,18 +51,6 @@ def choose_baseline(runs: DataFrame, newest: int = K.BASELINE_RUNS) -> DataFrame
     return runs.join(chosen, "run_id", "left_semi")
 
 
-def baseline_templates(in_case: DataFrame, saved: DataFrame | None, cases: DataFrame) -> DataFrame:
-    """Baseline set per case: the case's own templates, else the saved set."""
-    own = in_case.select("case_id", "template").distinct()
-    if saved is None:
-        return own
-    bare = cases.select("case_id").join(own.select("case_id").distinct(), "case_id", "left_anti")
-    shared = saved.agg(F.collect_set("template").alias("templates"))
-    # The saved set is a single row: one list, attached to each case that has no baseline of its own.
-    filled = bare.withColumn("k", F.lit(1)).join(shared.withColumn("k", F.lit(1)), "k")
-    return own.unionByName(filled.select("case_id", F.explode("templates").alias("template")))
-
-
 def annotate(lines: DataFrame) -> DataFrame:
     """Keyword and probe facts of incident lines that already carry template and novelty."""
     return lines.withColumns(

@@ -1,14 +1,16 @@
 """Template mining with a fixed-depth parse tree (He et al., ICWS 2017), as a grouped Spark job.
 
 A leaf of the tree is (number of tokens, first token). Leaves never exchange lines, so they are mined
-independently. Lines do not reach Python: they are first reduced to distinct masked signatures with the
-position of their first occurrence, and only those are replayed, in order and with no more state than
-the leaf's clusters. A line then looks its template up by signature and position.
+independently. Lines do not reach Python: they are reduced to distinct masked signatures with the
+position of their first occurrence, and only those are replayed in order. The result is still that of
+feeding every line: a repeated line can only matter when it would now change a cluster, and the replay
+knows when that is. It then asks for the next occurrences of just that signature, Spark looks them up,
+and the leaf is replayed with them. A line finds its template by signature and position.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,9 @@ LEAF = ["case_id", "width", "head"]
 # A position orders all lines of a case: baseline first, then service by service, then line by line.
 INCIDENT_AT = 1 << 61
 SERVICE_STRIDE = 1 << 44
+# Occurrences looked up at a time for a signature that may change a cluster again.
+LOOKAHEAD = 64
+MINED = "case_id string, width int, head string, kind string, signature string, cluster string, since bigint, template string"
 
 
 def with_position(lines: DataFrame) -> DataFrame:
@@ -59,64 +64,123 @@ def _leaves(signatures: DataFrame) -> DataFrame:
     ).drop("word")
 
 
-def _closest(clusters: list[np.ndarray], tokens: np.ndarray) -> int | None:
-    """Cluster sharing most fixed tokens, the one with more wildcards on a tie; none if too few."""
-    if not clusters:
-        return None
-    rows = np.stack(clusters)
-    wild = rows == K.WILDCARD
-    same = ((rows == tokens) & ~wild).sum(axis=1)
-    best = int(np.lexsort((np.arange(len(rows)), -wild.sum(axis=1), -same))[0])
-    return best if same[best] / len(tokens) >= K.TEMPLATE_SIMILARITY else None
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    leaf, clusters = None, []
-    for batch in batches:
-        names, templates = [], []
-        for case_id, width, head, signature in zip(
-            batch["case_id"], batch["width"], batch["head"], batch["signature"], strict=True
-        ):
-            if (case_id, width, head) != leaf:
-                leaf, clusters = (case_id, width, head), []
-            tokens = np.array(signature.split(" "), dtype=object)
-            i = _closest(clusters, tokens)
-            if i is None:
-                clusters.append(tokens)
-                i = len(clusters) - 1
-            else:
-                clusters[i] = np.where(clusters[i] == tokens, tokens, K.WILDCARD)
-            names.append(f"{width} {head} {i}")
-            templates.append(" ".join(clusters[i]))
-        yield pd.DataFrame(
-            {
-                "case_id": batch["case_id"],
-                "signature": batch["signature"],
-                "pos": batch["pos"],
-                "cluster": names,
-                "template": templates,
-            }
-        )
+def _next_known(known: list, after: int) -> tuple[bool, int | None]:
+    """(is it known, position) of the next occurrence behind `after`."""
+    for start, places, whole in known:
+        if start <= after:
+            later = [q for q in places if q > after]
+            if later or whole:
+                return True, (later[0] if later else None)
+    return False, None
+
+
+def _mine_leaf(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Replay one leaf: assignments of signatures and templates of clusters, or requests for occurrences."""
+    case_id, width, head = key
+    rows = rows.sort_values("pos")
+    signatures = rows["signature"].tolist()
+    code: dict[str, int] = {}
+    words = np.array([[code.setdefault(w, len(code)) for w in s.split(" ")] for s in signatures])
+    names = list(code)
+    known = [[(k["after"], list(k["places"]), k["whole"]) for k in ks] if ks is not None else [] for ks in rows["known"]]
+    seen, owner = np.zeros(len(words), bool), np.full(len(words), -1)
+    clusters: list[np.ndarray] = []
+    shared = np.zeros((len(words), 0), int)  # fixed tokens a signature shares with a cluster
+    fixed = np.zeros(0, int)  # fixed tokens of a cluster
+    queue = [(int(p), i) for i, p in enumerate(rows["pos"])]
+    heapq.heapify(queue)
+    queued = set(queue)
+    out = []
+
+    def nearest(which):
+        # Most shared tokens, then most wildcards, then the older cluster.
+        best = np.argmax(shared[which] * (width + 1) + (width - fixed), axis=-1)
+        near = np.take_along_axis(shared[which], np.expand_dims(best, -1), -1)[..., 0]
+        return np.where(near / width >= K.TEMPLATE_SIMILARITY, best, -1), near
+
+    while queue:
+        place, i = heapq.heappop(queue)
+        seen[i] = True
+        best, near = nearest(i) if clusters else (-1, 0)
+        if best >= 0 and near == fixed[best]:
+            if owner[i] != best:
+                owner[i] = best
+                out.append(("assign", signatures[i], int(best), place, None))
+            continue
+        if best < 0:
+            best = len(clusters)
+            clusters.append(words[i].copy())
+            shared, fixed = np.column_stack([shared, np.zeros(len(words), int)]), np.append(fixed, 0)
+        else:
+            clusters[best][clusters[best] != words[i]] = -1
+        now = clusters[best]
+        shared[:, best], fixed[best] = ((words == now) & (now >= 0)).sum(axis=1), (now >= 0).sum()
+        out.append(("template", None, int(best), place, " ".join(names[w] if w >= 0 else K.WILDCARD for w in now)))
+        live = np.flatnonzero(seen)
+        owners, nears = nearest(live)
+        for j in live[owners != owner[live]]:
+            owner[j] = owners[np.searchsorted(live, j)]
+            if owner[j] >= 0:
+                out.append(("assign", signatures[j], int(owner[j]), place, None))
+        requests = []
+        for j in live[(owners < 0) | (nears != fixed[owners])]:
+            found, q = _next_known(known[j], place)
+            if not found:
+                requests.append(("request", signatures[j], -1, place, None))
+            elif q is not None and (q, j) not in queued:
+                queued.add((q, j))
+                heapq.heappush(queue, (q, j))
+        if requests:
+            out = requests
+            break
+    mined = pd.DataFrame(out, columns=["kind", "signature", "c", "since", "template"])
+    mined["cluster"] = [f"{width} {head} {c}" for c in mined["c"]]
+    return mined.assign(case_id=case_id, width=width, head=head)[
+        ["case_id", "width", "head", "kind", "signature", "cluster", "since", "template"]
+    ]
 
 
 def replay(positioned: DataFrame) -> DataFrame:
-    """(case, signature, pos, cluster, template): the cluster each new signature joined and its template then."""
+    """Rows `assign` (signature, cluster, since) and `template` (cluster, template, since) of every leaf."""
     signatures = positioned.filter(F.col("signature") != "").groupBy("case_id", "signature").agg(F.min("pos").alias("pos"))
-    ordered = _leaves(signatures).repartition(*LEAF).sortWithinPartitions(*LEAF, "pos")
-    return ordered.select(*LEAF, "signature", "pos").mapInPandas(
-        _replay, "case_id string, signature string, pos bigint, cluster string, template string"
-    )
-
-
-def _versions(replayed: DataFrame) -> DataFrame:
-    """Every template a cluster ever had, from which position on; at most one per token of its lines."""
-    return replayed.groupBy("case_id", "cluster", "template").agg(F.min("pos").alias("since"))
-
-
-def _frozen(versions: DataFrame) -> DataFrame:
+    firsts = materialize(_leaves(signatures), "signatures")
+    pair = ["case_id", "signature"]
+    none = F.lit(None).cast("array<struct<after:bigint,places:array<bigint>,whole:boolean>>")
+    todo, known, places, finished = firsts.withColumn("known", none), None, None, []
+    while True:
+        mined = materialize(todo.groupBy(*LEAF).applyInPandas(_mine_leaf, MINED), "templates")
+        finished.append(mined.filter("kind <> 'request'"))
+        requests = mined.filter("kind = 'request'")
+        if requests.isEmpty():
+            break
+        if places is None:
+            places = materialize(positioned.select(*pair, "pos"), "places")
+        first = Window.partitionBy(*pair, "since").orderBy("pos")
+        ahead = (
+            requests.select(*pair, "since")
+            .join(places, pair)
+            .filter(F.col("pos") > F.col("since"))
+            .withColumn("__r", F.row_number().over(first))
+            .filter(F.col("__r") <= LOOKAHEAD)
+            .groupBy(*pair, "since")
+            .agg(F.sort_array(F.collect_list("pos")).alias("places"))
+        )
+        found = F.coalesce("places", F.array().cast("array<bigint>"))
+        answer = F.struct(F.col("since").alias("after"), found.alias("places"), (F.size(found) < LOOKAHEAD).alias("whole"))
+        answers = requests.select(*pair, "since").join(ahead, [*pair, "since"], "left").select(*pair, answer.alias("k"))
+        known = materialize(answers if known is None else known.unionByName(answers), "known")
+        per_signature = known.groupBy(*pair).agg(F.collect_list("k").alias("known"))
+        todo = firsts.join(requests.select(*LEAF).distinct(), LEAF, "left_semi").join(per_signature, pair, "left")
+    whole = finished[0]
+    for part in finished[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _frozen(templates: DataFrame) -> DataFrame:
     """Template of each cluster at the end of the baseline."""
     return (
-        versions.filter(F.col("since") < INCIDENT_AT)
+        templates.filter(F.col("since") < INCIDENT_AT)
         .groupBy("case_id", "cluster")
         .agg(F.max_by("template", "since").alias("template"))
     )
@@ -124,45 +188,57 @@ def _frozen(versions: DataFrame) -> DataFrame:
 
 def mine_templates(lines: DataFrame) -> DataFrame:
     """Templates of the baseline lines per case, with the number of distinct signatures behind each."""
-    baseline = with_position(lines.filter(F.col("phase") == "baseline"))
-    replayed = replay(baseline)
-    latest = _frozen(_versions(replayed))
-    sizes = replayed.groupBy("case_id", "cluster").agg(F.count(F.lit(1)).alias("signatures"))
+    mined = replay(with_position(lines.filter(F.col("phase") == "baseline")))
+    latest = _frozen(mined.filter("kind = 'template'"))
+    members = (
+        mined.filter("kind = 'assign'")
+        .groupBy("case_id", "signature")
+        .agg(F.max_by("cluster", "since").alias("cluster"))
+        .groupBy("case_id", "cluster")
+        .agg(F.count(F.lit(1)).alias("signatures"))
+    )
     return (
-        latest.join(sizes, ["case_id", "cluster"])
+        latest.join(members, ["case_id", "cluster"], "left")
         .groupBy("case_id", "template")
-        .agg(F.sum("signatures").alias("signatures"))
+        .agg(F.sum(F.coalesce("signatures", F.lit(0))).alias("signatures"))
     )
 
 
+def _last(history: Column, position: Column) -> Column:
+    return F.try_element_at(F.filter(history, lambda v: v["since"] <= position), F.lit(-1))
+
+
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Incident lines with template and novelty: novel is a template the frozen baseline set lacks.
 
     A cluster may widen during the incident; from that position on its lines carry the wider template.
     """
     positioned = with_position(lines)
-    replayed = materialize(replay(positioned), "templates")
-    versions = _versions(replayed)
-    known = _frozen(versions).select("case_id", "template").distinct().withColumn("known", F.lit(True))
-    judged = versions.join(known, ["case_id", "template"], "left").select(
-        "case_id", "cluster", "since", "template", F.coalesce("known", F.lit(False)).alias("known")
+    mined = replay(positioned)
+    templates = mined.filter("kind = 'template'").select("case_id", "cluster", "since", "template")
+    known = _frozen(templates).select("case_id", "template").distinct().withColumn("known", F.lit(True))
+    # A cluster has at most one template per token, a signature a few clusters: both lists are short.
+    history = (
+        templates.join(known, ["case_id", "template"], "left")
+        .groupBy("case_id", "cluster")
+        .agg(F.sort_array(F.collect_list(F.struct("since", "template", F.coalesce("known", F.lit(False)).alias("known")))).alias("history"))
     )
-    history = judged.groupBy("case_id", "cluster").agg(
-        F.sort_array(F.collect_list(F.struct("since", "template", "known"))).alias("history")
+    by_signature = (
+        mined.filter("kind = 'assign'")
+        .select("case_id", "signature", "since", "cluster")
+        .join(history, ["case_id", "cluster"])
+        .groupBy("case_id", "signature")
+        .agg(F.sort_array(F.collect_list(F.struct("since", "history"))).alias("owners"))
     )
-    by_signature = replayed.select("case_id", "signature", "cluster").join(history, ["case_id", "cluster"]).drop("cluster")
     incident = positioned.filter(F.col("phase") == "incident")
-    at: Column = F.try_element_at(
-        F.filter("history", lambda v: v["since"] <= F.col("pos")), F.lit(-1)
-    )
     return (
         incident.join(by_signature, ["case_id", "signature"], "left")
-        .withColumn("__v", at)
+        .withColumn("__v", _last(_last(F.col("owners"), F.col("pos"))["history"], F.col("pos")))
         .withColumns(
             {
                 "template": F.coalesce(F.col("__v.template"), F.lit("")),
                 "is_novel": F.coalesce(~F.col("__v.known"), F.lit(False)),
             }
         )
-        .drop("__v", "history", "signature", "pos")
+        .drop("__v", "owners", "signature", "pos")
     )

@@ -57,7 +57,7 @@ def as_lines(logs: DataFrame) -> DataFrame:
 
 def number_lines(logs: DataFrame) -> DataFrame:
     """Line form and 0-based line number per (case, phase, service), in time order."""
-    return numbered(as_lines(logs), ["case_id", "phase", "service"], ["ts", "seq"], F.floor("ts"), "line_no")
+    return numbered(as_lines(logs), ["case_id", "phase", "service"], ["ts", "seq"], F.floor(F.col("ts") * 10), "line_no")
 
 
 def time_buckets(

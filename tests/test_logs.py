@@ -118,8 +118,15 @@ def test_long_service_text_is_whole_up_to_the_budget(spark):
 
 
 def test_saved_baseline_is_used_only_without_own(spark):
-    cases = spark.createDataFrame([("a",), ("b",)], "case_id string")
+    lines = spark.createDataFrame([(c, t) for c in ("a", "b") for t in ("own", "saved", "new")], "case_id string, template string")
     own = spark.createDataFrame([("a", "own")], "case_id string, template string")
-    saved = spark.createDataFrame([("s1",), ("s2",)], "template string")
-    got = {(r.case_id, r.template) for r in L.baseline_templates(own, saved, cases).collect()}
-    assert got == {("a", "own"), ("b", "s1"), ("b", "s2")}
+    saved = spark.createDataFrame([("saved",)], "template string")
+    got = {(r.case_id, r.template) for r in L.flag_novel(lines, own, saved).filter("is_novel").collect()}
+    assert got == {("a", "saved"), ("a", "new"), ("b", "own"), ("b", "new")}
+    bare = {(r.case_id, r.template) for r in L.flag_novel(lines, own).filter("is_novel").collect()}
+    assert bare == {("a", "saved"), ("a", "new"), ("b", "own"), ("b", "saved"), ("b", "new")}
+
+
+def test_newest_successful_runs(spark):
+    runs = spark.createDataFrame([(f"r{i}", "FAILED" if i == 8 else "SUCCESS", f"l{i}") for i in range(9)], "run_id string, status string, line string")
+    assert sorted(r.run_id for r in L.choose_baseline(runs).collect()) == ["r5", "r6", "r7"]

@@ -64,3 +64,17 @@ def test_matches_sequential_replay(spark):
     assert {r.template for r in T.mine_templates(df).collect()} == frozen
     got = {r.line_no: (r.template, r.is_novel) for r in T.classify_lines(df).collect()}
     assert [got[i] for i in range(len(lines))] == want
+
+
+def test_repeats_that_change_clusters_again(spark, monkeypatch):
+    """Few words in every place: clusters keep widening and repeated lines keep moving between them."""
+    monkeypatch.setattr(T, "LOOKAHEAD", 3)
+    rng = random.Random(9)
+    pool = [" ".join(f"{k}{rng.choice('xyz')}" if k else rng.choice(["p", "q"]) for k in "0bcde") for _ in range(18)]
+    pool = [x.replace("0", "") for x in pool]
+    base, lines = [rng.choice(pool) for _ in range(50)], [rng.choice(pool) for _ in range(70)]
+    frozen, want = sequential(base, lines)
+    df = frame(spark, base, lines)
+    assert {r.template for r in T.mine_templates(df).collect()} == frozen
+    got = {r.line_no: (r.template, r.is_novel) for r in T.classify_lines(df).collect()}
+    assert [got[i] for i in range(len(lines))] == want
