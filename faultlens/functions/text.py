@@ -47,21 +47,31 @@ def is_continuation(line: Column) -> Column:
     return (low != "") & (indented | starts | contains_any(low, K.STACK_MARKS))
 
 
+# Every address holds this; looking for it first spares most lines the long pattern.
+ADDRESS_HINT = r"[0-9]\.[0-9]{1,3}\.[0-9]"
+
+
 def mask_line(line: Column) -> Column:
     # (?U) gives digits and word borders their Unicode meaning, so "é5" is one word.
     for pattern, name in K.MASKS:
-        line = F.regexp_replace(line, F.lit("(?U)" + pattern), F.lit(name))
+        masked = F.regexp_replace(line, F.lit("(?U)" + pattern), F.lit(name))
+        line = F.when(line.rlike(ADDRESS_HINT), masked).otherwise(line) if name == "<<IP>>" else masked
     return line
 
 
+def _spaced(masked: Column) -> Column:
+    """Delimiters as spaces, single spaces only."""
+    spaced = F.translate(masked, K.TOKEN_DELIMITERS, " " * len(K.TOKEN_DELIMITERS))
+    return strip(F.regexp_replace(spaced, F.lit(r"(?U)\s+"), F.lit(" ")))
+
+
 def tokenize(masked: Column) -> Column:
-    spaced = F.translate(strip(masked), K.TOKEN_DELIMITERS, " " * len(K.TOKEN_DELIMITERS))
-    return F.filter(F.split(spaced, r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(_spaced(masked), " "), lambda t: t != "")
 
 
 def signature(line: Column) -> Column:
     """Masked tokens of a line as one string: the key of the relational templates."""
-    return F.array_join(tokenize(mask_line(strip(line))), " ")
+    return _spaced(mask_line(strip(line)))
 
 
 def est_tokens(text: Column, chars: int = 4) -> Column:
