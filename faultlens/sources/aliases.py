@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from faultlens.functions import clock
 
 # Candidate columns, best first; names are compared without case.
 LOG_TIME = ("timestamp", "time", "datetime", "ts")
@@ -33,6 +36,9 @@ SPAN_COLUMNS_CSV = {
 }
 
 
+ROW = "__row"
+
+
 def detect_column(columns: list[str], candidates) -> str | None:
     """First candidate present in `columns`, in the spelling of `columns`."""
     present = {c.strip().lower(): c for c in columns}
@@ -46,15 +52,38 @@ def case_from_path(file_name: str) -> Column:
 
 
 def scan(spark: SparkSession, root: str, file_name: str, fmt: str, layout: str, **options: str) -> DataFrame:
-    """Read one kind of file of all cases and add `case_id`.
+    """Read one kind of file of all cases and add `case_id`, and the row's place unless it is plain text.
 
     `folders`: root/<case>/<file_name>. `partitioned`: root/<file_name>/case_id=<case>/…, which prunes by case.
     """
     reader = spark.read.format(fmt).options(**options)
     if layout == "partitioned":
-        return reader.load(f"{root}/{file_name}").withColumn("case_id", F.col("case_id").cast("string"))
-    df = reader.load(f"{root}/*/{file_name}")
-    return df.withColumn("case_id", case_from_path(file_name))
+        df = reader.load(f"{root}/{file_name}").withColumn("case_id", F.col("case_id").cast("string"))
+    else:
+        df = reader.load(f"{root}/*/{file_name}").withColumn("case_id", case_from_path(file_name))
+    return df if fmt == "text" else df.withColumn(ROW, row_position(fmt))
+
+
+def instant(df: DataFrame, name: str) -> Column:
+    """Epoch seconds of a raw time column; numbers and timestamps never take the way through text."""
+    kind = df.schema[name].dataType
+    column = F.col(f"`{name}`")
+    if isinstance(kind, T.NumericType):
+        return clock.epoch_seconds(column)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp")) / 1e6
+    return clock.parse_ts(column)
+
+
+def row_position(fmt: str) -> Column:
+    """Place of a row for breaking ties, in file order.
+
+    Parquet knows the row's index, which keeps the scan open for filters on its columns; text formats do not.
+    """
+    if fmt != "parquet":
+        return F.monotonically_increasing_id()
+    file_part = F.shiftleft(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 22)), 40)
+    return file_part + F.col("_metadata.row_index")
 
 
 def alias_table(names: DataFrame) -> DataFrame:

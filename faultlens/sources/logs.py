@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import constants as K
-from faultlens.functions import clock, text
+from faultlens.functions import text
 from faultlens.sources import aliases as A
 
 
@@ -24,12 +24,12 @@ def read_logs(spark: SparkSession, root: str, fmt: str = "parquet", layout: str
     message = A.detect_column(df.columns, A.LOG_MESSAGE)
     if not time or not message:
         return spark.createDataFrame([], "case_id string, service string, ts double, message string, seq bigint")
-    named = text.strip(F.col(service)) if service else F.lit(None).cast("string")
+    named = text.strip(F.col(f"`{service}`")) if service else F.lit(None).cast("string")
     rows = df.select(
         "case_id",
         F.coalesce(F.nullif(named, F.lit("")), F.lit(K.UNKNOWN_SERVICE)).alias("service"),
-        clock.parse_ts(F.col(time)).alias("ts"),
-        text.strip(F.coalesce(F.col(message), F.lit(""))).alias("message"),
-        F.monotonically_increasing_id().alias("seq"),
+        A.instant(df, time).alias("ts"),
+        text.strip(F.coalesce(F.col(f"`{message}`"), F.lit(""))).alias("message"),
+        F.col(A.ROW).alias("seq"),
     )
     return rows.filter(F.col("ts").isNotNull())

@@ -16,15 +16,15 @@ def _query(name):
 def unpivot_metrics(df: DataFrame) -> DataFrame:
     """Wide rows (one column per series) → long points; missing values are dropped."""
     time = next((c for c in ("time", "timestamp") if c in df.columns), None)
-    names = [c for c in df.columns if c not in (time, "case_id")]
+    names = [c for c in df.columns if c not in (time, "case_id", A.ROW)]
     if time is None or not names:
         return df.sparkSession.createDataFrame(
             [], "case_id string, metric_name string, query string, ts double, value double, seq bigint"
         )
     wide = df.select(
         "case_id",
-        clock.parse_ts(F.col(time)).alias("ts"),
-        F.monotonically_increasing_id().alias("seq"),
+        A.instant(df, time).alias("ts"),
+        F.col(A.ROW).alias("seq"),
         *[F.col(f"`{c}`").cast("double").alias(c) for c in names],
     )
     return (

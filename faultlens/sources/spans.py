@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import constants as K
-from faultlens.functions import clock, spans as S
+from faultlens.functions import spans as S
 from faultlens.plans.ordering import numbered
 from faultlens.sources import aliases as A
 
@@ -58,14 +58,14 @@ def read_spans(spark: SparkSession, root: str, fmt: str = "parquet", layout: str
         S.clean_parent(column("parent")).alias("parent_id"),
         service.alias("service"),
         operation.alias("operation"),
-        (clock.parse_ts(F.col(f"`{names['time']}`")) * 1e6).cast("bigint").alias("start_us"),
+        (A.instant(df, names["time"]) * 1e6).cast("bigint").alias("start_us"),
         duration.alias("duration_us"),
         F.concat(
             F.array(tag("service.name", service), tag("operation.name", operation)),
             F.coalesce(status, F.array().cast(S.TAGS)),
         ).cast(S.TAGS).alias("tags"),
         F.array().cast(S.SPAN_LOGS).alias("logs"),
-        F.monotonically_increasing_id().alias("seq"),
+        F.col(A.ROW).alias("seq"),
     ).filter(F.col("start_us").isNotNull())
     bare = F.nullif(F.col("span_id"), F.lit("")).isNull()
     if names["span"]:
