@@ -92,8 +92,9 @@ def span_depth(marked: DataFrame, with_path: bool = False) -> DataFrame:
     """Depth of every span below its root, by pointer doubling.
 
     Each round replaces a span's pointer by its target's pointer, so a chain of length d takes log2(d)
-    rounds; every round is one equality join and is written to the shared folder. Spans that no root
-    reaches (a cycle beside a root) keep depth 0. With `path`, the ordinals from root to span are kept.
+    rounds. A round is one equality join of the spans still on their way; only those are written again.
+    Spans that no root reaches (a cycle beside a root) keep depth 0. With `path`, the ordinals from root
+    to span are kept.
     """
     node = last_per_id(
         marked.select(*SPAN, "seq", "is_root", "parent_id", F.col("seq").alias("s")), "is_root", "parent_id", "s"
@@ -104,36 +105,30 @@ def span_depth(marked: DataFrame, with_path: bool = False) -> DataFrame:
     }
     if with_path:
         columns["path"] = F.array(F.col("s"))
-    nodes = materialize(node.withColumns(columns).drop("is_root", "parent_id", "s"), "depth")
-    open_before = None
+    moving = materialize(node.withColumns(columns).drop("is_root", "parent_id", "s"), "depth")
+    names, arrived, open_before = moving.columns, None, None
     while True:
-        still_open = nodes.filter(F.col("up").isNotNull()).count()
+        done, moving = moving.filter(F.col("up").isNull()), moving.filter(F.col("up").isNotNull())
+        arrived = done if arrived is None else arrived.unionByName(done)
+        still_open = moving.count()
         if still_open == 0 or still_open == open_before:
             break
         open_before = still_open
-        above = nodes.select(
+        above = arrived.unionByName(moving).select(
             *TRACE,
             F.col("span_id").alias("up"),
             F.col("up").alias("__up"),
             F.col("depth").alias("__d"),
             *([F.col("path").alias("__p")] if with_path else []),
         )
-        moved = {
-            "up": F.col("__up"),
-            "depth": F.col("depth") + F.coalesce(F.col("__d"), F.lit(0)),
-        }
+        moved = {"up": F.col("__up"), "depth": F.col("depth") + F.col("__d")}
         if with_path:
-            moved["path"] = F.concat(F.coalesce(F.col("__p"), F.array().cast("array<bigint>")), F.col("path"))
-        nodes = materialize(
-            nodes.join(above, [*TRACE, "up"], "left").withColumns(moved).select(*nodes.columns), "depth"
-        )
-    reached = F.col("up").isNull()
-    return nodes.select(
-        *SPAN,
-        F.when(reached, F.col("depth")).otherwise(0).alias("depth"),
-        reached.alias("reached"),
-        *(["path"] if with_path else []),
-    )
+            moved["path"] = F.concat("__p", "path")
+        moving = materialize(moving.join(above, [*TRACE, "up"]).withColumns(moved).select(*names), "depth")
+    path = ["path"] if with_path else []
+    reached = arrived.select(*SPAN, "depth", F.lit(True).alias("reached"), *path)
+    circling = moving.select(*SPAN, F.lit(0).alias("depth"), F.lit(False).alias("reached"), *path)
+    return reached.unionByName(circling)
 
 
 def self_time(links: DataFrame) -> DataFrame:
