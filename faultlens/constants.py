@@ -136,4 +136,5 @@ LOG_SECTION_TITLE = "### Extracted Log Evidence (Drain3 Novel Templates & Asymme
 # --- files ----------------------------------------------------------------------------------
 CASE_FILES = ("logs.parquet", "metrics.parquet", "traces.parquet", "inject_time.txt")
 UNKNOWN_SERVICE = "unknown_service"
+METRIC_QUERY_PREFIX = "rcaeval:"
 LOCAL_ENGINE = "TELEMETRY_RAG_LOCAL"

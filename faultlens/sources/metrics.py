@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultlens import constants as K
 from faultlens.functions import clock
 from faultlens.sources import aliases as A
 
 
 def _query(name):
-    return F.concat(F.lit("rcaeval:"), name)
+    return F.concat(F.lit(K.METRIC_QUERY_PREFIX), name)
 
 
 def unpivot_metrics(df: DataFrame) -> DataFrame:

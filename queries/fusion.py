@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultlens.functions import text
 from faultlens.operators import fusion as Fu
 from faultlens.plans import views
-from oracles.stages import fmt, truncate_sql  # noqa: F401
+from oracles.stages import fmt, truncate_sql
 from queries.common import investigation, rounded, rounded_sql
 
 QUERIES, SQL = {}, {}
