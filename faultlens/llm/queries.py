@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultlens.llm import packing, quality, secret_scan, substring
+from faultlens.llm import packing, quality, secret_scan, substring, suffix
 from faultlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,5 +39,13 @@ def op7_substring_dedup(spark, sf_dir):
     return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixture_packing, op3_secret_scan, op5_quality_rules, op7_substring_dedup)}
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (op2_mixture_packing, op3_secret_scan, op5_quality_rules, op7_substring_dedup, op10_suffix_dedup)
+}
 SQL: dict[str, str] = {}
