@@ -52,3 +52,19 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
     same = docs["doc_id"].eqNullSafe(kept["__kept_id"]) & (text_hash(docs["text"]) == kept["__kept_hash"])
     return docs.join(kept, same, "left_semi")
+
+
+#: The row of a documents table: its id (the least long where there is none) and the hash of its text.
+ROW = ["row_id", "row_hash"]
+
+
+def row_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def attach(docs: DataFrame, found: DataFrame, payload: str, row_bytes: int = 256) -> DataFrame:
+    """`docs` with all its columns, and `payload` of the stored (row_id, row_hash, payload) where there is one."""
+    keyed = docs.withColumns({"__row_id": row_id(), "__row_hash": text_hash()})
+    found = found.select(F.col("row_id").alias("__row_id"), F.col("row_hash").alias("__row_hash"), F.col(payload).alias("__payload"))
+    joined = join_small(keyed, found, ["__row_id", "__row_hash"], "left", row_bytes)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__payload")

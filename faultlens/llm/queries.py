@@ -5,13 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultlens.llm import packing, quality, secret_scan, substring, suffix
+from faultlens.llm import lines, packing, quality, secret_scan, substring, suffix
 from faultlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_line_dedup(spark, sf_dir):
+    found = lines.dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op2_mixture_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
@@ -46,6 +53,33 @@ def op10_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_mixture_packing, op3_secret_scan, op5_quality_rules, op7_substring_dedup, op10_suffix_dedup)
+    f.__name__: f for f in (op1_line_dedup, op2_mixture_packing, op3_secret_scan, op5_quality_rules, op7_substring_dedup, op10_suffix_dedup)
 }
 SQL: dict[str, str] = {}
+
+_SPACE = r"[\x20\x09-\x0D]+"
+
+SQL["op1_line_dedup"] = f"""
+WITH numbered AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+lines AS (
+  SELECT doc_id, line_no, list_filter(string_split_regex(line, '{_SPACE}'), lambda x: x <> '') AS w FROM numbered),
+classes AS (
+  SELECT w, len(w) AS n, min({{'d': doc_id, 'l': line_no}}) AS first FROM lines WHERE len(w) >= 3 GROUP BY w),
+halves AS (
+  SELECT *, unnest([{{'s': 0, 'k': w[:n // 2]}}, {{'s': 0, 'k': w[:(n - 1) // 2]}}, {{'s': 1, 'k': w[n // 2 + 1:]}}, {{'s': 1, 'k': w[(n - 1) // 2 + 2:]}}]) AS half
+  FROM classes WHERE n >= 10),
+near AS (
+  SELECT DISTINCT a.w FROM halves a JOIN halves b ON a.half = b.half AND b.first < a.first AND abs(a.n - b.n) <= 1
+  WHERE len(list_filter(range(greatest(a.n, b.n)), lambda i:
+    CASE WHEN a.n = b.n THEN list_concat(a.w[:i], a.w[i + 2:]) = list_concat(b.w[:i], b.w[i + 2:])
+         WHEN a.n > b.n THEN list_concat(a.w[:i], a.w[i + 2:]) = b.w
+         ELSE list_concat(b.w[:i], b.w[i + 2:]) = a.w END)) > 0),
+gone AS (
+  SELECT l.doc_id, l.line_no FROM lines l JOIN classes c ON l.w = c.w
+  WHERE {{'d': l.doc_id, 'l': l.line_no}} > c.first OR l.w IN (SELECT w FROM near)),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text, count(*) AS n FROM numbered ANTI JOIN gone USING (doc_id, line_no) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, CAST(len(string_split(d.text, chr(10))) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)"""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.llm import anchors
-from faultlens.llm.common import store, text_hash, texts
+from faultlens.llm.common import ROW, row_id, store, text_hash, texts
 from faultlens.llm.substring import united
 
 LENGTH = 400
@@ -26,8 +26,6 @@ GRAM = 32
 BLOCK_BYTES = 1 << 20
 
 RUN = ["anchor", "content", "n"]
-#: A row: its id (the least long for none) and the hash of its text.
-ROW = ["row_id", "row_hash"]
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -233,8 +231,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return texts(docs).select("doc_id", row_id.alias("row_id"), text_hash().alias("row_hash"), "text")
+    return texts(docs).select("doc_id", row_id().alias("row_id"), text_hash().alias("row_hash"), "text")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
