@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultlens.llm import lines, packing, quality, secret_scan, substring, suffix
+from faultlens.llm import lines, neardup, packing, quality, secret_scan, substring, suffix
 from faultlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,11 @@ def op7_substring_dedup(spark, sf_dir):
     return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_minhash_neardup(spark, sf_dir):
+    found = neardup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("class_id", "class_size", "kept")])
+
+
 def op10_suffix_dedup(spark, sf_dir):
     return suffix.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
@@ -53,7 +58,7 @@ def op10_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_line_dedup, op2_mixture_packing, op3_secret_scan, op5_quality_rules, op7_substring_dedup, op10_suffix_dedup)
+    f.__name__: f for f in (op1_line_dedup, op2_mixture_packing, op3_secret_scan, op5_quality_rules, op7_substring_dedup, op9_minhash_neardup, op10_suffix_dedup)
 }
 SQL: dict[str, str] = {}
 
