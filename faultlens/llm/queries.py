@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultlens.llm import lines, neardup, packing, quality, secret_scan, substring, suffix
+from faultlens.llm import decontam, licenses, lines, neardup, packing, quality, secret_scan, substring, suffix
 from faultlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,10 +42,19 @@ def op5_quality_rules(spark, sf_dir):
     )
 
 
+def op6_benchmark_decontamination(spark, sf_dir):
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "matched")
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_neardup(spark, sf_dir):
     found = neardup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("class_id", "class_size", "kept")])
@@ -58,12 +67,79 @@ def op10_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_line_dedup, op2_mixture_packing, op3_secret_scan, op5_quality_rules, op7_substring_dedup, op9_minhash_neardup, op10_suffix_dedup)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_mixture_packing,
+        op3_secret_scan,
+        op5_quality_rules,
+        op6_benchmark_decontamination,
+        op7_substring_dedup,
+        op8_license_scan,
+        op9_minhash_neardup,
+        op10_suffix_dedup,
+    )
 }
 SQL: dict[str, str] = {}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
+#: Words of letters and digits, in lower case.
+_PLAIN = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def _seed_sql(mask: str) -> str:
+    seen = ", ".join(f"w[i + {j}]" for j, c in enumerate(mask) if c == "1")
+    return f"SELECT *, '{mask}' AS mask, [{seen}] AS seed FROM windows"
+
+
+SQL["op6_benchmark_decontamination"] = f"""
+WITH words AS (
+  SELECT doc_id AS id, true AS is_doc, {_PLAIN} AS w FROM documents UNION ALL SELECT item_id, false, {_PLAIN} FROM benchmark),
+windows AS (SELECT *, unnest(range(1, len(w) - {len(decontam.MASKS[0]) - 2})) AS i FROM words),
+seeds AS ({" UNION ALL ".join(_seed_sql(m) for m in decontam.MASKS)}),
+hits AS (
+  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.w AS doc, b.w AS item, d.i - b.i AS diagonal
+  FROM seeds d JOIN seeds b ON d.mask = b.mask AND d.seed = b.seed WHERE d.is_doc AND NOT b.is_doc),
+places AS (SELECT *, unnest(range(greatest(1, 1 - diagonal), least(len(item), len(doc) - diagonal) + 1)) AS p FROM hits),
+points AS (SELECT doc_id, item_id, diagonal, p, item[p] = doc[p + diagonal] AS same FROM places),
+sums AS (
+  SELECT *, sum(CASE WHEN same THEN 1 ELSE -1 END) OVER w AS s, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER w AS e
+  FROM points WINDOW w AS (PARTITION BY doc_id, item_id, diagonal ORDER BY p)),
+lows AS (
+  SELECT *, arg_min({{'s': s, 'e': e}}, {{'s': s, 'p': -p}}) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS low FROM sums),
+stretches AS (
+  SELECT doc_id, item_id, diagonal, p, s - least(low.s, 0) AS score, e - CASE WHEN low.s <= 0 THEN low.e ELSE 0 END AS matched FROM lows),
+best AS (
+  SELECT doc_id, item_id, diagonal, max({{'score': score, 'p': -p, 'matched': matched}}) AS b FROM stretches GROUP BY ALL),
+pairs AS (
+  SELECT doc_id, item_id, max({{'score': b.score, 'matched': b.matched}}) AS b FROM best GROUP BY ALL)
+SELECT doc_id, item_id, CAST(b.score AS BIGINT) AS score, CAST(b.matched AS BIGINT) AS matched FROM pairs WHERE b.score >= {decontam.MIN_SCORE}"""
+
+_TEMPLATES = ", ".join(
+    "('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for name, several in licenses.TEMPLATES.items() for i, text in enumerate(several)
+)
+_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]))"
+
+SQL["op8_license_scan"] = f"""
+WITH listed AS (
+  SELECT license, template, {_BIGRAMS} AS b FROM (SELECT license, template, {_PLAIN} AS w FROM (VALUES {_TEMPLATES}) t(license, template, text))),
+numbered AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+blocks AS (SELECT *, sum(CASE WHEN trim(text) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM numbered),
+paragraphs AS (
+  SELECT doc_id, min(line) AS line, count(*) AS lines, string_agg(text, chr(10) ORDER BY line) AS text FROM blocks WHERE trim(text) <> '' GROUP BY doc_id, block),
+passages AS (
+  SELECT doc_id, line, lines, {_BIGRAMS} AS b FROM (
+    SELECT doc_id, line, lines, {_PLAIN} AS w FROM (SELECT doc_id, line, 1 AS lines, text FROM numbered UNION ALL SELECT * FROM paragraphs WHERE lines > 1))),
+asked AS (SELECT doc_id, line, lines, len(b) AS n, unnest(b) AS pair FROM passages WHERE len(b) <= (SELECT 2 * max(len(b)) FROM listed)),
+wanted AS (SELECT license, template, len(b) AS m, unnest(b) AS pair FROM listed),
+met AS (
+  SELECT doc_id, line, lines, license, round(2 * count(*) / (any_value(n) + any_value(m)), 6) AS dice
+  FROM asked JOIN wanted USING (pair) GROUP BY doc_id, line, lines, license, template),
+best AS (SELECT doc_id, line, lines, license, dice, row_number() OVER (PARTITION BY doc_id, line, lines ORDER BY dice DESC, license) AS k FROM met)
+SELECT doc_id, line, lines, license, dice FROM best WHERE k = 1 AND dice >= {licenses.MIN_DICE}"""
+
 SQL["op1_line_dedup"] = f"""
 WITH numbered AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
