@@ -1,24 +1,54 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet in the shared
-folder and read again as the next stage's documents.
+folder and read again as the next stage's documents. All but the last return the columns of their documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultlens.llm import quality
+from faultlens.llm import decontam, lines, neardup, packing, quality
 from faultlens.llm.common import keep_rows, store, table
+from faultlens.llm.queries import RANKS, TOKENIZER
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return keep_rows(docs, quality.judge(docs).filter("kept"))
+    return keep_rows(docs, store(quality.judge(docs).filter("kept").select("doc_id", "text_hash"), "pipeline-kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line repeats; those of which no word is left go."""
+    found = lines.dedup(docs).filter(r"__n_removed = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The earliest document of every class of near-duplicates."""
+    return neardup.dedup(docs).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences, with their token ids."""
+    return packing.pack(docs, TOKENIZER, RANKS)
 
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("packing", pack),
 ]
 
 #: Packing needs a tokenizer, which SQL does not have.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultlens.llm import decontam, licenses, lines, neardup, packing, quality, secret_scan, substring, suffix
+from faultlens.llm import decontam, licenses, lines, lm, neardup, packing, quality, secret_scan, substring, suffix
 from faultlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,11 @@ def op3_secret_scan(spark, sf_dir):
     )
 
 
+def op4_masked_lm_score(spark, sf_dir):
+    found = lm.train_and_score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_prob", 3).alias("log_prob"), F.round("mean_log_prob", 4).alias("mean_log_prob"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -72,6 +77,7 @@ QUERIES = {
         op1_line_dedup,
         op2_mixture_packing,
         op3_secret_scan,
+        op4_masked_lm_score,
         op5_quality_rules,
         op6_benchmark_decontamination,
         op7_substring_dedup,
@@ -119,7 +125,7 @@ SELECT doc_id, item_id, CAST(b.score AS BIGINT) AS score, CAST(b.matched AS BIGI
 _TEMPLATES = ", ".join(
     "('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for name, several in licenses.TEMPLATES.items() for i, text in enumerate(several)
 )
-_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]))"
+_BIGRAMS = "list_distinct(list_zip(w[:len(w) - 1], w[2:]))"
 
 SQL["op8_license_scan"] = f"""
 WITH listed AS (
