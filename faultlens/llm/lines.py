@@ -29,22 +29,25 @@ def _halves(w: Column) -> Column:
     A line of m words and one of m or m + 1 words within one edit share the first m // 2 words or the last m - m // 2.
     """
     n = F.size(w)
-    half = lambda x: F.floor(x / 2).cast("int")
+    low, high = F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")
     part = lambda side, size, content: F.struct(F.lit(side).alias("side"), size.alias("size"), F.xxhash64(F.lit(side), content).alias("key"))
     first = lambda size: part(0, size, F.slice(w, 1, size))
     last = lambda size: part(1, size, F.slice(w, n - size + 1, size))
-    return F.array_distinct(F.array(first(half(n)), first(half(n - 1)), last(n - half(n)), last(n - 1 - half(n - 1))))
+    # As the longer line, an even one also counts one word less at its beginning, an odd one at its end.
+    return F.array(first(low), last(high), F.when(n % 2 == 0, first(low - 1)).otherwise(last(low)))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(row_id, row_hash, line_no, line) of all lines."""
-    rows = texts(docs).select(row_id().alias("row_id"), text_hash().alias("row_hash"), F.posexplode(F.split("text", "\n")))
-    return rows.withColumnsRenamed({"pos": "line_no", "col": "line"})
+def _numbered(docs: DataFrame, shown) -> DataFrame:
+    """(row_id, row_hash, line_no, line) of all lines, each as `shown` makes it."""
+    # An outer explode: a plain one makes Spark compute the array a second time to filter empty ones.
+    lines = F.transform(F.split("text", "\n"), shown)
+    return texts(docs).select(row_id().alias("row_id"), text_hash().alias("row_hash"), F.posexplode_outer(lines).alias("line_no", "line"))
 
 
 def _hashed(docs: DataFrame, min_words: int) -> DataFrame:
     """Lines of `min_words` words or more, as words, with two hashes of them."""
-    rows = _numbered(docs).withColumn("words", words("line")).drop("line").filter(F.size("words") >= min_words)
+    # Split before the explode: the filter on top of it then sees words that are made once.
+    rows = _numbered(docs, words).withColumnRenamed("line", "words").filter(F.size("words") >= min_words)
     return rows.withColumns({"h1": F.xxhash64("words"), "h2": F.hash("words")})
 
 
@@ -60,7 +63,7 @@ def _variants(near: DataFrame) -> DataFrame:
             )
         )
     )
-    rows = near.select(*LINE, "words", F.explode(places).alias("i"))
+    rows = near.select(*LINE, "words", F.explode_outer(places).alias("i"))
     without = F.when(F.col("i") < n, F.xxhash64(F.slice(w, 1, F.col("i")), F.slice(w, F.col("i") + 2, n)))
     # Hashes run through array elements one after the other, so two slices hash like the joined array.
     rows = rows.select(*LINE, "i", F.explode(F.array(without, F.xxhash64(w, F.array().cast("array<string>")))).alias("v"))
@@ -97,11 +100,12 @@ def dropped(docs: DataFrame, min_words: int = MIN_WORDS, min_words_near: int = M
     paired = halves.join(met, "key", "left_semi").groupBy(*LINE).agg(F.collect_set("key").alias("met"))
     paired = store(paired.join(classes.select(*LINE, "first"), LINE), "lines-paired")
     at = paired.select(*[F.col(f"first.{c}").alias(c) for c in PLACE], *LINE, "met")
-    near = join_small(scanned.drop(*LINE), at, PLACE, "inner").dropDuplicates(LINE)
+    # Only the lines that are asked for are split again.
+    near = join_small(_numbered(docs, lambda line: line), at, PLACE, "inner").withColumn("words", words("line")).dropDuplicates(LINE)
     shared = F.filter(_halves(F.col("words")), lambda h: F.array_contains("met", h["key"]))
     near = store(near.select(*LINE, F.struct(*PLACE).alias("first"), "words", shared.alias("shared")), "lines-near")
 
-    variants = _variants(near)
+    variants = store(_variants(near), "lines-neighbourhood")
     again = variants.groupBy("variant").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("variant")
     variants = store(variants.join(again, "variant", "left_semi"), "lines-variants")
     order = near.select(*LINE, "first")
