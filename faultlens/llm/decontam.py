@@ -32,8 +32,9 @@ def _seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     windows = F.when(F.size("hashes") >= span, F.sequence(F.lit(0), F.size("hashes") - span))
     seeds = lambda i: F.array(*[F.xxhash64(F.lit(k), *[F.get("hashes", i + j) for j in at]) for k, at in enumerate(seen)])
     rest = [c for c in rows.columns if c != "hashes"]
-    rows = rows.select(*rest, F.posexplode(F.transform(windows, seeds)))
-    return rows.select(*rest, F.col("pos").alias("at"), F.explode("col").alias("seed"))
+    # An outer explode: a plain one makes Spark compute the array a second time to filter empty ones.
+    rows = rows.select(*rest, F.posexplode_outer(F.transform(windows, seeds)).alias("at", "seeds"))
+    return rows.select(*rest, "at", F.explode("seeds").alias("seed"))
 
 
 def _best_stretch(doc: Column, item: Column, diagonal: Column) -> Column:

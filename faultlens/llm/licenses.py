@@ -84,7 +84,7 @@ def passages(docs: DataFrame, *keep: str) -> DataFrame:
             F.array_join(F.slice("all", begin(k) + 1, F.greatest(end - begin(k), F.lit(0))), "\n").alias("text"),
         ),
     )
-    rows = rows.withColumn("passage", F.explode(F.concat("lines", F.coalesce(F.filter(blocks, lambda b: b["lines"] > 1), empty))))
+    rows = rows.withColumn("passage", F.explode_outer(F.concat("lines", F.coalesce(F.filter(blocks, lambda b: b["lines"] > 1), empty))))
     rows = rows.select(*keep, "passage.line", "passage.lines", plain_words("passage.text").alias("words"))
     return rows.select(*keep, "line", "lines", _bigrams(F.col("words")).alias("bigrams"))
 
@@ -99,10 +99,12 @@ def scan(docs: DataFrame, known: dict[str, tuple[str, ...]] = TEMPLATES, min_dic
     listed = templates(spark, known)
     smallest, largest = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     bounds = [len(t.split()) for several in known.values() for t in several]
-    found = passages(docs, "doc_id").withColumn("n", F.size("bigrams"))
-    # Words split at hyphens and slashes: a template has at most three times as many bigrams as it has spaces.
-    found = found.filter((F.col("n") > 0) & (F.col("n") <= 3 * max(bounds, default=0) * largest))
-    found = found.select("doc_id", "line", "lines", "n", F.explode("bigrams").alias("bigram"))
+    found = passages(docs, "doc_id")
+    # Words split at hyphens and slashes: a template has at most three times as many bigrams as it has spaces. An outer
+    # explode that also makes `n`: Spark would copy the costly arrays into the filters that it adds below.
+    sized = F.transform("bigrams", lambda b: F.struct(F.size("bigrams").alias("n"), b.alias("bigram")))
+    fits = F.when(F.size("bigrams") <= 3 * max(bounds, default=0) * largest, sized)
+    found = found.select("doc_id", "line", "lines", F.explode_outer(fits).alias("b")).select("doc_id", "line", "lines", "b.n", "b.bigram")
     close = (F.col("n") >= smallest * F.col("size")) & (F.col("n") <= largest * F.col("size"))
     met = found.join(F.broadcast(listed), "bigram").filter(close)
     met = met.groupBy("doc_id", "line", "lines", "n", "license", "template", "size").agg(F.count_distinct("bigram").alias("common"))
