@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
 # An odd multiplier has an inverse modulo 2**64, so one prefix sum gives the hash of every window.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -52,6 +53,20 @@ class Rolling:
         return mix((self.sums[width:] - self.sums[:-width]) * self.down[: len(self.sums) - width])
 
 
+def stacked(names: list[str], parts: list[tuple]) -> pd.DataFrame:
+    """One frame of many short parts; a part holds arrays of one length and single values that stand for all of it."""
+    if not parts:
+        return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
+    arrays = [i for i, x in enumerate(parts[0]) if isinstance(x, np.ndarray)]
+    sizes = [len(p[arrays[0]]) for p in parts]
+    return pd.DataFrame(
+        {
+            name: np.concatenate([p[i] for p in parts]) if i in arrays else np.repeat(np.array([p[i] for p in parts], np.int64), sizes)
+            for i, name in enumerate(names)
+        }
+    )
+
+
 def _slide(f, h: np.ndarray, width: int) -> np.ndarray:
     """f (minimum or maximum) of every `width` neighbours."""
     done = 1

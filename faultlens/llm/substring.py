@@ -48,13 +48,8 @@ def word_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
         for rows in batches:
             out = []
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                for anchor, content, first, n, _ in anchors.runs(known.of(split(text)), window, gram):
-                    out.append(pd.DataFrame({"doc_id": int(doc_id), "anchor": anchor, "content": content, "first": first, "n": n}))
-                    if len(out) > 2000:
-                        yield pd.concat(out)
-                        out = []
-            if out:
-                yield pd.concat(out)
+                out += [(int(doc_id), *run[:4]) for run in anchors.runs(known.of(split(text)), window, gram)]
+            yield anchors.stacked(["doc_id", "anchor", "content", "first", "n"], out)
 
     return docs.mapInPandas(scan, "doc_id long, anchor long, content long, first long, n long")
 
@@ -99,6 +94,8 @@ WINDOW_ROWS = "h1 long, h2 long, anchor long, content long, n long, doc_id long,
 def _windows(window: int):
     """Rows of a document and its runs -> a row for each window of these runs."""
 
+    names = ["h1", "h2", "anchor", "content", "n", "doc_id", "place"]
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for rows in batches:
@@ -114,16 +111,11 @@ def _windows(window: int):
                     if int(one.of(np.array([0]), np.array([len(part)])).view(np.int64)[0]) != run["content"]:
                         continue
                     h1, h2 = one.every(window).view(np.int64), two.every(window).view(np.int64)
-                    out.append(
-                        pd.DataFrame(
-                            {"h1": h1, "h2": h2, "anchor": run["anchor"], "content": run["content"], "n": run["n"], "doc_id": doc_id, "place": np.arange(len(h1))}
-                        )
-                    )
+                    out.append((h1, h2, run["anchor"], run["content"], run["n"], doc_id, np.arange(len(h1))))
                     if len(out) > 2000:
-                        yield pd.concat(out)
+                        yield anchors.stacked(names, out)
                         out = []
-            if out:
-                yield pd.concat(out)
+            yield anchors.stacked(names, out)
 
     return scan
 

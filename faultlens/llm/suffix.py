@@ -22,8 +22,8 @@ from faultlens.llm.substring import united
 
 LENGTH = 400
 GRAM = 32
-#: Bytes that one transform holds.
-BLOCK_BYTES = 1 << 20
+#: Most bytes of an anchor's runs that one transform holds; small anchors share one of a quarter of that.
+BLOCK_BYTES = 4 << 20
 
 RUN = ["anchor", "content", "n"]
 
@@ -39,13 +39,12 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     while True:
         order = np.argsort(key)
         ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[1, ranked[1:] != ranked[:-1]])
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]], dtype=np.int32)
         if done >= depth or rank[order[-1]] == n:
-            return order
-        follow = np.zeros(n, np.int64)
-        follow[:-done] = rank[done:]
-        key = rank * (n + 1) + follow
+            return order.astype(np.int32)
+        key = rank.astype(np.int64) * (n + 1)
+        key[:-done] += rank[done:]
         done *= 2
 
 
@@ -57,22 +56,22 @@ def common_prefix_classes(symbols: np.ndarray, length: int) -> tuple[np.ndarray,
     n = len(symbols)
     order = suffix_order(symbols, length)
     bwt = symbols[order - 1].astype(np.int16)
-    by_symbol = np.argsort(bwt, kind="stable")
-    to = np.empty(n, np.int64)  # where a suffix goes when it is extended to the left
-    to[by_symbol] = np.arange(n)
+    by_symbol = np.argsort(bwt, kind="stable").astype(np.int32)
+    to = np.empty(n, np.int32)  # where a suffix goes when it is extended to the left
+    to[by_symbol] = np.arange(n, dtype=np.int32)
     same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
-    following, previous = np.full(n, n), np.full(n, -1)
+    following, previous = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
     previous[by_symbol[1:][same]] = by_symbol[:-1][same]
 
     boundary = np.zeros(n + 1, bool)
     boundary[[0, n]] = True
-    begin, end = np.array([0]), np.array([n])
+    begin, end = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(length):  # common prefixes of 0, 1, ... symbols
         if not len(begin):
             break
         size = end - begin
-        at = np.arange(size.sum()) + np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size)
+        at = np.arange(size.sum(), dtype=np.int32) + np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]].astype(np.int32), size)
         text = bwt[at] > 0
         last = at[text & (following[at] >= np.repeat(end, size))]
         first = at[text & (previous[at] < np.repeat(begin, size))]
@@ -87,6 +86,8 @@ def common_prefix_classes(symbols: np.ndarray, length: int) -> tuple[np.ndarray,
 def byte_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(row_id, row_hash, anchor, content, first, n, again) of all runs of strings of `length` bytes."""
 
+    names = ["row_id", "row_hash", "anchor", "content", "first", "n", "again"]
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out, held = [], 0
@@ -95,14 +96,12 @@ def byte_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 for begin in range(0, max(len(values) - length + 1, 0), anchors.STRETCH):
                     part = values[begin : begin + anchors.STRETCH + length - 1].astype(np.uint64)
                     for anchor, content, first, n, again in anchors.runs(part, length, gram, places=True):
-                        columns = {"row_id": row_id, "row_hash": row_hash, "anchor": anchor, "content": content, "first": first + begin, "n": n, "again": again}
-                        out.append(pd.DataFrame(columns))
+                        out.append((row_id, row_hash, anchor, content, first + begin, n, again))
                         held += len(n)
-                    if held > 100_000:
-                        yield pd.concat(out)
+                    if held > 20_000:
+                        yield anchors.stacked(names, out)
                         out, held = [], 0
-            if out:
-                yield pd.concat(out)
+            yield anchors.stacked(names, out).astype({"again": bool})
 
     return docs.mapInPandas(scan, "row_id long, row_hash long, anchor long, content long, first long, n long, again boolean")
 
@@ -146,10 +145,10 @@ def _search(runs: list[tuple], length: int) -> list[tuple]:
     sizes = np.array([len(r[-1]) + 1 for r in runs])
     ends = np.cumsum(sizes)
     symbols = np.zeros(ends[-1], np.int16)
-    owner = np.repeat(np.arange(len(runs)), sizes)
+    owner = np.repeat(np.arange(len(runs), dtype=np.int32), sizes)
     for r, end, size in zip(runs, ends, sizes, strict=True):
         symbols[end - size : end - 1] = np.frombuffer(r[-1], np.uint8).astype(np.int16) + 1
-    starts = np.arange(len(symbols)) - (ends - sizes)[owner]
+    starts = (np.arange(len(symbols)) - (ends - sizes)[owner]).astype(np.int32)
     n = np.array([r[2] for r in runs])
     order, classes = common_prefix_classes(symbols, length)
     valid = starts[order] < n[owner[order]]
@@ -185,7 +184,7 @@ def _blocks(length: int, block_bytes: int):
             for r in rows[CUT].itertuples(index=False, name=None):
                 if waiting and r[:3] == waiting[-1][:3]:
                     continue
-                if held >= block_bytes and (r[0], r[4]) != last:
+                if 4 * held >= block_bytes and (r[0], r[4]) != last:
                     yield pd.DataFrame(_search(waiting, length), columns=FOUND).astype({"h1": "Int64", "h2": "Int64", "weight": "Int64"})
                     waiting, held = [], 0
                 waiting.append(r)
