@@ -9,8 +9,15 @@ from faultlens import constants as K
 from faultlens.functions import naming, text
 from faultlens.operators.windows import with_mode
 
-EFFECTIVE = max(400, K.CONTEXT_TOKENS - K.CONTEXT_OVERHEAD)
-ELASTIC = max(300, EFFECTIVE - K.FIXED_OVERHEAD)
+
+def effective(tokens: int) -> int:
+    """Tokens of a context that its own text may take."""
+    return max(400, tokens - K.CONTEXT_OVERHEAD)
+
+
+def elastic(tokens: int) -> int:
+    """Tokens that the sections share."""
+    return max(300, effective(tokens) - K.FIXED_OVERHEAD)
 
 
 def topology_text(edges: DataFrame) -> DataFrame:
@@ -36,7 +43,13 @@ def log_text(kept: DataFrame) -> DataFrame:
 
 
 def budget_sections(
-    cases: DataFrame, kept_logs: DataFrame, metrics: DataFrame, traces: DataFrame, edges: DataFrame, modes=K.MODES
+    cases: DataFrame,
+    kept_logs: DataFrame,
+    metrics: DataFrame,
+    traces: DataFrame,
+    edges: DataFrame,
+    modes=K.MODES,
+    tokens: int = K.CONTEXT_TOKENS,
 ) -> DataFrame:
     """Sections of every (case, mode) cut to their shares: traces, then metrics, logs take the rest.
 
@@ -56,10 +69,10 @@ def budget_sections(
         + F.when(F.col("topology").isNotNull() & F.col("t").isNotNull(), 2).otherwise(0)
     )
     trace_cap = F.greatest(
-        F.lit(K.TRACE_MIN), F.least(text.tokens_for_length(trace_chars, 3), F.lit(int(ELASTIC * K.TRACE_SHARE)))
+        F.lit(K.TRACE_MIN), F.least(text.tokens_for_length(trace_chars, 3), F.lit(int(elastic(tokens) * K.TRACE_SHARE)))
     )
     metric_cap = F.greatest(
-        F.lit(K.METRIC_MIN), F.least(text.est_tokens(F.col("m"), 3), F.lit(int(ELASTIC * K.METRIC_SHARE)))
+        F.lit(K.METRIC_MIN), F.least(text.est_tokens(F.col("m"), 3), F.lit(int(elastic(tokens) * K.METRIC_SHARE)))
     )
     d = d.withColumns(
         {
@@ -69,19 +82,19 @@ def budget_sections(
         }
     )
     used = text.est_tokens(F.concat_ws("\n\n", "header", "trace_section", "metric_section"), 3)
-    room = F.greatest(F.lit(K.LOG_MIN), F.lit(EFFECTIVE) - used - F.lit(K.LOG_SLACK))
+    room = F.greatest(F.lit(K.LOG_MIN), F.lit(effective(tokens)) - used - F.lit(K.LOG_SLACK))
     log_section = F.concat(F.lit(K.LOG_SECTION_TITLE), text.truncate_tokens(F.col("log_text"), room))
     return d.withColumn("log_section", log_section).select(
         "case_id", "mode", "header", "trace_section", "metric_section", "log_section"
     )
 
 
-def build_context(sections: DataFrame) -> DataFrame:
+def build_context(sections: DataFrame, budget: int = K.CONTEXT_TOKENS) -> DataFrame:
     """Final text and the tokens of every section; the whole is clamped to the budget."""
     whole = F.concat_ws("\n\n", "header", "trace_section", "metric_section", "log_section", F.lit(K.CONTEXT_CLOSING))
     tokens = lambda c: F.coalesce(text.est_tokens(F.col(c), 3), F.lit(0).cast("bigint"))
     return (
-        sections.withColumn("context", text.truncate_tokens(whole, F.lit(EFFECTIVE)))
+        sections.withColumn("context", text.truncate_tokens(whole, F.lit(effective(budget))))
         .withColumns(
             {
                 "trace_tokens": tokens("trace_section"),

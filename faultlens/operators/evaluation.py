@@ -212,7 +212,7 @@ def comparison_table(scores: DataFrame, modes=K.MODES) -> DataFrame:
     return wide.select("case_id", "ground_truth_service", "ground_truth_fault", *cells)
 
 
-def build_artifacts(reports: DataFrame, scores: DataFrame, contexts: DataFrame, debug: DataFrame) -> DataFrame:
+def build_artifacts(reports: DataFrame, scores: DataFrame, contexts: DataFrame, debug: DataFrame, tokens: int = K.CONTEXT_TOKENS) -> DataFrame:
     """One nested row per (case, mode): summary counts, fusion view, context, report, evaluation."""
     r = reports.select(
         *CASE_MODE,
@@ -238,7 +238,7 @@ def build_artifacts(reports: DataFrame, scores: DataFrame, contexts: DataFrame,
     c = contexts.select(
         *CASE_MODE,
         F.struct(
-            F.lit(K.CONTEXT_TOKENS).alias("max_tokens"), "total_tokens", "logs_tokens", "metric_tokens", "trace_tokens",
+            F.lit(tokens).alias("max_tokens"), "total_tokens", "logs_tokens", "metric_tokens", "trace_tokens",
             F.col("context").alias("preview"),
         ).alias("prompt"),
     )

@@ -72,11 +72,17 @@ def base_scores(signal_scores: DataFrame) -> DataFrame:
 def propagate(base: DataFrame, edges: DataFrame) -> DataFrame:
     """Shift blame from callers to scored callees.
 
-    Callers act in name order. A caller with scored callees keeps 60 % of what it has at its turn; each
+    Callers act in the order of their first calls. A caller with scored callees keeps 60 % of what it has at its turn; each
     of those callees gains 2. So a service's score follows from how many of its callers act before and
     after its own turn. Edges only count in modes that see traces.
     """
     scored = base.select(*CASE_MODE, "service")
+    # A service that never calls acts after all others.
+    turns = edges.groupBy("case_id", "caller").agg(F.min("first_call").alias("turn"))
+    edges = edges.drop("first_call").join(turns, ["case_id", "caller"])
+    own = turns.select("case_id", F.col("caller").alias("callee"), F.col("turn").alias("callee_turn"))
+    edges = edges.join(own, ["case_id", "callee"], "left")
+    early = F.col("callee_turn").isNull() | (F.col("turn") < F.col("callee_turn"))
     live = (
         scored.filter(F.col("mode").isin(*K.MODES_WITH_TRACES))
         .withColumnRenamed("service", "caller")
@@ -85,8 +91,8 @@ def propagate(base: DataFrame, edges: DataFrame) -> DataFrame:
     )
     damped = live.select(*CASE_MODE, F.col("caller").alias("service")).distinct().withColumn("damped", F.lit(True))
     boosts = live.groupBy(*CASE_MODE, F.col("callee").alias("service")).agg(
-        F.count_if(F.col("caller") < F.col("callee")).alias("before"),
-        F.count_if(F.col("caller") > F.col("callee")).alias("after"),
+        F.count_if(early).alias("before"),
+        F.count_if(~early).alias("after"),
     )
     joined = base.join(damped, [*CASE_MODE, "service"], "left").join(boosts, [*CASE_MODE, "service"], "left")
     before = F.coalesce("before", F.lit(0)) * K.CALLEE_BOOST

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens import constants as K
@@ -204,14 +204,12 @@ def snippets(
     )
 
 
-def log_evidence(snips: DataFrame, counts: DataFrame, budget: int = K.LOG_TOKEN_BUDGET) -> DataFrame:
-    """Evidence per service that has snippets: counts, phrase hits, token estimate, beginning of its text.
+def _header() -> Column:
+    return F.concat(F.lit("--- Service: "), F.col("service"), F.lit(" ---\n"))
 
-    A text is only ever read up to the token budget. A block takes at least 12 characters with its
-    separator, so the first `shown` snippets hold all that can be read; length and counts use all.
-    """
-    shown = (budget * 4 + 4) // 12 + 1
-    header = F.concat(F.lit("--- Service: "), F.col("service"), F.lit(" ---\n"))
+
+def log_evidence(snips: DataFrame, counts: DataFrame) -> DataFrame:
+    """Evidence per service that has snippets: counts, phrase hits and the token estimate of its whole text."""
     low = F.lower("target_line")
     totals = snips.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("snippets"),
@@ -219,36 +217,35 @@ def log_evidence(snips: DataFrame, counts: DataFrame, budget: int = K.LOG_TOKEN_
         F.count_if(text.contains_any(low, K.INFRA_PHRASES)).alias("infra_hits"),
         F.count_if(text.contains_any(low, K.SILENT_PHRASES)).alias("silent_hits"),
     )
-    first = Window.partitionBy(*SERIES).orderBy("line_number")
-    texts = (
-        snips.select(*SERIES, "line_number", "block")
-        .withColumn("__r", F.row_number().over(first))
-        .filter(F.col("__r") <= shown)
-        .groupBy(*SERIES)
-        .agg(F.sort_array(F.collect_list(F.struct("line_number", "block"))).alias("__b"))
-        .select(*SERIES, F.array_join(F.transform("__b", lambda x: x["block"]), "\n\n").alias("__t"))
+    return totals.join(counts, SERIES).select(
+        *SERIES,
+        "total_lines",
+        "novel_templates",
+        "snippets",
+        "infra_hits",
+        "silent_hits",
+        text.tokens_for_length(F.length(_header()) + F.col("__chars")).alias("tokens"),
     )
+
+
+def evidence_text(snips: DataFrame) -> DataFrame:
+    """(case, service, text): all snippets of each service in one text, for those who ask for it whole."""
+    blocks = F.sort_array(F.collect_list(F.struct("line_number", "block")))
     return (
-        totals.join(texts, SERIES)
-        .join(counts, SERIES)
-        .select(
-            *SERIES,
-            "total_lines",
-            "novel_templates",
-            "snippets",
-            "infra_hits",
-            "silent_hits",
-            text.tokens_for_length(F.length(header) + F.col("__chars")).alias("tokens"),
-            F.concat(header, F.col("__t")).alias("text"),
-        )
+        snips.groupBy(*SERIES)
+        .agg(blocks.alias("__b"))
+        .select(*SERIES, F.concat(_header(), F.array_join(F.transform("__b", lambda x: x["block"]), "\n\n")).alias("text"))
     )
 
 
-def budget_services(evidence: DataFrame, budget: int = K.LOG_TOKEN_BUDGET) -> DataFrame:
-    """Services kept under the case's token budget, in priority order.
+def budget_services(evidence: DataFrame, snips: DataFrame, budget: int = K.LOG_TOKEN_BUDGET) -> DataFrame:
+    """Services kept under the case's token budget, in priority order, with their texts.
 
-    The first service that overflows is cut to what remains when that is worth it; nothing follows it.
+    The first service that overflows is cut to what remains when that is worth it; nothing follows it. A text is put
+    together once its service is kept. It has at most `budget` tokens, and a block takes at least 12 characters with
+    its separator, so the first `most` snippets hold every text.
     """
+    most = (budget * 4 + 4) // 12 + 1
     order = Window.partitionBy("case_id").orderBy(
         F.col("snippets").desc(), F.col("novel_templates").desc(), F.col("service")
     )
@@ -266,6 +263,10 @@ def budget_services(evidence: DataFrame, budget: int = K.LOG_TOKEN_BUDGET) -> Da
         )
         .withColumn("truncated", over)
     )
+    first = Window.partitionBy(*SERIES).orderBy("line_number")
+    read = snips.join(kept.select(*SERIES), SERIES, "left_semi").select(*SERIES, "line_number", "block")
+    read = read.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= most)
+    kept = kept.join(evidence_text(read), SERIES)
     cut = F.concat(F.substring("text", F.lit(1), (F.col("__left") * 4).cast("int")), F.lit(K.TRUNCATED_SUFFIX))
     return kept.withColumns(
         {

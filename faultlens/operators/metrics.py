@@ -131,7 +131,9 @@ def oom_risk(df: DataFrame, slope_limit: float = K.OOM_SLOPE_BYTES_PER_SECOND) -
     )
 
 
-def evaluate(points: DataFrame, z_threshold: float = K.Z_THRESHOLD) -> DataFrame:
+def evaluate(
+    points: DataFrame, z_threshold: float = K.Z_THRESHOLD, slope_limit: float = K.OOM_SLOPE_BYTES_PER_SECOND
+) -> DataFrame:
     """Every incident series with all its numbers, before the alert rule."""
     incident = points.filter(F.col("phase") == "incident")
     stats = reference_stats(points)
@@ -155,7 +157,7 @@ def evaluate(points: DataFrame, z_threshold: float = K.Z_THRESHOLD) -> DataFrame
         }
     )
     full = named.join(slopes, METRIC, "left").join(memory_limits(points), ["case_id", "service"], "left")
-    return oom_risk(z_scores(full)).withColumn("tau", adaptive_tau(F.col("mean"), F.col("std"), z_threshold))
+    return oom_risk(z_scores(full), slope_limit).withColumn("tau", adaptive_tau(F.col("mean"), F.col("std"), z_threshold))
 
 
 def alerts(evaluated: DataFrame) -> DataFrame:

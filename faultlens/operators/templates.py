@@ -1,244 +1,74 @@
-"""Template mining with a fixed-depth parse tree (He et al., ICWS 2017), as a grouped Spark job.
-
-A leaf of the tree is (number of tokens, first token). Leaves never exchange lines, so they are mined
-independently. Lines do not reach Python: they are reduced to distinct masked signatures with the
-position of their first occurrence, and only those are replayed in order. The result is still that of
-feeding every line: a repeated line can only matter when it would now change a cluster, and the replay
-knows when that is. It then asks for the next occurrences of just that signature, Spark looks them up,
-and the leaf is replayed with them. A line finds its template by signature and position.
+"""Log templates that do not depend on the order of lines.
+
+A leaf holds the distinct masked signatures of a case with the same number of tokens and the same first token. A
+place of a leaf whose words differ in more than a share of its signatures is a parameter and becomes a wildcard; the
+signatures of a leaf that then read the same are one template. Leaves are counted with map-side combining, lines are
+reduced to distinct signatures before, and what is joined back is one short row per leaf.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens import constants as K
 from faultlens.functions import text
-from faultlens.plans.materialize import materialize
 
 LEAF = ["case_id", "width", "head"]
-# A position orders all lines of a case: baseline first, then service by service, then line by line.
-INCIDENT_AT = 1 << 61
-SERVICE_STRIDE = 1 << 44
-# Occurrences looked up at a time for a signature that may change a cluster again.
-LOOKAHEAD = 64
-MINED = "case_id string, width int, head string, kind string, signature string, cluster string, since bigint, template string"
-
-
-def with_position(lines: DataFrame) -> DataFrame:
-    """Add `signature` and `pos`; services come in the order of their first line."""
-    services = lines.groupBy("case_id", "phase", "service").agg(F.min("ts").alias("__first"))
-    order = Window.partitionBy("case_id", "phase").orderBy("__first", "service")
-    ranked = services.select("case_id", "phase", "service", F.row_number().over(order).alias("__s"))
-    base = F.when(F.col("phase") == "incident", F.lit(INCIDENT_AT)).otherwise(F.lit(0))
-    return (
-        lines.withColumn("signature", text.signature(F.col("line")))
-        .join(ranked, ["case_id", "phase", "service"])
-        .withColumn("pos", base + F.col("__s") * F.lit(SERVICE_STRIDE) + F.col("line_no"))
-        .drop("__s")
-    )
-
-
-def _leaves(signatures: DataFrame) -> DataFrame:
-    """Tree leaf of each signature. Words beyond the child limit share the wildcard leaf."""
-    width = F.size(F.split("signature", " "))
-    first = F.split_part("signature", F.lit(" "), F.lit(1))
-    word = F.when(first.rlike(r"(?U)\d"), F.lit(K.WILDCARD)).otherwise(first)
-    d = signatures.withColumns({"width": width, "word": F.when(width > 1, word).otherwise(F.lit(""))})
-    order = Window.partitionBy("case_id", "width").orderBy("__at")
-    own = (
-        d.filter(F.col("word") != K.WILDCARD)
-        .groupBy("case_id", "width", "word")
-        .agg(F.min("pos").alias("__at"))
-        .withColumn("__r", F.row_number().over(order))
-        .filter(F.col("__r") < K.TEMPLATE_MAX_CHILDREN)
-        .select("case_id", "width", "word", F.col("word").alias("head"))
-    )
-    return d.join(own, ["case_id", "width", "word"], "left").withColumn(
-        "head", F.coalesce("head", F.lit(K.WILDCARD))
-    ).drop("word")
-
-
-def _next_known(known: list, after: int) -> tuple[bool, int | None]:
-    """(is it known, position) of the next occurrence behind `after`."""
-    for start, places, whole in known:
-        if start <= after:
-            later = [q for q in places if q > after]
-            if later or whole:
-                return True, (later[0] if later else None)
-    return False, None
-
-
-def _mine_leaf(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Replay one leaf: assignments of signatures and templates of clusters, or requests for occurrences."""
-    case_id, width, head = key
-    rows = rows.sort_values("pos")
-    signatures = rows["signature"].tolist()
-    code: dict[str, int] = {}
-    words = np.array([[code.setdefault(w, len(code)) for w in s.split(" ")] for s in signatures])
-    names = list(code)
-    known = [[(k["after"], list(k["places"]), k["whole"]) for k in ks] if ks is not None else [] for ks in rows["known"]]
-    seen, owner = np.zeros(len(words), bool), np.full(len(words), -1)
-    clusters: list[np.ndarray] = []
-    shared = np.zeros((len(words), 0), int)  # fixed tokens a signature shares with a cluster
-    fixed = np.zeros(0, int)  # fixed tokens of a cluster
-    queue = [(int(p), i) for i, p in enumerate(rows["pos"])]
-    heapq.heapify(queue)
-    queued = set(queue)
-    out = []
-
-    def nearest(which):
-        # Most shared tokens, then most wildcards, then the older cluster.
-        best = np.argmax(shared[which] * (width + 1) + (width - fixed), axis=-1)
-        near = np.take_along_axis(shared[which], np.expand_dims(best, -1), -1)[..., 0]
-        return np.where(near / width >= K.TEMPLATE_SIMILARITY, best, -1), near
-
-    while queue:
-        place, i = heapq.heappop(queue)
-        seen[i] = True
-        best, near = nearest(i) if clusters else (-1, 0)
-        if best >= 0 and near == fixed[best]:
-            if owner[i] != best:
-                owner[i] = best
-                out.append(("assign", signatures[i], int(best), place, None))
-            continue
-        if best < 0:
-            best = len(clusters)
-            clusters.append(words[i].copy())
-            shared, fixed = np.column_stack([shared, np.zeros(len(words), int)]), np.append(fixed, 0)
-        else:
-            clusters[best][clusters[best] != words[i]] = -1
-        now = clusters[best]
-        shared[:, best], fixed[best] = ((words == now) & (now >= 0)).sum(axis=1), (now >= 0).sum()
-        out.append(("template", None, int(best), place, " ".join(names[w] if w >= 0 else K.WILDCARD for w in now)))
-        live = np.flatnonzero(seen)
-        owners, nears = nearest(live)
-        for j in live[owners != owner[live]]:
-            owner[j] = owners[np.searchsorted(live, j)]
-            if owner[j] >= 0:
-                out.append(("assign", signatures[j], int(owner[j]), place, None))
-        requests = []
-        for j in live[(owners < 0) | (nears != fixed[owners])]:
-            found, q = _next_known(known[j], place)
-            if not found:
-                requests.append(("request", signatures[j], -1, place, None))
-            elif q is not None and (q, j) not in queued:
-                queued.add((q, j))
-                heapq.heappush(queue, (q, j))
-        if requests:
-            out = requests
-            break
-    mined = pd.DataFrame(out, columns=["kind", "signature", "c", "since", "template"])
-    mined["cluster"] = [f"{width} {head} {c}" for c in mined["c"]]
-    return mined.assign(case_id=case_id, width=width, head=head)[
-        ["case_id", "width", "head", "kind", "signature", "cluster", "since", "template"]
-    ]
-
-
-def replay(positioned: DataFrame) -> DataFrame:
-    """Rows `assign` (signature, cluster, since) and `template` (cluster, template, since) of every leaf."""
-    signatures = positioned.filter(F.col("signature") != "").groupBy("case_id", "signature").agg(F.min("pos").alias("pos"))
-    firsts = materialize(_leaves(signatures), "signatures")
-    pair = ["case_id", "signature"]
-    none = F.lit(None).cast("array<struct<after:bigint,places:array<bigint>,whole:boolean>>")
-    todo, known, places, finished = firsts.withColumn("known", none), None, None, []
-    while True:
-        mined = materialize(todo.groupBy(*LEAF).applyInPandas(_mine_leaf, MINED), "templates")
-        finished.append(mined.filter("kind <> 'request'"))
-        requests = mined.filter("kind = 'request'")
-        if requests.isEmpty():
-            break
-        if places is None:
-            places = materialize(positioned.select(*pair, "pos"), "places")
-        first = Window.partitionBy(*pair, "since").orderBy("pos")
-        ahead = (
-            requests.select(*pair, "since")
-            .join(places, pair)
-            .filter(F.col("pos") > F.col("since"))
-            .withColumn("__r", F.row_number().over(first))
-            .filter(F.col("__r") <= LOOKAHEAD)
-            .groupBy(*pair, "since")
-            .agg(F.sort_array(F.collect_list("pos")).alias("places"))
-        )
-        found = F.coalesce("places", F.array().cast("array<bigint>"))
-        answer = F.struct(F.col("since").alias("after"), found.alias("places"), (F.size(found) < LOOKAHEAD).alias("whole"))
-        answers = requests.select(*pair, "since").join(ahead, [*pair, "since"], "left").select(*pair, answer.alias("k"))
-        known = materialize(answers if known is None else known.unionByName(answers), "known")
-        per_signature = known.groupBy(*pair).agg(F.collect_list("k").alias("known"))
-        todo = firsts.join(requests.select(*LEAF).distinct(), LEAF, "left_semi").join(per_signature, pair, "left")
-    whole = finished[0]
-    for part in finished[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
-def _frozen(templates: DataFrame) -> DataFrame:
-    """Template of each cluster at the end of the baseline."""
-    return (
-        templates.filter(F.col("since") < INCIDENT_AT)
-        .groupBy("case_id", "cluster")
-        .agg(F.max_by("template", "since").alias("template"))
-    )
-
-
-def mine_templates(lines: DataFrame) -> DataFrame:
+#: Share of a leaf's signatures that differing words must exceed to make their place a wildcard.
+WILD_SHARE = 0.1
+
+
+def with_leaf(signatures: DataFrame) -> DataFrame:
+    """Add `tokens` and the leaf of each signature; a first token with a digit is a wildcard head."""
+    tokens = F.split("signature", " ")
+    first = F.get(tokens, F.lit(0))
+    head = F.when(first.rlike(r"(?U)\d"), F.lit(K.WILDCARD)).otherwise(first)
+    return signatures.withColumns({"tokens": tokens, "width": F.size(tokens), "head": head})
+
+
+def wild_places(signatures: DataFrame, share: float = WILD_SHARE) -> DataFrame:
+    """(leaf, wild): the places of each leaf that are parameters."""
+    words = signatures.select(*LEAF, "signature", F.posexplode_outer("tokens").alias("place", "word"))
+    counted = words.groupBy(*LEAF, "place").agg(F.count_distinct("word").alias("words"), F.count_distinct("signature").alias("of"))
+    parameter = (F.col("words") > 1) & (F.col("words") > share * F.col("of"))
+    # A list of at most `width` places.
+    return counted.groupBy(*LEAF).agg(F.collect_set(F.when(parameter, F.col("place"))).alias("wild"))
+
+
+def _template(tokens: Column, wild: Column) -> Column:
+    """Tokens with the wild places masked; a leaf that was never seen has none."""
+    shown = F.transform(tokens, lambda w, i: F.when(F.array_contains(wild, i), F.lit(K.WILDCARD)).otherwise(w))
+    return F.array_join(F.when(wild.isNull(), tokens).otherwise(shown), " ")
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("signature", text.signature(F.col("line")))
+
+
+def baseline_templates(lines: DataFrame, share: float = WILD_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(leaf, wild) and (case, template, signatures) of the baseline lines."""
+    known = _signed(lines.filter(F.col("phase") == "baseline")).select("case_id", "signature").filter("signature <> ''").distinct()
+    known = with_leaf(known)
+    wild = wild_places(known, share)
+    named = known.join(wild, LEAF).select("case_id", _template(F.col("tokens"), F.col("wild")).alias("template"))
+    return wild, named.groupBy("case_id", "template").agg(F.count(F.lit(1)).alias("signatures"))
+
+
+def mine_templates(lines: DataFrame, share: float = WILD_SHARE) -> DataFrame:
     """Templates of the baseline lines per case, with the number of distinct signatures behind each."""
-    mined = replay(with_position(lines.filter(F.col("phase") == "baseline")))
-    latest = _frozen(mined.filter("kind = 'template'"))
-    members = (
-        mined.filter("kind = 'assign'")
-        .groupBy("case_id", "signature")
-        .agg(F.max_by("cluster", "since").alias("cluster"))
-        .groupBy("case_id", "cluster")
-        .agg(F.count(F.lit(1)).alias("signatures"))
-    )
-    return (
-        latest.join(members, ["case_id", "cluster"], "left")
-        .groupBy("case_id", "template")
-        .agg(F.sum(F.coalesce("signatures", F.lit(0))).alias("signatures"))
-    )
-
-
-def _last(history: Column, position: Column) -> Column:
-    return F.try_element_at(F.filter(history, lambda v: v["since"] <= position), F.lit(-1))
-
-
-def classify_lines(lines: DataFrame) -> DataFrame:
-    """Incident lines with template and novelty: novel is a template the frozen baseline set lacks.
-
-    A cluster may widen during the incident; from that position on its lines carry the wider template.
+    return baseline_templates(lines, share)[1]
+
+
+def classify_lines(lines: DataFrame, share: float = WILD_SHARE) -> DataFrame:
+    """Incident lines with template and novelty: novel is a template that the baseline lacks.
+
+    A line is read with the wildcards of its leaf in the baseline. A blank line has an empty template, never novel.
     """
-    positioned = with_position(lines)
-    mined = replay(positioned)
-    templates = mined.filter("kind = 'template'").select("case_id", "cluster", "since", "template")
-    known = _frozen(templates).select("case_id", "template").distinct().withColumn("known", F.lit(True))
-    # A cluster has at most one template per token, a signature a few clusters: both lists are short.
-    history = (
-        templates.join(known, ["case_id", "template"], "left")
-        .groupBy("case_id", "cluster")
-        .agg(F.sort_array(F.collect_list(F.struct("since", "template", F.coalesce("known", F.lit(False)).alias("known")))).alias("history"))
-    )
-    by_signature = (
-        mined.filter("kind = 'assign'")
-        .select("case_id", "signature", "since", "cluster")
-        .join(history, ["case_id", "cluster"])
-        .groupBy("case_id", "signature")
-        .agg(F.sort_array(F.collect_list(F.struct("since", "history"))).alias("owners"))
-    )
-    incident = positioned.filter(F.col("phase") == "incident")
-    return (
-        incident.join(by_signature, ["case_id", "signature"], "left")
-        .withColumn("__v", _last(_last(F.col("owners"), F.col("pos"))["history"], F.col("pos")))
-        .withColumns(
-            {
-                "template": F.coalesce(F.col("__v.template"), F.lit("")),
-                "is_novel": F.coalesce(~F.col("__v.known"), F.lit(False)),
-            }
-        )
-        .drop("__v", "owners", "signature", "pos")
-    )
+    wild, known = baseline_templates(lines, share)
+    incident = with_leaf(_signed(lines.filter(F.col("phase") == "incident"))).join(wild, LEAF, "left")
+    named = incident.withColumn("template", _template(F.col("tokens"), F.col("wild")))
+    known = known.select("case_id", "template", F.lit(True).alias("__known"))
+    judged = named.join(known, ["case_id", "template"], "left")
+    novel = F.col("__known").isNull() & (F.col("template") != "")
+    return judged.withColumn("is_novel", novel).select(*lines.columns, "template", "is_novel")

@@ -62,8 +62,8 @@ def service_edges(links: DataFrame) -> DataFrame:
         links.filter(
             F.col("has_parent") & (F.col("parent_service") != F.col("service")) & known("parent_service") & known("service")
         )
-        .select("case_id", F.col("parent_service").alias("caller"), F.col("service").alias("callee"))
-        .distinct()
+        .groupBy("case_id", F.col("parent_service").alias("caller"), F.col("service").alias("callee"))
+        .agg(F.min(F.struct("trace_start_us", "trace_id", "seq")).alias("first_call"))
     )
 
 
@@ -330,16 +330,19 @@ def call_tree(facts: DataFrame, leafs: DataFrame, limit: int = K.MAX_CALL_TREES)
     return heads.unionByName(body)
 
 
-def call_tree_text(lines: DataFrame, readable: int = K.CONTEXT_TOKENS * 3) -> DataFrame:
-    """Beginning of each case's call-tree text and the length of all of it.
+def call_tree_text(lines: DataFrame, readable: int | None = None) -> DataFrame:
+    """Call-tree text of each case and its length.
 
-    A context never reads more than `readable` characters, and a line takes at least 8 of them.
+    With `readable`, the number of characters that somebody will read of it, lines that cannot be among them are left
+    out of the text (a line takes at least 8 characters with its break); the length still tells of all.
     """
     order = Window.partitionBy("case_id").orderBy("trace_rank", "path")
     size = lines.groupBy("case_id").agg(
         (F.sum(F.length("line") + 1) - 1 + (F.count_distinct("trace_rank") - 1)).alias("tree_chars")
     )
-    shown = lines.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= min(readable // 8, 999))
+    shown = lines.withColumn("__r", F.row_number().over(order))
+    if readable is not None:
+        shown = shown.filter(F.col("__r") <= readable // 8 + 1)
     # A blank line parts two trees: every head but the first brings an extra line break.
     piece = F.when((F.size("path") == 0) & (F.col("__r") > 1), F.concat(F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
     texts = (
@@ -386,6 +389,8 @@ def trace_text(evidence: DataFrame, trees: DataFrame) -> DataFrame:
     )
 
 
-def dedup_traces(spans: DataFrame) -> DataFrame:
-    """Drop spans captured twice by overlapping requests."""
-    return spans.dropDuplicates(SPAN)
+def dedup_traces(spans: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Drop spans captured twice by overlapping requests; of differing copies the first by `order` stays."""
+    row = F.struct(*[F.col(c) for c in spans.columns])
+    first = spans.groupBy(*SPAN).agg(F.min_by(row, F.struct(*order)).alias("__row"))
+    return first.select(*[F.col(f"__row.{c}").alias(c) for c in spans.columns])

@@ -111,13 +111,12 @@ def sample_traces(
     incident_traces: int = K.SAMPLE_INCIDENT_TRACES,
     baseline_traces: int = K.SAMPLE_BASELINE_TRACES,
     seed: int = K.SAMPLE_SEED,
-    trigger: int = K.SAMPLE_TRIGGER_SPANS,
 ) -> DataFrame:
-    """Whole-trace sample of the cases with more than `trigger` spans, by hash order within each side.
+    """Whole-trace sample of every case, by hash order within each side.
 
-    A trace is drawn for the side(s) its own rows lie on, as a row-wise mask would see it.
+    A trace is drawn for the side(s) its own rows lie on, as a row-wise mask would see it. Which cases to sample is
+    the caller's choice: hand in their spans.
     """
-    large = spans.groupBy("case_id").agg((F.count(F.lit(1)) > trigger).alias("large"))
     ids = spans.select("case_id", "phase", "trace_id").distinct()
     by_hash = Window.partitionBy("case_id", "phase").orderBy(
         _pick_order("case_id", "trace_id", seed=seed), "trace_id"
@@ -130,38 +129,32 @@ def sample_traces(
         .filter(F.col("pick") <= quota)
         .select("case_id", "trace_id")
         .distinct()
-        .withColumn("picked", F.lit(True))
-    )
-    return (
-        spans.join(large, "case_id")
-        .join(picked, ["case_id", "trace_id"], "left")
-        .filter(~F.col("large") | F.col("picked"))
-        .select(*spans.columns)
     )
+    return spans.join(picked, ["case_id", "trace_id"], "left_semi").select(*spans.columns)
 
 
 def sample_rows(
     spans: DataFrame,
-    trigger: int = K.SAMPLE_TRIGGER_ROWS,
+    rows: int = K.SAMPLE_TRIGGER_ROWS,
     incident_rows: int = K.SAMPLE_INCIDENT_ROWS,
     seed: int = K.SAMPLE_SEED,
 ) -> DataFrame:
-    """Row sample for spans without trace ids: incident rows first, filled up with baseline rows.
+    """Sample of `rows` rows a case, for spans without trace ids: incident rows first, filled up with baseline rows.
 
     Rows are ranked by a hash; the rank comes from hash ranges, so a large case spans many tasks.
     """
     sizes = spans.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("__n"), F.count_if(F.col("phase") == "incident").alias("__inc")
+        F.count_if(F.col("phase") == "incident").alias("__inc")
     )
     kept_incident = F.least(F.col("__inc"), F.lit(incident_rows))
-    quota = F.when(F.col("phase") == "incident", kept_incident).otherwise(F.lit(trigger) - kept_incident)
+    quota = F.when(F.col("phase") == "incident", kept_incident).otherwise(F.lit(rows) - kept_incident)
     hashed = spans.withColumn("__h", _pick_order("case_id", "span_id", seed=seed))
     ranked = numbered(
         hashed, ["case_id", "phase"], ["__h", "span_id"], F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"), "__pick"
     )
     return (
         ranked.join(sizes, "case_id")
-        .filter((F.col("__n") <= trigger) | (F.col("__pick") < quota))
+        .filter(F.col("__pick") < quota)
         .select(*spans.columns)
     )
 

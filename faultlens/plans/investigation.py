@@ -17,7 +17,8 @@ class Investigation:
     """Lazy stages over all cases. Evidence shared by several stages is written once.
 
     `raw_logs(case_id, service, ts, message, seq)`, `raw_points(case_id, metric_name, query, ts, value,
-    seq)`, `raw_spans` as in `operators.traces`, `cases(case_id, inject_time, gt_service, gt_fault)`.
+    seq)`, `raw_spans` as in `operators.traces`, `cases(case_id, inject_time, gt_service, gt_fault)`. A case without
+    baseline lines is held against `saved_templates(template)`, if given.
     """
 
     cases: DataFrame
@@ -26,9 +27,21 @@ class Investigation:
     raw_spans: DataFrame
     baseline_seconds: float = K.BASELINE_SECONDS
     incident_seconds: float = K.INCIDENT_SECONDS
-    template_source: str = "mined"
+    template_source: str = "signature"
+    saved_templates: DataFrame | None = None
+    context_before: int = K.CONTEXT_BEFORE
+    context_after: int = K.CONTEXT_AFTER
+    log_tokens: int = K.LOG_TOKEN_BUDGET
+    context_tokens: int = K.CONTEXT_TOKENS
+    z_threshold: float = K.Z_THRESHOLD
+    slope_limit: float = K.OOM_SLOPE_BYTES_PER_SECOND
+    alert_count: int = K.MAX_ALERTS
     modes: tuple[str, ...] = K.MODES
 
+    def __post_init__(self) -> None:
+        # Written once, so that Spark knows how small it is: joins with raw rows then broadcast it by its size.
+        self.cases = materialize(self.cases, "cases")
+
     # --- slices -----------------------------------------------------------------------------
     @cached_property
     def lines(self) -> DataFrame:
@@ -64,7 +77,7 @@ class Investigation:
             calm = windows.as_lines(self.labelled_logs.filter("phase = 'baseline'"))
             known = logs.with_signatures(calm).select("case_id", "template")
             incident = windows.number_lines(self.labelled_logs.filter("phase = 'incident'"))
-            judged = logs.flag_novel(logs.with_signatures(incident), known)
+            judged = logs.flag_novel(logs.with_signatures(incident), known, self.saved_templates)
         return logs.annotate(judged)
 
     @cached_property
@@ -77,7 +90,7 @@ class Investigation:
 
     @cached_property
     def log_windows(self) -> DataFrame:
-        return logs.merge_windows(self.positioned)
+        return logs.merge_windows(self.positioned, self.context_before, self.context_after)
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -85,7 +98,7 @@ class Investigation:
 
     @cached_property
     def snippets(self) -> DataFrame:
-        return materialize(logs.snippets(self.targets, self.positioned), "snippets")
+        return materialize(logs.snippets(self.targets, self.positioned, self.context_before, self.context_after), "snippets")
 
     @cached_property
     def log_evidence(self) -> DataFrame:
@@ -93,12 +106,12 @@ class Investigation:
 
     @cached_property
     def kept_logs(self) -> DataFrame:
-        return materialize(logs.budget_services(self.log_evidence), "kept-logs")
+        return materialize(logs.budget_services(self.log_evidence, self.snippets, self.log_tokens), "kept-logs")
 
     # --- metrics ----------------------------------------------------------------------------
     @cached_property
     def evaluated(self) -> DataFrame:
-        return materialize(metrics.evaluate(self.points), "evaluated")
+        return materialize(metrics.evaluate(self.points, self.z_threshold, self.slope_limit), "evaluated")
 
     @cached_property
     def alerts(self) -> DataFrame:
@@ -106,7 +119,7 @@ class Investigation:
 
     @cached_property
     def top_alerts(self) -> DataFrame:
-        return metrics.top_alerts(self.alerts)
+        return metrics.top_alerts(self.alerts, self.alert_count)
 
     @cached_property
     def metric_evidence(self) -> DataFrame:
@@ -135,7 +148,8 @@ class Investigation:
 
     @cached_property
     def trace_text(self) -> DataFrame:
-        return traces.trace_text(self.trace_evidence, traces.call_tree_text(self.call_tree))
+        """Trace section as far as a context can read it."""
+        return traces.trace_text(self.trace_evidence, traces.call_tree_text(self.call_tree, self.context_tokens * 3))
 
     # --- fusion -----------------------------------------------------------------------------
     @cached_property
@@ -163,12 +177,12 @@ class Investigation:
     @cached_property
     def sections(self) -> DataFrame:
         return context.budget_sections(
-            self.cases, self.kept_logs, self.metric_evidence, self.trace_text, self.edges, self.modes
+            self.cases, self.kept_logs, self.metric_evidence, self.trace_text, self.edges, self.modes, self.context_tokens
         )
 
     @cached_property
     def contexts(self) -> DataFrame:
-        return context.build_context(self.sections)
+        return context.build_context(self.sections, self.context_tokens)
 
     # --- evaluation -------------------------------------------------------------------------
     @cached_property
@@ -179,5 +193,5 @@ class Investigation:
     def artifacts(self) -> DataFrame:
         debug = fusion.fusion_debug(self.diagnosis)
         return materialize(
-            evaluation.build_artifacts(self.reports, self.scores, self.contexts, debug), "artifacts"
+            evaluation.build_artifacts(self.reports, self.scores, self.contexts, debug, self.context_tokens), "artifacts"
         )

@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from faultlens.session import shared_dir
+from faultlens.session import run_dir
 
 
 def scratch_path(spark, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact order statistics of groups of any size.
 
 The built-in exact percentile keeps a group's distinct values in one task. Here a mergeable sketch
-brackets the wanted rank, only the values inside the bracket are ranked, and everything below it is
-counted, so the answer is exact while a task sees a thin slice of a hot group.
+brackets the wanted rank, only the values inside the bracket are ranked, and everything outside is
+counted with the value that is next to the bracket. The sketch errs by at most one in ACCURACY of the
+group, the bracket spans five times that, so the wanted rank lies inside or right beside it.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
-# Up to this size a group is ranked whole; beyond it the bracket spans at least ten ranks each way.
-WHOLE_GROUP = 20_000
 
 
 def exact_ranks(
@@ -26,36 +25,28 @@ def exact_ranks(
     ranks: dict[str, Callable[[Column], Column]],
     extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Per group: its size `n`, the values at 1-based `ranks` near `fraction`, and `extra` aggregates."""
+    """Per group: its size `n`, the values at 1-based `ranks` near `fraction`, and `extra` aggregates; nulls do not count."""
     low, high = max(0.0, fraction - MARGIN), min(1.0, fraction + MARGIN)
-    extra = extra or {}
+    df, extra = df.filter(F.col(value).isNotNull()), extra or {}
     sizes = df.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.percentile_approx(value, [low, high], ACCURACY).alias("__b"),
         *[e.alias(n) for n, e in extra.items()],
     )
     v = F.col(value)
-    whole = F.col("n") <= WHOLE_GROUP
+    zone = F.when(v < F.col("__b")[0], -1).when(v > F.col("__b")[1], 1).otherwise(0)
     cells = (
         df.select(*keys, value)
         .join(sizes.select(*keys, "n", "__b"), keys)
-        .filter(whole | (v <= F.col("__b")[1]))
-        .groupBy(*keys, "n", F.when(whole | (v >= F.col("__b")[0]), v).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        .groupBy(*keys, "n", zone.alias("__z"), F.when(zone == 0, v).alias("__v"))
+        .agg(F.count(F.lit(1)).alias("__c"), F.max(v).alias("__top"), F.min(v).alias("__bottom"))
     )
-    # Null cells (everything below the bracket) sort first and so are counted first.
-    seen = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()))
-    ranked = cells.withColumn("__cum", seen)
-    below = F.coalesce(F.max(F.when(F.col("__v").isNull(), F.col("__cum"))), F.lit(0))
-    top = F.max("__cum")
-    picked = []
-    for name, rank in ranks.items():
-        # Rank from the smallest cell upwards; the bracket must contain it.
-        hit = F.min(F.when(F.col("__cum") >= rank(F.col("n")), F.col("__v")))
-        inside = (below < F.max(rank(F.col("n")))) & (top >= F.max(rank(F.col("n"))))
-        picked.append(F.when(inside, hit).otherwise(F.raise_error(F.lit("rank outside bracket")).cast("double")).alias(name))
-    values = ranked.groupBy(*keys).agg(*picked)
-    return sizes.drop("__b").join(values, keys)
+    # Of the values below the bracket the last one counts, of those above the first.
+    at = F.when(F.col("__z") < 0, F.col("__top")).otherwise(F.col("__bottom"))
+    cells = cells.withColumn("__v", at)
+    ranked = cells.withColumn("__cum", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v")))
+    picked = [F.min(F.when(F.col("__cum") >= rank(F.col("n")), F.col("__v"))).alias(name) for name, rank in ranks.items()]
+    return sizes.drop("__b").join(ranked.groupBy(*keys).agg(*picked), keys)
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str, extra: dict[str, Column] | None = None) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # UTC because every instant is an epoch number; AQE because skewed keys are split at run time.
@@ -39,11 +36,26 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for tables that cut lineage; the cluster names it in spark.checkpoint.dir.
 
-    Only a session that names none (local tests) falls back to a folder of this machine.
+    A session that names none takes a folder of its warehouse. That must not lie on one machine while executors run
+    on others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    fallback = os.path.join(tempfile.gettempdir(), f"faultlens-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    master = spark.sparkContext.master
+    local = master == "local" or master.startswith("local[")
+    if not local and warehouse.startswith(("file:", "/")):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return warehouse
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that this session cut its lineage with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This session's own folder in the shared one."""
+    return f"{shared_dir(spark)}/faultlens-{spark.sparkContext.applicationId}"

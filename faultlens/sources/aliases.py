@@ -2,47 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultlens.functions import clock
+from faultlens.plans.materialize import materialize
 
-# Candidate columns, best first; names are compared without case.
-LOG_TIME = ("timestamp", "time", "datetime", "ts")
-LOG_TIME_CSV = ("time", "timestamp", "datetime", "date", "ts")
-LOG_SERVICE = ("container_name", "service", "service_name", "pod", "app")
-LOG_SERVICE_CSV = ("service", "service_name", "pod", "app", "component", "container_name")
-LOG_MESSAGE = ("message", "content", "log", "text", "msg", "body")
-SPAN_COLUMNS = {
-    "time": ("startTime", "startTimeMillis", "time", "timestamp", "ts"),
-    "trace": ("traceID", "trace_id", "id"),
-    "span": ("spanID", "span_id"),
-    "parent": ("parentSpanID", "parent_id", "parent_span_id"),
-    "service": ("serviceName", "service", "service_name", "app"),
-    "operation": ("operationName", "methodName", "operation", "rpc"),
-    "duration": ("duration", "duration_ms", "duration_us"),
-    "status": ("statusCode", "status", "status_code", "error"),
-}
-SPAN_COLUMNS_CSV = {
-    "time": ("time", "timestamp", "start_time", "startTime", "ts"),
-    "trace": ("trace_id", "traceID", "traceId", "id"),
-    "span": ("span_id", "spanID", "spanId"),
-    "parent": ("parent_id", "parent_span_id", "parentSpanID", "parentId"),
-    "service": ("service", "service_name", "serviceName", "app"),
-    "operation": ("operation", "operation_name", "operationName", "rpc", "method"),
-    "duration": ("duration", "duration_ms", "duration_us", "latency"),
-    "status": ("status", "status_code", "statusCode", "error", "has_error"),
-}
+ROW = "__row"
 
 
-ROW = "__row"
+#: Columns of a CSV file that are looked at.
+CSV_WIDTH = 64
 
 
-def detect_column(columns: list[str], candidates) -> str | None:
-    """First candidate present in `columns`, in the spelling of `columns`."""
+def aliases_in(columns: list[str], candidates) -> list[str]:
+    """The candidates among `columns`, best first, in the spelling of `columns`."""
     present = {c.strip().lower(): c for c in columns}
-    return next((present[c.lower()] for c in candidates if c.lower() in present), None)
+    return [present[c.lower()] for c in candidates if c.lower() in present]
 
 
 def case_from_path(file_name: str) -> Column:
@@ -51,12 +32,14 @@ def case_from_path(file_name: str) -> Column:
     return F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), rf"([^/]+)/{stem}(?:/[^/]+)?$", 1)
 
 
-def scan(spark: SparkSession, root: str, file_name: str, fmt: str, layout: str, **options: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, file_name: str, fmt: str, layout: str, schema: str | None = None, **options: str) -> DataFrame:
     """Read one kind of file of all cases and add `case_id`, and the row's place unless it is plain text.
 
     `folders`: root/<case>/<file_name>. `partitioned`: root/<file_name>/case_id=<case>/…, which prunes by case.
     """
     reader = spark.read.format(fmt).options(**options)
+    if schema:
+        reader = reader.schema(schema + ", case_id string" * (layout == "partitioned"))
     if layout == "partitioned":
         df = reader.load(f"{root}/{file_name}").withColumn("case_id", F.col("case_id").cast("string"))
     else:
@@ -64,15 +47,63 @@ def scan(spark: SparkSession, root: str, file_name: str, fmt: str, layout: str,
     return df if fmt == "text" else df.withColumn(ROW, row_position(fmt))
 
 
-def instant(df: DataFrame, name: str) -> Column:
-    """Epoch seconds of a raw time column; numbers and timestamps never take the way through text."""
-    kind = df.schema[name].dataType
-    column = F.col(f"`{name}`")
-    if isinstance(kind, T.NumericType):
-        return clock.epoch_seconds(column)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(column.cast("timestamp")) / 1e6
-    return clock.parse_ts(column)
+def scan_columns(
+    spark: SparkSession, root: str, file_name: str, fmt: str, layout: str, wanted: dict[str, tuple[str, ...]], required: tuple[str, ...], multi_line: bool = True, by_name: tuple[str, ...] = ()
+) -> tuple[DataFrame, dict[str, list[tuple[str, Column]]]]:
+    """The rows of all cases and, for each wanted column, the (name, column) pairs that may hold it, best first.
+
+    Cases may name their columns differently. Parquet files are read under their merged schema, so a row has values
+    in its own file's columns only. CSV files each have their own header, which is found by its aliases for the
+    `required` columns; a file without one gives no rows. The names of `by_name` columns tell what is in them.
+    """
+    if fmt != "csv":
+        df = scan(spark, root, file_name, fmt, layout, mergeSchema="true")
+        return df, {k: [(c, F.col(f"`{c}`")) for c in aliases_in(df.columns, names)] for k, names in wanted.items()}
+    cells = [f"__c{i}" for i in range(CSV_WIDTH)]
+    options = {"header": "false", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE"}
+    raw = scan(spark, root, file_name, "csv", layout, ", ".join(f"{c} string" for c in cells), **options)
+    raw = raw.withColumns({"__file": F.col("_metadata.file_path"), "__cells": F.array(*cells)}).drop(*cells)
+    bare = F.transform("__cells", lambda c: F.lower(F.btrim(c, F.lit(" \t\ufeff"))))
+    is_header = reduce(and_, [F.arrays_overlap(bare, F.array(*[F.lit(a.lower()) for a in wanted[k]])) for k in required])
+    heads = raw.filter(F.coalesce(is_header, F.lit(False))).groupBy("__file").agg(F.min(ROW).alias("__head"), F.min_by(bare, ROW).alias("__names"))
+    named = {k: F.coalesce(*[F.when(F.array_contains("__names", a.lower()), F.lit(a)) for a in names]) for k, names in wanted.items()}
+    heads = heads.withColumns({f"__name_{k}": c for k, c in named.items()})
+    heads = heads.withColumns({f"__at_{k}": F.array_position("__names", F.lower(f"__name_{k}")).cast("int") - 1 for k in wanted})
+    # One row per file: joined back by its size, which Spark knows once it is written.
+    df = raw.join(materialize(heads.drop("__names"), "headers"), "__file").filter(F.col(ROW) != F.col("__head"))
+    cell = lambda k: F.get("__cells", F.col(f"__at_{k}"))
+    return df, {k: [(a, F.when(F.col(f"__name_{k}") == a, cell(k))) for a in names] if k in by_name else [(k, cell(k))] for k, names in wanted.items()}
+
+
+def prefer(better: DataFrame, other: DataFrame) -> DataFrame:
+    """All rows of `better`, and those of `other` whose case has none there."""
+    return better.unionByName(other.join(better.select("case_id").distinct(), "case_id", "left_anti"))
+
+
+def missing(error: AnalysisException) -> bool:
+    """Whether a read failed because there is no such file."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def first_of(found: list[tuple[str, Column]]) -> Column:
+    """First value among columns that may hold it, as text."""
+    return F.coalesce(*[c.cast("string") for _, c in found]) if found else F.lit(None).cast("string")
+
+
+def instant(df: DataFrame, found: list[tuple[str, Column]]) -> Column:
+    """Epoch seconds of the first raw time column with a value; null where there is none or it cannot be read."""
+
+    def one(name: str, column: Column) -> Column:
+        kind = df.schema[name].dataType if name in df.columns else T.StringType()
+        if isinstance(kind, T.NumericType):
+            seconds = clock.epoch_seconds(column)
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            seconds = F.unix_micros(column.cast("timestamp")) / 1e6
+        else:
+            seconds = clock.parse_ts(column)
+        return F.when(column.isNotNull(), seconds)
+
+    return F.coalesce(*[one(n, c) for n, c in found])
 
 
 def row_position(fmt: str) -> Column:

@@ -18,7 +18,7 @@ def read_inject_times(spark: SparkSession, root: str, layout: str = "folders") -
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry rows with a normalised `case_id` (from case, case_id or id); rows without one are left out."""
     fmt = "csv" if path.rstrip("/").endswith(".csv") else "parquet"
-    df = spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).load(path)
+    df = spark.read.format(fmt).options(**({"header": "true", "quote": '"', "escape": '"', "multiLine": "true"} if fmt == "csv" else {})).load(path)
     have = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
 
     def first(*names: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,27 +10,40 @@ from faultlens import constants as K
 from faultlens.functions import text
 from faultlens.sources import aliases as A
 
+LOGS = "case_id string, service string, ts double, message string, seq bigint"
 
-def read_logs(spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "folders") -> DataFrame:
-    """logs(case_id, service, ts, message, seq) of all cases; columns are found by alias.
 
-    A null or blank service becomes `unknown_service`. CSV rows without a readable instant are dropped.
-    `seq` keeps the order of the file for rows of the same instant.
+def read_logs(
+    spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "folders", multi_line: bool = True, keep_untimed: bool = False
+) -> DataFrame:
+    """logs(case_id, service, ts, message, seq) of all cases; columns are found by alias, file by file.
+
+    `fmt` "auto" takes the Parquet file of a case, else its CSV file. A null or blank service becomes
+    `unknown_service`. Rows without a readable instant are dropped, or kept with a null `ts` for those who count
+    them. `seq` keeps the order of the file for rows of the same instant. CSV messages may span lines; files without
+    such messages are split among tasks with `multi_line=False`.
     """
+    if fmt == "auto":
+        return A.prefer(*[_if_any(spark, root, f, layout, multi_line, keep_untimed) for f in ("parquet", "csv")])
     csv = fmt == "csv"
-    options = {"header": "true", "mode": "PERMISSIVE"} if csv else {}
-    df = A.scan(spark, root, f"logs.{fmt}", fmt, layout, **options)
-    time = A.detect_column(df.columns, A.LOG_TIME_CSV if csv else A.LOG_TIME)
-    service = A.detect_column(df.columns, A.LOG_SERVICE_CSV if csv else A.LOG_SERVICE)
-    message = A.detect_column(df.columns, A.LOG_MESSAGE)
-    if not time or not message:
-        return spark.createDataFrame([], "case_id string, service string, ts double, message string, seq bigint")
-    named = text.strip(F.col(f"`{service}`")) if service else F.lit(None).cast("string")
+    wanted = {"time": K.LOG_TIME_CSV if csv else K.LOG_TIME, "service": K.LOG_SERVICE_CSV if csv else K.LOG_SERVICE, "message": K.LOG_MESSAGE}
+    df, at = A.scan_columns(spark, root, f"logs.{fmt}", fmt, layout, wanted, ("time", "message"), multi_line)
+    if not at["time"] or not at["message"]:
+        return spark.createDataFrame([], LOGS)
     rows = df.select(
         "case_id",
-        F.coalesce(F.nullif(named, F.lit("")), F.lit(K.UNKNOWN_SERVICE)).alias("service"),
-        A.instant(df, time).alias("ts"),
-        text.strip(F.coalesce(F.col(f"`{message}`"), F.lit(""))).alias("message"),
+        F.coalesce(F.nullif(text.strip(A.first_of(at["service"])), F.lit("")), F.lit(K.UNKNOWN_SERVICE)).alias("service"),
+        A.instant(df, at["time"]).alias("ts"),
+        text.strip(F.coalesce(A.first_of(at["message"]), F.lit(""))).alias("message"),
         F.col(A.ROW).alias("seq"),
     )
-    return rows.filter(F.col("ts").isNotNull())
+    return rows if keep_untimed else rows.filter(F.col("ts").isNotNull())
+
+
+def _if_any(spark: SparkSession, root: str, fmt: str, *how) -> DataFrame:
+    try:
+        return read_logs(spark, root, fmt, *how)
+    except AnalysisException as e:
+        if not A.missing(e):
+            raise
+        return spark.createDataFrame([], LOGS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from faultlens import constants as K
 from faultlens.functions import clock
 from faultlens.sources import aliases as A
 
+POINTS = "case_id string, metric_name string, query string, ts double, value double, seq bigint"
+
 
 def _query(name):
     return F.concat(F.lit(K.METRIC_QUERY_PREFIX), name)
@@ -19,12 +22,10 @@ def unpivot_metrics(df: DataFrame) -> DataFrame:
     time = next((c for c in ("time", "timestamp") if c in df.columns), None)
     names = [c for c in df.columns if c not in (time, "case_id", A.ROW)]
     if time is None or not names:
-        return df.sparkSession.createDataFrame(
-            [], "case_id string, metric_name string, query string, ts double, value double, seq bigint"
-        )
+        return df.sparkSession.createDataFrame([], POINTS)
     wide = df.select(
         "case_id",
-        A.instant(df, time).alias("ts"),
+        A.instant(df, [(time, F.col(f"`{time}`"))]).alias("ts"),
         F.col(A.ROW).alias("seq"),
         *[F.col(f"`{c}`").cast("double").alias(c) for c in names],
     )
@@ -80,8 +81,25 @@ def json_points(documents: DataFrame) -> DataFrame:
 
 
 def read_metrics(spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "folders") -> DataFrame:
-    """points(case_id, metric_name, query, ts, value, seq) of all cases."""
+    """points(case_id, metric_name, query, ts, value, seq) of all cases.
+
+    `fmt` "json" reads one document per case, "jsonl" one document per line, which is split among tasks; "auto" takes
+    the Parquet file of a case, else its JSON document.
+    """
+    if fmt == "auto":
+        return A.prefer(*[_if_any(spark, root, f, layout) for f in ("parquet", "json")])
+    if fmt == "jsonl":
+        return json_points(A.scan(spark, root, "metrics.jsonl", "text", layout))
     if fmt == "json":
         return json_points(A.scan(spark, root, "metrics.json", "text", layout, wholetext="true"))
     # Cases name different services, so the columns of all files are merged.
     return unpivot_metrics(A.scan(spark, root, "metrics.parquet", "parquet", layout, mergeSchema="true"))
+
+
+def _if_any(spark: SparkSession, root: str, fmt: str, layout: str) -> DataFrame:
+    try:
+        return read_metrics(spark, root, fmt, layout)
+    except AnalysisException as e:
+        if not A.missing(e):
+            raise
+        return spark.createDataFrame([], POINTS)

@@ -34,7 +34,7 @@ def append_scores(scores: DataFrame, path: str) -> None:
     for c, v in missing.items():
         if c not in flat.columns:
             flat = flat.withColumn(c, v)
-    flat.select(*want).write.mode("append").partitionBy("mode").option("header", "true").csv(path)
+    flat.select(*want).write.mode("append").partitionBy("mode").options(header="true", quote='"', escape='"').csv(path)
 
 
 def parse_scores(raw: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def parse_scores(raw: DataFrame) -> DataFrame:
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return parse_scores(spark.read.schema(SCORES).option("header", "true").csv(path))
+    return parse_scores(spark.read.schema(SCORES).options(header="true", quote='"', escape='"', multiLine="true").csv(path))
 
 
 def write_artifacts(artifacts: DataFrame, path: str) -> None:

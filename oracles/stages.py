@@ -303,8 +303,9 @@ SELECT c.*, p.span_id IS NOT NULL AS has_parent, p.service AS parent_service, p.
        p.is_timeout AS parent_timeout, p.seq AS parent_seq
 FROM inc_spans c LEFT JOIN inc_spans p ON c.case_id = p.case_id AND c.trace_id = p.trace_id AND c.parent_id = p.span_id"""
 STAGES["edges"] = """
-SELECT DISTINCT case_id, parent_service AS caller, service AS callee FROM links
-WHERE has_parent AND parent_service <> service"""
+SELECT case_id, parent_service AS caller, service AS callee, min({'a': trace_start_us, 'b': trace_id, 'c': seq}) AS first_call FROM links
+WHERE has_parent AND parent_service <> service GROUP BY ALL"""
+STAGES["turns"] = "SELECT case_id, caller, min(first_call) AS turn FROM edges GROUP BY ALL"
 STAGES["depths"] = """
 SELECT case_id, trace_id, span_id, 0 AS depth, [seq] AS path FROM links WHERE NOT has_parent
 UNION ALL
@@ -404,8 +405,8 @@ SELECT b.*, CASE WHEN d.caller IS NOT NULL THEN (base + 2.0 * coalesce(k.bef, 0)
             ELSE base + 2.0 * (coalesce(k.bef, 0) + coalesce(k.aft, 0)) END AS score
 FROM base_scores b
 LEFT JOIN (SELECT DISTINCT case_id, mode, caller FROM live_edges) d ON d.case_id = b.case_id AND d.mode = b.mode AND d.caller = b.service
-LEFT JOIN (SELECT case_id, mode, callee, count(*) FILTER (WHERE caller < callee) AS bef, count(*) FILTER (WHERE caller > callee) AS aft
-           FROM live_edges GROUP BY ALL) k ON k.case_id = b.case_id AND k.mode = b.mode AND k.callee = b.service"""
+LEFT JOIN (SELECT case_id, mode, callee, count(*) FILTER (WHERE o.turn IS NULL OR t.turn < o.turn) AS bef, count(*) FILTER (WHERE t.turn >= o.turn) AS aft
+           FROM live_edges e JOIN turns t USING (case_id, caller) LEFT JOIN turns o ON o.case_id = e.case_id AND o.caller = e.callee GROUP BY case_id, mode, callee) k ON k.case_id = b.case_id AND k.mode = b.mode AND k.callee = b.service"""
 STAGES["agreed"] = """
 SELECT * EXCLUDE (score), score * CASE signals WHEN 2 THEN 1.35 WHEN 3 THEN 1.75 ELSE 1.0 END AS score
 FROM (SELECT *, in_logs::INT + in_metrics::INT + in_traces::INT AS signals FROM propagated)"""

@@ -30,11 +30,18 @@ def read_logs(spark, sf):
     raw = investigation(spark, sf).raw_logs.select(
         "case_id", (F.col("ts") * 1000).alias("Timestamp"), service.alias("Container_Name"), F.col("message").alias("Message")
     )
-    raw.write.partitionBy("case_id").parquet(f"{root}/logs.parquet")
+    # Cases with an odd number name their columns in another way and have numbers of another kind.
+    odd = F.col("case_id").rlike("[13579]$")
+    raw.filter(~odd).write.partitionBy("case_id").parquet(f"{root}/logs.parquet")
+    other = raw.select("case_id", (F.col("Timestamp") / 1000).cast("string").alias("ts"), F.col("Container_Name").alias("pod"), F.col("Message").alias("body"))
+    other.filter(odd).write.mode("append").partitionBy("case_id").parquet(f"{root}/logs.parquet")
     return Lg.read_logs(spark, root, layout="partitioned").select("case_id", "service", *rounded("ts", digits=3), "message")
 
 
-@register("SELECT case_id, service, round(ts, 3) AS ts, message FROM v_logs WHERE seq % 10 <> 9")
+@register(
+    """SELECT case_id, service, round(ts, 3) AS ts, concat('"', service, '", said', chr(10), '  ', message, ' "ok"') AS message
+       FROM v_logs WHERE seq % 10 <> 9"""
+)
 def read_logs_csv(spark, sf):
     root = scratch_path(spark, "files")
     # A tenth of the rows carries no readable instant and has to be dropped by the reader.
@@ -43,8 +50,13 @@ def read_logs_csv(spark, sf):
         .when(F.col("seq") % 2 == 0, F.date_format(F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("bigint")), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
         .otherwise((F.col("ts") * 1000).cast("decimal(20,3)").cast("string"))
     )
-    raw = investigation(spark, sf).raw_logs.select("case_id", stamp.alias("time"), "service", "message")
-    raw.write.partitionBy("case_id").option("header", "true").csv(f"{root}/logs.csv")
+    # Quotes, commas and line breaks inside of messages; cases with an odd number have other columns in another order.
+    said = F.concat(F.lit('"'), "service", F.lit('", said\n  '), "message", F.lit(' "ok"'))
+    raw = investigation(spark, sf).raw_logs.select("case_id", stamp.alias("time"), "service", said.alias("message"))
+    odd = F.col("case_id").rlike("[13579]$")
+    other = raw.select("case_id", F.col("message").alias("content"), F.lit("x,y").alias("host"), F.col("time").alias("datetime"), F.col("service").alias("app"))
+    for part, mode in ((raw.filter(~odd), "error"), (other.filter(odd), "append")):
+        part.write.mode(mode).partitionBy("case_id").options(header="true", quote='"', escape='"').csv(f"{root}/logs.csv")
     return Lg.read_logs(spark, root, "csv", "partitioned").select("case_id", "service", *rounded("ts", digits=3), "message")
 
 
@@ -78,7 +90,9 @@ def read_metrics_json(spark, sf):
     flat = F.to_json(F.create_map("metric_name", F.col("pts")))
     listed = F.to_json(F.array(F.struct(F.col("metric_name").alias("metric"), F.col("pts").alias("values"))))
     docs = lists.select("case_id", F.when(layout == 0, nested).when(layout == 1, flat).otherwise(listed).alias("value"))
-    return Me.json_points(docs).select("case_id", "metric_name", *rounded("ts", digits=3), "value")
+    root = scratch_path(spark, "files")
+    docs.write.partitionBy("case_id").text(f"{root}/metrics.jsonl")
+    return Me.read_metrics(spark, root, "jsonl", "partitioned").select("case_id", "metric_name", *rounded("ts", digits=3), "value")
 
 
 SPAN_SQL = """SELECT case_id, trace_id, span_id, parent_id, service, operation, start_us, duration_us, CASE WHEN status = 504 THEN 'true' END AS error, CAST(status AS VARCHAR) AS code FROM v_spans"""
@@ -100,7 +114,13 @@ def read_spans(spark, sf):
         F.coalesce("parent_id", F.lit("None")).alias("parentSpanID"), F.col("service").alias("serviceName"),
         F.col("operation").alias("operationName"), F.col("duration_us").alias("duration"), F.col("status").alias("statusCode"),
     )
-    raw.write.partitionBy("case_id").parquet(f"{root}/traces.parquet")
+    odd = F.col("case_id").rlike("[13579]$")
+    raw.filter(~odd).write.partitionBy("case_id").parquet(f"{root}/traces.parquet")
+    other = raw.select(
+        "case_id", F.col("startTime").alias("timestamp"), F.col("traceID").alias("trace_id"), F.col("spanID").alias("span_id"), F.col("parentSpanID").alias("parent_id"),
+        F.col("serviceName").alias("service_name"), F.col("operationName").alias("rpc"), F.col("duration").alias("duration_us"), F.col("statusCode").alias("status_code"),
+    )
+    other.filter(odd).write.mode("append").partitionBy("case_id").parquet(f"{root}/traces.parquet")
     return _flat(Sp.read_spans(spark, root, layout="partitioned"))
 
 
@@ -111,7 +131,13 @@ def read_spans_csv(spark, sf):
         "case_id", F.col("start_us").alias("time"), "trace_id", "span_id", F.coalesce("parent_id", F.lit("none")).alias("parent_id"),
         "service", "operation", (F.col("duration_us") / 1000).alias("duration_ms"), F.col("status").alias("status"),
     )
-    raw.write.partitionBy("case_id").option("header", "true").csv(f"{root}/traces.csv")
+    odd = F.col("case_id").rlike("[13579]$")
+    other = raw.select(
+        "case_id", "status", F.col("operation").alias("method"), "service", F.col("parent_id").alias("parentId"), F.col("span_id").alias("spanId"),
+        F.col("duration_ms").alias("duration_ms"), F.col("trace_id").alias("traceId"), F.col("time").alias("start_time"),
+    )
+    for part, mode in ((raw.filter(~odd), "error"), (other.filter(odd), "append")):
+        part.write.mode(mode).partitionBy("case_id").option("header", "true").csv(f"{root}/traces.csv")
     return _flat(Sp.read_spans(spark, root, "csv", "partitioned"))
 
 

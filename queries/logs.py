@@ -20,12 +20,26 @@ def register(sql=None):
     return add
 
 
-@register()
+MINED = """signed_leaf AS (SELECT DISTINCT case_id, phase, template AS signature, string_split(template, ' ') AS w FROM signed WHERE template <> ''),
+leaf_rows AS (SELECT *, len(w) AS width, CASE WHEN regexp_matches(w[1], '\\p{Nd}') THEN '<*>' ELSE w[1] END AS head FROM signed_leaf),
+placed AS (SELECT case_id, width, head, signature, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM leaf_rows WHERE phase = 'baseline'),
+wild AS (SELECT case_id, width, head, place FROM placed GROUP BY ALL HAVING count(DISTINCT word) > 1 AND count(DISTINCT word) > 0.1 * count(DISTINCT signature)),
+wilds AS (SELECT case_id, width, head, list(place) AS places FROM wild GROUP BY ALL),
+named AS (SELECT l.case_id, l.phase, l.signature, list_aggregate(list_transform(list_zip(l.w, range(1, len(l.w) + 1), list_transform(l.w, lambda x: coalesce(places, []))),
+  lambda x: CASE WHEN list_contains(x[3], x[2]) THEN '<*>' ELSE x[1] END), 'string_agg', ' ') AS template FROM leaf_rows l LEFT JOIN wilds USING (case_id, width, head)),
+mined AS (SELECT case_id, template, count(*) AS signatures FROM named WHERE phase = 'baseline' GROUP BY ALL)"""
+
+
+@register(f"WITH {MINED} SELECT * FROM mined")
 def mine_templates(spark, sf):
     return T.mine_templates(investigation(spark, sf).lines)
 
 
-@register()
+@register(
+    f"""WITH {MINED} SELECT s.case_id, s.service, s.line_no, coalesce(n.template, '') AS template, s.template <> '' AND m.template IS NULL AS is_novel
+        FROM signed s LEFT JOIN named n ON n.case_id = s.case_id AND n.phase = s.phase AND n.signature = s.template
+        LEFT JOIN mined m ON m.case_id = n.case_id AND m.template = n.template WHERE s.phase = 'incident'"""
+)
 def classify_lines(spark, sf):
     return T.classify_lines(investigation(spark, sf).lines).select("case_id", "service", "line_no", "template", "is_novel")
 
@@ -110,10 +124,11 @@ def snippets(spark, sf):
 
 
 @register(
-    "SELECT case_id, service, total_lines, novel_templates, snippets, infra_hits, silent_hits, tokens, substr(text, 1, 6004) AS text FROM evidence"
+    "SELECT case_id, service, total_lines, novel_templates, snippets, infra_hits, silent_hits, tokens, text FROM evidence"
 )
 def log_evidence(spark, sf):
-    return investigation(spark, sf).log_evidence.withColumn("text", F.substring("text", 1, 6004))
+    inv = investigation(spark, sf)
+    return inv.log_evidence.join(L.evidence_text(inv.snippets), L.SERIES)
 
 
 @register("SELECT case_id, service, total_lines, novel_templates, snippets, budget_rank, truncated, tokens, text FROM kept")

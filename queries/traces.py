@@ -129,4 +129,5 @@ def dedup_traces(spark, sf):
 
 @register("SELECT case_id, text, length(text) AS text_chars FROM trace_texts")
 def trace_text(spark, sf):
-    return investigation(spark, sf).trace_text
+    inv = investigation(spark, sf)
+    return T.trace_text(inv.trace_evidence, T.call_tree_text(inv.call_tree))

@@ -55,12 +55,12 @@ def _by_row(inv):
 
 def sample_traces(spark, sf):
     inv = investigation(spark, sf)
-    return W.sample_traces(_by_row(inv), 50, 30, trigger=500).select("case_id", "trace_id", "span_id")
+    return W.sample_traces(_by_row(inv), 50, 30).select("case_id", "trace_id", "span_id")
 
 
 def sample_rows(spark, sf):
     inv = investigation(spark, sf)
-    return W.sample_rows(_by_row(inv), trigger=400, incident_rows=240).select("case_id", "span_id", "phase")
+    return W.sample_rows(_by_row(inv), rows=400, incident_rows=240).select("case_id", "span_id", "phase")
 
 
 def discover_cases(spark, sf):
@@ -108,13 +108,12 @@ SQL["time_buckets"] = f"""SELECT case_id, CAST(b AS BIGINT) AS bucket_index, rou
    SELECT case_id, start_us / 1000000.0, service, 's' FROM v_spans)
    WHERE ts >= {T} - {views.BASELINE_SECONDS} AND ts <= {T} + {views.INCIDENT_SECONDS}) GROUP BY case_id, b"""
 ROWS = f"(SELECT *, CASE WHEN start_us / 1000000.0 < {T} THEN 'baseline' ELSE 'incident' END AS ph FROM v_spans)"
-SQL["sample_traces"] = f"""WITH r AS {ROWS}, big AS (SELECT case_id FROM r GROUP BY 1 HAVING count(*) > 500),
- picks AS (SELECT DISTINCT case_id, trace_id FROM (SELECT *, row_number() OVER (PARTITION BY case_id, ph ORDER BY md5(concat(case_id, '|', trace_id, '|42')), trace_id) AS i
+SQL["sample_traces"] = f"""WITH r AS {ROWS}, picks AS (SELECT DISTINCT case_id, trace_id FROM (SELECT *, row_number() OVER (PARTITION BY case_id, ph ORDER BY md5(concat(case_id, '|', trace_id, '|42')), trace_id) AS i
            FROM (SELECT DISTINCT case_id, ph, trace_id FROM r)) WHERE i <= CASE WHEN ph = 'incident' THEN 50 ELSE 30 END)
- SELECT r.case_id, r.trace_id, r.span_id FROM r WHERE r.case_id NOT IN (SELECT case_id FROM big) OR (r.case_id, r.trace_id) IN (SELECT (case_id, trace_id) FROM picks)"""
-SQL["sample_rows"] = f"""WITH r AS {ROWS}, z AS (SELECT case_id, count(*) AS n, least(240, count(*) FILTER (WHERE ph = 'incident')) AS k FROM r GROUP BY 1)
- SELECT case_id, span_id, ph AS phase FROM (SELECT r.*, n, k, row_number() OVER (PARTITION BY case_id, ph ORDER BY md5(concat(case_id, '|', span_id, '|42')), span_id) AS i
- FROM r JOIN z USING (case_id)) WHERE n <= 400 OR i <= CASE WHEN ph = 'incident' THEN k ELSE 400 - k END"""
+ SELECT r.case_id, r.trace_id, r.span_id FROM r WHERE (r.case_id, r.trace_id) IN (SELECT (case_id, trace_id) FROM picks)"""
+SQL["sample_rows"] = f"""WITH r AS {ROWS}, z AS (SELECT case_id, least(240, count(*) FILTER (WHERE ph = 'incident')) AS k FROM r GROUP BY 1)
+ SELECT case_id, span_id, ph AS phase FROM (SELECT r.*, k, row_number() OVER (PARTITION BY case_id, ph ORDER BY md5(concat(case_id, '|', span_id, '|42')), span_id) AS i
+ FROM r JOIN z USING (case_id)) WHERE i <= CASE WHEN ph = 'incident' THEN k ELSE 400 - k END"""
 SQL["discover_cases"] = f"""SELECT case_id, dataset, gt_service, gt_fault FROM v_cases WHERE has_logs AND has_traces AND upper(dataset) = 'RE2-OB'
  AND lower(gt_fault) IN ('cpu', 'mem', 'disk', 'loss', 'corrupt', 'socket')
  AND case_id IN (SELECT case_id FROM ({FILES_SQL}) GROUP BY case_id HAVING count(DISTINCT file_name) = 4)"""

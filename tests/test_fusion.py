@@ -5,6 +5,8 @@ import random
 from faultlens import constants as K
 from faultlens.operators import fusion as Fu
 
+GRAPH = "case_id string, caller string, callee string, first_call struct<trace_start_us: long, trace_id: string, seq: long>"
+
 
 def test_closed_form_equals_one_caller_after_the_other(spark):
     rng = random.Random(11)
@@ -14,9 +16,10 @@ def test_closed_form_equals_one_caller_after_the_other(spark):
         scores = {n: float(rng.randrange(1, 20)) for n in names if rng.random() < 0.8}
         edges = sorted({(a, b) for a in names for b in names if a != b and rng.random() < 0.35})
         base_rows += [(f"c{case}", "fusion", n, v) for n, v in scores.items()]
-        edge_rows += [(f"c{case}", a, b) for a, b in edges]
+        rng.shuffle(edges)
+        edge_rows += [(f"c{case}", a, b, (i, "t", i)) for i, (a, b) in enumerate(edges)]
         now = dict(scores)
-        for caller in sorted({a for a, _ in edges}):
+        for caller in dict.fromkeys(a for a, _ in edges):
             hit = [b for a, b in edges if a == caller and b in now]
             if caller in now and hit:
                 now[caller] *= 0.60
@@ -24,7 +27,7 @@ def test_closed_form_equals_one_caller_after_the_other(spark):
                     now[b] += 2.0
         want |= {(f"c{case}", n): v for n, v in now.items()}
     base = spark.createDataFrame(base_rows, "case_id string, mode string, service string, base double")
-    edges = spark.createDataFrame(edge_rows, "case_id string, caller string, callee string")
+    edges = spark.createDataFrame(edge_rows, GRAPH)
     got = {(r.case_id, r.service): r.score for r in Fu.propagate(base, edges).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
@@ -53,7 +56,7 @@ def inputs(spark, logs=(), alerts=(), traces=()):
 def diagnose(spark, edges=(), mode="fusion", **kw):
     cases = spark.createDataFrame([("c",)], "case_id string")
     kept, top, metrics, ev = inputs(spark, **kw)
-    graph = spark.createDataFrame([("c", a, b) for a, b in edges], "case_id string, caller string, callee string")
+    graph = spark.createDataFrame([("c", a, b, (i, "t", i)) for i, (a, b) in enumerate(edges)], GRAPH)
     ranked = Fu.ranking(kept, top, ev, graph)
     signals = Fu.case_signals(cases, kept, metrics, top, ev)
     d = Fu.primary_signal(Fu.confidence(Fu.with_ranking(Fu.category(Fu.category_likelihoods(signals)), ranked)))

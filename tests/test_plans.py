@@ -37,15 +37,11 @@ def test_numbered_ties_and_chunks(spark):
     assert all(r.n == r.seq for r in out.collect())
 
 
-@pytest.mark.parametrize("whole", [20_000, 0])
-def test_exact_ranks_of_hot_and_small_groups(spark, monkeypatch, whole):
-    """With whole=0 every group takes the bracketed way that large groups take."""
-    monkeypatch.setattr(quantile, "WHOLE_GROUP", whole)
-    if not whole:
-        monkeypatch.setattr(quantile, "MARGIN", 0.05)
+def test_exact_ranks_of_large_and_small_groups(spark):
     rng = random.Random(3)
     groups = {
-        "hot": [round(rng.lognormvariate(0, 2), 3) for _ in range(5001)],
+        "hot": [round(rng.lognormvariate(0, 2), 3) for _ in range(50_001)],
+        **{f"few{n}": [float(rng.randrange(9)) for _ in range(n)] for n in range(1, 12)},
         "even": [float(rng.randrange(40)) for _ in range(3000)],
         "flat": [1.5] * 999,
     }
@@ -58,3 +54,14 @@ def test_exact_ranks_of_hot_and_small_groups(spark, monkeypatch, whole):
     for k, vs in groups.items():
         assert medians[k] == (len(vs), statistics.median(vs))
         assert p99[k] == sorted(vs)[max(0, int(len(vs) * 0.99) - 1)]
+
+
+def test_exact_ranks_count_no_nulls_and_hold_for_a_million_values(spark):
+    few = spark.createDataFrame([("k", 1.0), ("k", None), ("k", 3.0), ("k", 2.0)], "k string, v double")
+    assert quantile.exact_median(few, ["k"], "v", "m").first().m == 2.0
+    n = 1_000_003
+    many = spark.range(n).selectExpr("'k' AS k", f"CAST((id * 7919) % {n} AS DOUBLE) AS v")
+    many = many.unionByName(spark.range(n).selectExpr("'k' AS k", "CAST(NULL AS DOUBLE) AS v"))
+    assert quantile.exact_median(many, ["k"], "v", "m").first().m == (n - 1) / 2
+    p99 = quantile.exact_ranks(many, ["k"], "v", 0.99, {"p": lambda c: F.floor(c * 0.99)}).first().p
+    assert p99 == int(n * 0.99) - 1
