@@ -200,14 +200,14 @@ def bottlenecks(timed: DataFrame, p99: DataFrame) -> DataFrame:
     return mark_bottlenecks(timed, p99).filter("is_bottleneck")
 
 
-def span_facts(spans: DataFrame, with_path: bool = False) -> DataFrame:
+def span_facts(spans: DataFrame) -> DataFrame:
     """One row per incident span with every fact later steps use; written once, read many times.
 
     Takes labelled spans of both phases with the columns of `with_error_facts`.
     """
     baseline, incident = spans.filter("phase = 'baseline'"), spans.filter("phase = 'incident'")
     marked = materialize(mark_roots(link_spans(incident)), "links")
-    depth = span_depth(marked, with_path)
+    depth = span_depth(marked)
     timed = mark_bottlenecks(with_self_time(marked), baseline_p99(baseline))
     facts = timed.join(depth, SPAN).withColumn("is_timeout_child", timeout_child())
     return materialize(facts, "span-facts")
@@ -301,9 +301,11 @@ def failing_traces(facts: DataFrame, limit: int = K.MAX_CALL_TREES) -> DataFrame
 def call_tree(facts: DataFrame, leafs: DataFrame, limit: int = K.MAX_CALL_TREES) -> DataFrame:
     """Lines of the call trees: (case, trace_rank, path, line), depth first.
 
-    The culprit mark is the deepest leaf found up to that trace. Needs facts with `path`.
+    The culprit mark is the deepest leaf found up to that trace. Paths are only built for these traces.
     """
-    first = failing_traces(facts, limit)
+    first = materialize(failing_traces(facts, limit), "failing-traces")
+    shown = materialize(facts.join(first.select(*TRACE), TRACE, "left_semi"), "shown-spans")
+    facts = shown.drop("depth", "reached").join(span_depth(shown, with_path=True), SPAN)
     upto = Window.partitionBy("case_id").orderBy("trace_rank").rowsBetween(Window.unboundedPreceding, 0)
     marks = first.join(
         leafs.select(*TRACE, F.col("span_id").alias("leaf_id"), F.col("depth").alias("leaf_depth")), TRACE

@@ -128,7 +128,7 @@ class Investigation:
     # --- traces -----------------------------------------------------------------------------
     @cached_property
     def facts(self) -> DataFrame:
-        return traces.span_facts(self.slim_spans, with_path=True)
+        return traces.span_facts(self.slim_spans)
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -24,43 +24,33 @@ def running(
     sums: dict[str, Column] | None = None,
     prior_max: dict[str, Column] | None = None,
     upto_max: dict[str, Column] | None = None,
-    store: str | None = None,
+    store: str = "running",
 ) -> DataFrame:
     """Add running sums and maxima in `order` within `keys`; `chunk` must not decrease along `order`.
 
     `sums` (of values that are never negative) and `upto_max` include the current row, `prior_max` stops
-    before it. With `store` the values within chunks are written once, so a costly `df` runs only once.
+    before it. The values within chunks are written once, as `store`, so a costly `df` runs only once.
     """
     sums, prior_max, upto_max = sums or {}, prior_max or {}, upto_max or {}
-    maxima = {**prior_max, **upto_max}
+    maxima = [*prior_max, *upto_max]
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     chunked = df.withColumn(_CHUNK, chunk)
-    if store:
-        chunked = materialize(
-            chunked.select(
-                "*",
-                *[F.sum(e).over(upto).alias(n) for n, e in sums.items()],
-                *[F.max(e).over(before).alias(n) for n, e in prior_max.items()],
-                *[F.max(e).over(upto).alias(n) for n, e in upto_max.items()],
-                *[F.max(e).over(upto).alias(f"__u_{n}") for n, e in prior_max.items()],
-            ),
-            store,
-        )
-        inside = chunked
-        totals = [F.max(n).alias(n) for n in (*sums, *upto_max)] + [F.max(f"__u_{n}").alias(n) for n in prior_max]
-    else:
-        inside = chunked.select(
+    inside = materialize(
+        chunked.select(
             "*",
             *[F.sum(e).over(upto).alias(n) for n, e in sums.items()],
             *[F.max(e).over(before).alias(n) for n, e in prior_max.items()],
             *[F.max(e).over(upto).alias(n) for n, e in upto_max.items()],
-        )
-        totals = [F.sum(e).alias(n) for n, e in sums.items()] + [F.max(e).alias(n) for n, e in maxima.items()]
+            *[F.max(e).over(upto).alias(f"__u_{n}") for n, e in prior_max.items()],
+        ),
+        store,
+    )
+    totals = [F.max(n).alias(n) for n in (*sums, *upto_max)] + [F.max(f"__u_{n}").alias(n) for n in prior_max]
     earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        chunked.groupBy(*keys, _CHUNK)
+        inside.groupBy(*keys, _CHUNK)
         .agg(*totals)
         .select(
             *keys,
@@ -76,7 +66,7 @@ def running(
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str) -> DataFrame:
     """0-based position of each row in `order` within `keys`."""
-    out = running(df, keys, order, chunk, sums={name: F.lit(1).cast("bigint")})
+    out = running(df, keys, order, chunk, sums={name: F.lit(1).cast("bigint")}, store="numbered")
     return out.withColumn(name, F.col(name) - 1)
 
 

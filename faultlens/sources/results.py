@@ -84,3 +84,12 @@ def upsert_results(existing: DataFrame, new: DataFrame) -> DataFrame:
 def insert_missing(existing: DataFrame, new: DataFrame) -> DataFrame:
     """`existing` plus the rows of `new` whose (case, mode) it lacks."""
     return existing.unionByName(new.join(existing, CASE_MODE, "left_anti"), allowMissingColumns=True)
+
+
+def write_templates(templates: DataFrame, path: str) -> None:
+    """Save a set of baseline templates; a run saved again replaces the earlier set."""
+    templates.select("template").distinct().write.mode("overwrite").parquet(path)
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("template string").parquet(path)

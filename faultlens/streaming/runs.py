@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.operators import evaluation
+from faultlens.plans.investigation import Investigation
 
 
 def _into_batches(path: str, transform=None):
@@ -35,6 +35,18 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
-def stream_cases(reports: DataFrame, truth: DataFrame, path: str, checkpoint: str) -> None:
-    """Score the reports of newly landed cases; a case that lands again gets a newer result."""
-    drain(reports, path, checkpoint, transform=lambda batch: evaluation.score_cases(batch, truth))
+def stream_cases(
+    landed: DataFrame, logs: DataFrame, points: DataFrame, spans: DataFrame, path: str, checkpoint: str, **settings
+) -> None:
+    """Diagnose and score newly landed cases; a case that lands again gets a newer result.
+
+    `landed` streams rows of the case table, each written when the telemetry of its case is complete. A batch reads
+    the raw logs, points and spans of its own cases only.
+    """
+
+    def diagnose(batch: DataFrame) -> DataFrame:
+        cases = batch.dropDuplicates(["case_id"])
+        own = lambda df: df.join(cases.select("case_id"), "case_id", "left_semi")
+        return Investigation(cases, own(logs), own(points), own(spans), **settings).scores
+
+    drain(landed, path, checkpoint, transform=diagnose)

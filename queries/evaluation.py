@@ -11,7 +11,7 @@ from faultlens.operators import traces as T
 from faultlens.sources import results as R
 from oracles.stages import fmt, metric_service_sql
 from queries.common import investigation, rounded, rounded_sql
-from queries.windows import files_of, FILES_SQL
+from queries.windows import written_files, FILES_SQL
 
 QUERIES, SQL = {}, {}
 
@@ -111,14 +111,13 @@ def list_cases(spark, sf):
 @register(
     f"""WITH f AS ({FILES_SQL}), m AS (SELECT case_id, string_agg(mode, ',' ORDER BY mode) AS modes FROM scores WHERE {KEPT} GROUP BY case_id)
         SELECT c.case_id, c.gt_fault, bool_or(file_name = 'logs.parquet') AS has_logs_file, bool_or(file_name = 'inject_time.txt') AS has_inject_time_file,
-        CAST(sum(CASE WHEN file_name = 'traces.parquet' THEN length(file_name) ELSE 0 END) AS BIGINT) AS traces_bytes, coalesce(any_value(m.modes), '') AS modes
+        bool_or(file_name = 'traces.parquet') AS has_traces_bytes, coalesce(any_value(m.modes), '') AS modes
         FROM v_cases c JOIN f USING (case_id) LEFT JOIN m USING (case_id) GROUP BY ALL"""
 )
 def file_inventory(spark, sf):
     inv = investigation(spark, sf)
-    files = files_of(inv).withColumn("size_bytes", F.length("file_name").cast("bigint"))
-    return E.file_inventory(inv.cases, files, _stored(inv)[1]).select(
-        "case_id", "gt_fault", "has_logs_file", "has_inject_time_file", "traces_bytes", F.array_join("modes", ",").alias("modes")
+    return E.file_inventory(inv.cases, written_files(spark, inv), _stored(inv)[1]).select(
+        "case_id", "gt_fault", "has_logs_file", "has_inject_time_file", (F.col("traces_bytes") > 0).alias("has_traces_bytes"), F.array_join("modes", ",").alias("modes")
     )
 
 
@@ -258,7 +257,7 @@ def check_z_reproducible(spark, sf):
           (SELECT count(*) FROM ranking r WHERE r.case_id = c.case_id AND r.mode = c.mode) AS n, g.confidence FROM contexts c JOIN diagnosis g USING (case_id, mode))
        SELECT case_id, concat(mode, ': ', rule[1]) AS name, rule[2] = 'true' AS ok, concat(tk, ' tokens') AS detail FROM (
          SELECT *, unnest([['context incident id is opaque', CAST(contains(line1, 'INC-') AND NOT contains(line1, case_id) AS VARCHAR)],
-           ['case id does not appear in the context', CAST(NOT contains(context, case_id) AS VARCHAR)], ['context token accounting holds', 'true'],
+           ['case id does not appear in the context', CAST(NOT contains(context, case_id) AS VARCHAR)], ['context token accounting holds', CAST(tk = greatest(1, length(context) // 3) AS VARCHAR)],
            ['context under 2500 tokens', CAST(tk < 2500 AS VARCHAR)], ['ranked candidates are non-empty', CAST(n > 0 AS VARCHAR)],
            ['confidence within [0, 1]', CAST(confidence BETWEEN 0 AND 1 AS VARCHAR)]]) AS rule FROM d)"""
 )
@@ -269,11 +268,12 @@ def check_context_rules(spark, sf):
 
 @register(
     f"""WITH a AS (SELECT * FROM scores WHERE {KEPT}), s AS (SELECT *, CASE WHEN ground_truth_fault = 'delay' THEN NOT top1_hit ELSE top1_hit END AS hit FROM scores WHERE {STORED}),
+        x AS (SELECT a.case_id, count(*) FILTER (WHERE contains(c.context, a.case_id)) AS l, count(*) AS n FROM a JOIN contexts c USING (case_id, mode) GROUP BY a.case_id),
         d AS (SELECT a.case_id, count(*) FILTER (WHERE s.case_id IS NOT NULL AND s.hit <> a.top1_hit) AS w, count(*) FILTER (WHERE s.case_id IS NULL) AS m, count(*) AS n
               FROM a LEFT JOIN s USING (case_id, mode) GROUP BY a.case_id)
         SELECT case_id, 'artifact evaluation matches score row' AS name, w = 0 AS ok, concat(w, ' of ', n) AS detail FROM d
         UNION ALL SELECT case_id, 'every artifact has a score row', m = 0, concat(m, ' of ', n) FROM d
-        UNION ALL SELECT case_id, 'no artifact context leaks the case id', true, concat(0, ' of ', n) FROM d"""
+        UNION ALL SELECT case_id, 'no artifact context leaks the case id', l = 0, concat(l, ' of ', n) FROM x"""
 )
 def check_artifacts(spark, sf):
     inv = investigation(spark, sf)

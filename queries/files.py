@@ -268,11 +268,11 @@ def append_and_read_scores(spark, sf):
 
 @register(
     """SELECT d.case_id, d.mode, 'cache' AS source, d.top_service AS root_cause_service, length(c.context) AS context_chars
-       FROM diagnosis d JOIN contexts c USING (case_id, mode) WHERE d.mode IN ('fusion', 'logs-only')"""
+       FROM diagnosis d JOIN contexts c USING (case_id, mode)"""
 )
 def write_and_read_artifacts(spark, sf):
     root = scratch_path(spark, "files")
-    artifacts = investigation(spark, sf).artifacts.filter("mode IN ('fusion', 'logs-only')")
+    artifacts = investigation(spark, sf).artifacts
     # The second write replaces exactly its own partitions.
     R.write_artifacts(artifacts, root)
     R.write_artifacts(artifacts.filter("mode = 'fusion'"), root)

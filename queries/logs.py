@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from faultlens.operators import logs as L
 from faultlens.operators import templates as T
+from faultlens.operators import windows as W
+from faultlens.plans.materialize import scratch_path
+from faultlens.sources.results import read_templates, write_templates
 from queries.common import investigation
 
 QUERIES, SQL = {}, {}
@@ -54,6 +59,25 @@ def flag_novel(spark, sf):
     return investigation(spark, sf).annotated.select("case_id", "service", "line_no", "template", "is_novel")
 
 
+@register(
+    """WITH one AS (SELECT min(case_id) AS c FROM v_cases), saved AS (SELECT DISTINCT template FROM signed, one WHERE phase = 'baseline' AND case_id <> c)
+       SELECT a.case_id, service, line_no, a.template,
+         CASE WHEN a.case_id = c THEN a.template <> '' AND s.template IS NULL ELSE is_novel END AS is_novel
+       FROM annotated a CROSS JOIN one LEFT JOIN saved s ON s.template = a.template"""
+)
+def saved_baseline(spark, sf):
+    # One case comes without calm lines and is held against the saved templates of the others.
+    inv = investigation(spark, sf)
+    one = inv.cases.agg(F.min("case_id")).first()[0]
+    path = scratch_path(spark, "templates")
+    calm = inv.labelled_logs.filter((F.col("phase") == "baseline") & (F.col("case_id") != one))
+    write_templates(L.with_signatures(W.as_lines(calm)), path)
+    logs = inv.raw_logs.join(inv.cases.select("case_id", "inject_time"), "case_id")
+    logs = logs.filter((F.col("case_id") != one) | (F.col("ts") >= F.col("inject_time"))).drop("inject_time")
+    run = replace(inv, raw_logs=logs, saved_templates=read_templates(spark, path))
+    return run.annotated.select("case_id", "service", "line_no", "template", "is_novel")
+
+
 RUN = "concat('run_', lpad(CAST(user_id AS STRING), 6, '0'))"
 
 

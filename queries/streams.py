@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from faultlens import constants as K
 from faultlens.functions import naming
-from faultlens.operators import fusion
 from faultlens.plans import views
 from faultlens.plans.materialize import scratch_path
 from faultlens.streaming.buckets import stream_buckets as buckets
 from faultlens.streaming.dedup import stream_dedup as dedup
-from faultlens.streaming.runs import drain, latest, stream_cases as score_stream
+from faultlens.streaming.runs import drain, latest, stream_cases as run_stream
 from queries.common import investigation, rounded
 from queries.windows import SQL as WINDOW_SQL
 
@@ -22,7 +21,7 @@ def _landed(spark, df, label, files=4):
     """Write a DataFrame as several files and open it as a stream."""
     path = scratch_path(spark, label)
     df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(path)
 
 
 def stream_buckets(spark, sf):
@@ -47,11 +46,16 @@ def stream_buckets(spark, sf):
 
 def stream_cases(spark, sf):
     inv = investigation(spark, sf)
-    reports = fusion.rca_report(inv.diagnosis).select(
-        "case_id", "mode", "root_cause_service", "culprit_services", "category", "confidence"
+    # The telemetry has landed as files; two files of case rows say which cases are complete.
+    root, out = scratch_path(spark, "landed"), scratch_path(spark, "scored")
+    telemetry = []
+    for df, name in ((inv.raw_logs, "logs"), (inv.raw_points, "points"), (inv.raw_spans, "spans")):
+        df.write.partitionBy("case_id").parquet(f"{root}/{name}")
+        telemetry.append(spark.read.schema(df.schema).parquet(f"{root}/{name}"))
+    run_stream(
+        _landed(spark, inv.cases, "cases", 2), *telemetry, out, scratch_path(spark, "checkpoint"),
+        baseline_seconds=views.BASELINE_SECONDS, incident_seconds=views.INCIDENT_SECONDS,
     )
-    out = scratch_path(spark, "scored")
-    score_stream(_landed(spark, reports, "reports"), inv.cases, out, scratch_path(spark, "checkpoint"))
     return latest(spark, out, ["case_id", "mode"]).select(
         "case_id", "mode", "predicted_service", "top1_hit", "error_bucket", *rounded("mrr")
     )

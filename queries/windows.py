@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from faultlens import constants as K
 from faultlens.operators import windows as W
 from faultlens.plans import views
+from faultlens.plans.materialize import scratch_path
+from faultlens.sources.cases import list_files
 from queries.common import investigation
 
 QUERIES, SQL = {}, {}
@@ -15,15 +17,14 @@ FILES_SQL = """SELECT case_id, 'logs.parquet' AS file_name FROM v_logs UNION SEL
  UNION SELECT case_id, 'traces.parquet' FROM v_spans UNION SELECT case_id, 'inject_time.txt' FROM v_cases WHERE gt_fault <> 'disk'"""
 
 
-def files_of(inv):
-    """Files each case would have: one per signal present, and no injection file for one of the cases."""
-    part = lambda df, name: df.select("case_id", F.lit(name).alias("file_name")).distinct()
-    return (
-        part(inv.raw_logs, "logs.parquet")
-        .unionByName(part(inv.raw_points, "metrics.parquet"))
-        .unionByName(part(inv.raw_spans, "traces.parquet"))
-        .unionByName(part(inv.cases.filter("gt_fault <> 'disk'"), "inject_time.txt"))
-    )
+def written_files(spark, inv):
+    """Writes the files of every case, but for the injection file of one of them, and lists what is there."""
+    root = scratch_path(spark, "files")
+    for df, name in ((inv.raw_logs, "logs"), (inv.raw_points, "metrics"), (inv.raw_spans, "traces")):
+        df.write.partitionBy("case_id").parquet(f"{root}/{name}.parquet")
+    marks = inv.cases.filter("gt_fault <> 'disk'").select("case_id", F.col("inject_time").cast("string"))
+    marks.write.partitionBy("case_id").text(f"{root}/inject_time.txt")
+    return list_files(spark, root, "partitioned")
 
 
 def label_phase(spark, sf):
@@ -65,7 +66,7 @@ def sample_rows(spark, sf):
 
 def discover_cases(spark, sf):
     inv = investigation(spark, sf)
-    return W.discover_cases(inv.cases, files_of(inv), suites=["re2-ob"], faults=["CPU", "mem", "disk", "Loss", "corrupt", "socket"]).select(
+    return W.discover_cases(inv.cases, written_files(spark, inv), suites=["re2-ob"], faults=["CPU", "mem", "disk", "Loss", "corrupt", "socket"]).select(
         "case_id", "dataset", "gt_service", "gt_fault"
     )
 

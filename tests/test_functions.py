@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from faultlens import constants as K
 from faultlens.functions import clock, naming, spans, text
-from faultlens.sources.aliases import detect_column
+from faultlens.sources.aliases import aliases_in
 
 
 def column(spark, values, fn, typ="string"):
@@ -36,9 +36,9 @@ def test_line_format_round_trip(spark):
 
 def test_alias_detection_ignores_case():
     names = ["Timestamp", "Service_Name", "Log_Message"]
-    assert detect_column(names, ["time", "timestamp"]) == "Timestamp"
-    assert detect_column(names, ["service_name"]) == "Service_Name"
-    assert detect_column(names, ["body"]) is None
+    assert aliases_in(names, ["time", "timestamp"]) == ["Timestamp"]
+    assert aliases_in([*names, "app"], ["app", "service_name"]) == ["app", "Service_Name"]
+    assert aliases_in(names, ["body"]) == []
 
 
 def test_keyword_is_first_in_list_order(spark):

@@ -91,21 +91,28 @@ def test_plain_context(spark):
 
 
 def test_budget_cuts_first_overflow_and_stops(spark):
-    rows = [("c", f"s{i}", 10, 0, 9 - i, 0, 0, t, "x" * (t * 4)) for i, t in enumerate([600, 700, 900, 10])]
+    sizes = [600, 700, 900, 10]
+    rows = [("c", f"s{i}", 10, 0, 9 - i, 0, 0, t) for i, t in enumerate(sizes)]
     ev = spark.createDataFrame(
         rows,
-        "case_id string, service string, total_lines long, novel_templates long, snippets long, infra_hits long, silent_hits long, tokens long, text string",
+        "case_id string, service string, total_lines long, novel_templates long, snippets long, infra_hits long, silent_hits long, tokens long",
     )
-    kept = {r.service: r for r in L.budget_services(ev).collect()}
+    snips = spark.createDataFrame(
+        [("c", f"s{i}", n, "x" * (t * 2 - 10)) for i, t in enumerate(sizes) for n in (1, 2)],
+        "case_id string, service string, line_number long, block string",
+    )
+    kept = {r.service: r for r in L.budget_services(ev, snips).collect()}
     assert set(kept) == {"s0", "s1", "s2"}
     assert kept["s2"].tokens == 200 and kept["s2"].truncated
-    assert kept["s2"].text == "x" * 800 + "\n...[truncated for token budget]"
+    whole = "--- Service: s2 ---\n" + "x" * 1790 + "\n\n" + "x" * 1790
+    assert kept["s2"].text == whole[:800] + "\n...[truncated for token budget]"
+    assert kept["s0"].text == "--- Service: s0 ---\n" + "x" * 1190 + "\n\n" + "x" * 1190
     # A remainder of 100 tokens or less is not worth a cut.
     tight = ev.withColumn("tokens", F.when(F.col("service") == "s1", 850).otherwise(F.col("tokens")))
-    assert {r.service for r in L.budget_services(tight).collect()} == {"s0", "s1"}
+    assert {r.service for r in L.budget_services(tight, snips).collect()} == {"s0", "s1"}
 
 
-def test_long_service_text_is_whole_up_to_the_budget(spark):
+def test_long_service_text_is_whole(spark):
     lines = [x for i in range(900) for x in (["error " + str(i)] + ["fill"] * 12)]
     positioned = L.with_positions(annotated(spark, {"s": lines}))
     snips = L.snippets(L.primary_target(L.merge_windows(positioned)), positioned)
@@ -114,7 +121,7 @@ def test_long_service_text_is_whole_up_to_the_budget(spark):
     whole = "--- Service: s ---\n" + "\n\n".join(blocks)
     assert ev.snippets == len(blocks)
     assert ev.tokens == len(whole) // 4
-    assert ev.text[:6004] == whole[:6004]
+    assert L.evidence_text(snips).first().text == whole
 
 
 def test_saved_baseline_is_used_only_without_own(spark):

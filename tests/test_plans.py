@@ -3,20 +3,18 @@ from __future__ import annotations
 import random
 import statistics
 
-import pytest
 from pyspark.sql import functions as F
 
 from faultlens.plans import ordering, quantile
 
 
-@pytest.mark.parametrize("store", [None, "kept"])
-def test_running_values_cross_chunks(spark, store):
+def test_running_values_cross_chunks(spark):
     rng = random.Random(7)
     rows = [("hot" if i % 3 else "cold", i, rng.randrange(5)) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, i long, v long")
     out = ordering.running(
         df, ["k"], ["i"], F.floor(F.col("i") / 7), {"total": F.col("v")}, {"before": F.when(F.col("v") == 0, F.col("i"))},
-        {"upto": F.when(F.col("v") == 1, F.col("i"))}, store=store,
+        {"upto": F.when(F.col("v") == 1, F.col("i"))},
     )
     got = {(r.k, r.i): (r.total, r.before, r.upto) for r in out.collect()}
     for key in ("hot", "cold"):
@@ -65,3 +63,15 @@ def test_exact_ranks_count_no_nulls_and_hold_for_a_million_values(spark):
     assert quantile.exact_median(many, ["k"], "v", "m").first().m == (n - 1) / 2
     p99 = quantile.exact_ranks(many, ["k"], "v", 0.99, {"p": lambda c: F.floor(c * 0.99)}).first().p
     assert p99 == int(n * 0.99) - 1
+
+
+def test_raw_rows_meet_cases_without_a_shuffle(spark):
+    """Cases are written once, so Spark sees how small they are and broadcasts them by size, whatever made them."""
+    from faultlens.operators import windows
+    from faultlens.plans.materialize import materialize
+
+    raw = spark.range(5000).selectExpr("concat('c', id % 8) AS case_id", "CAST(id AS DOUBLE) AS ts", "uuid() AS message")
+    many = spark.range(200_000).selectExpr("concat('c', id % 8) AS case_id", "1000.0D AS inject_time")
+    cases = materialize(many.distinct(), "cases")
+    plan = windows.label_phase(raw, cases)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

@@ -186,3 +186,35 @@ def test_artifact_write_replaces_only_its_partitions(spark, tmp_path):
     results.write_artifacts(df.filter("case_id = 'c2'").withColumn("v", F.lit(2)), path)
     got = {(r.case_id, r.mode, r.v, r.source) for r in results.read_artifacts(spark, path).collect()}
     assert got == {("c1", "fusion", 1, "cache"), ("c2", "fusion", 2, "cache"), ("c1", "logs-only", 1, "cache")}
+
+
+def test_cases_with_differing_files(spark, tmp_path):
+    """Other column names, other formats, quotes and line breaks: every row of every case comes back."""
+    for case, names in (("a", ("timestamp", "message")), ("b", ("time", "log"))):
+        spark.createDataFrame([(1_700_000_000.5, f"from {case}")], f"{names[0]} double, {names[1]} string").write.parquet(f"{tmp_path}/{case}/logs.parquet")
+    csv = tmp_path / "c"
+    csv.mkdir()
+    (csv / "logs.csv").write_text('\ufeffhost,datetime,content,app\n"x,y",1700000001,"said ""hello, world"" twice\n  at line 2",svc\n,never,dropped,svc\n')
+    (tmp_path / "a" / "logs.csv").write_text("time,message\n1,not read: there is a better file\n")
+    got = {(r.case_id, r.ts, r.service, r.message) for r in logs.read_logs(spark, str(tmp_path), "auto").collect()}
+    assert got == {
+        ("a", 1_700_000_000.5, "unknown_service", "from a"),
+        ("b", 1_700_000_000.5, "unknown_service", "from b"),
+        ("c", 1_700_000_001.0, "svc", 'said "hello, world" twice\n  at line 2'),
+    }
+    kept = logs.read_logs(spark, str(tmp_path), "csv", keep_untimed=True)
+    assert kept.filter("ts IS NULL").count() == 1
+
+
+def test_spans_of_differing_files(spark, tmp_path):
+    for case, head in (("a", "time,trace_id,span_id,parent_id,service,duration_ms"), ("b", "latency,spanId,traceId,app,start_time")):
+        (tmp_path / case).mkdir()
+        line = "1700000000,t,s,none,svc,5" if case == "a" else "7000,s,t,svc,1700000000"
+        (tmp_path / case / "traces.csv").write_text(f"{head}\n{line}\n")
+    got = {(r.case_id, r.trace_id, r.span_id, r.service, r.start_us, r.duration_us) for r in spans.read_spans(spark, str(tmp_path), "auto").collect()}
+    assert got == {(c, "t", "s", "svc", 1_700_000_000_000_000, d) for c, d in (("a", 5000), ("b", 7000))}
+
+
+def test_saved_templates(spark, tmp_path):
+    results.write_templates(spark.createDataFrame([("x",), ("x",), ("y",)], "template string"), f"{tmp_path}/t")
+    assert {r.template for r in results.read_templates(spark, f"{tmp_path}/t").collect()} == {"x", "y"}

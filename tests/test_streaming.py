@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from faultlens.streaming.buckets import stream_buckets
 from faultlens.streaming.dedup import stream_dedup
+from faultlens.sources.spans import SPANS
 from faultlens.streaming.runs import drain, latest, stream_cases
 
 SIGNALS = "case_id string, ts double, service string, kind string"
@@ -43,14 +44,20 @@ def test_dedup_across_runs(spark, tmp_path):
 
 
 def test_cases_are_scored_once_and_replaced_when_they_land_again(spark, tmp_path):
-    schema = "case_id string, mode string, root_cause_service string, culprit_services array<string>, category string, confidence double"
-    truth = spark.createDataFrame([("a", "x", "mem"), ("b", "x", "mem")], "case_id string, gt_service string, gt_fault string")
+    """Every landing of a case row diagnoses the telemetry of that case anew; other cases are not touched."""
+    schema = "case_id string, inject_time double, gt_service string, gt_fault string"
+    calm = [(c, s, T - 50 + i, f"fine {s}", i) for c in "ab" for i in range(5) for s in ("x", "y")]
+    bad = [(c, s, T + i, f"error: {s} is out of memory {i}", 10 + i) for c, s in (("a", "x"), ("b", "y")) for i in range(3)]
+    logs = spark.createDataFrame(calm + bad, "case_id string, service string, ts double, message string, seq long")
+    points = spark.createDataFrame([], "case_id string, metric_name string, query string, ts double, value double, seq long")
+    spans = spark.createDataFrame([], SPANS)
     src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
-    land(spark, src, [("a", "fusion", "x", ["x"], "c", 0.5)], schema)
-    stream_cases(stream(spark, src, schema), truth, out, ckpt)
-    land(spark, src, [("a", "fusion", "y", ["y"], "c", 0.5), ("b", "fusion", "x", ["x"], "c", 0.5)], schema)
-    stream_cases(stream(spark, src, schema), truth, out, ckpt)
-    stream_cases(stream(spark, src, schema), truth, out, ckpt)
+    run = lambda: stream_cases(stream(spark, src, schema), logs, points, spans, out, ckpt, modes=("logs-only",))
+    land(spark, src, [("a", T, "y", "mem")], schema)
+    run()
+    land(spark, src, [("a", T, "x", "mem"), ("b", T, "x", "mem")], schema)
+    run()
+    run()
     got = {r.case_id: (r.predicted_service, r.top1_hit) for r in latest(spark, out, ["case_id", "mode"]).collect()}
-    assert got == {"a": ("y", False), "b": ("x", True)}
+    assert got == {"a": ("x", True), "b": ("y", False)}
     assert spark.read.parquet(out).count() == 3

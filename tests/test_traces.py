@@ -15,7 +15,7 @@ def span(sid, parent, service, ms, status=None, trace="t1", phase="incident", se
 
 
 def study(spark, rows):
-    facts = T.span_facts(T.with_error_facts(spark.createDataFrame(rows, SCHEMA)), with_path=True)
+    facts = T.span_facts(T.with_error_facts(spark.createDataFrame(rows, SCHEMA)))
     leafs = T.leaf_culprit(facts)
     return facts, leafs, T.trace_evidence(facts, leafs).first()
 
