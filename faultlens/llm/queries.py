@@ -170,3 +170,50 @@ kept AS (
 SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, CAST(len(string_split(d.text, chr(10))) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+_WORDS = f"list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')"
+_COMMON = "[" + ", ".join(f"'{w}'" for w in quality.COMMON_WORDS) + "]"
+
+
+def _js_sql(a: str, b: str) -> str:
+    p, q = f"(x[1] / list_sum({a}))", f"(x[2] / list_sum({b}))"
+    part = lambda v: f"CASE WHEN {v} > 0 THEN {v} * log2(2 * {v} / ({p} + {q})) ELSE 0 END"
+    value = f"list_sum(list_transform(list_zip({a}, {b}), lambda x: {part(p)} + {part(q)})) / 2"
+    return f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest({value}, 0)) ELSE 0 END"
+
+
+SQL["op5_quality_rules"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+windows AS (SELECT r, unnest(list_zip(w[:len(w) - 2], w[2:len(w) - 1], w[3:])) AS k, unnest(range(len(w) - 2)) AS i FROM docs WHERE len(w) > 2),
+again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, k) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + j) AS n FROM again, range(3) AS t(j) GROUP BY r),
+base AS (
+  SELECT d.*, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(c.n, 0) AS n_repeat_words,
+    length(regexp_replace(t, '\\P{{Lu}}', '', 'g')) AS up, length(regexp_replace(t, '\\P{{Ll}}', '', 'g')) AS low, length(regexp_replace(t, '\\P{{N}}', '', 'g')) AS dig
+  FROM docs d LEFT JOIN covered c USING (r)),
+measured AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+    [up, low, dig, length(t) - word_chars, n_symbols, greatest(0, word_chars - up - low - dig - n_symbols)] AS classes,
+    list_transform({_COMMON}, lambda c: len(list_filter(w, lambda x: x = c))) AS known FROM base),
+counted AS (SELECT *, list_append(known, n_words - list_sum(known)) AS common FROM measured),
+cells AS (SELECT lang, unnest(classes || common) AS v, unnest(range(len(classes) + len(common))) AS i FROM counted WHERE NOT base_failed),
+refs AS (SELECT lang, list(v ORDER BY i) AS v FROM (SELECT lang, i, sum(v) AS v FROM cells GROUP BY lang, i) GROUP BY lang),
+judged AS (
+  SELECT c.*, {_js_sql("classes", "f.v[:6]")} AS dc, {_js_sql("common", "f.v[7:]")} AS dw FROM counted c LEFT JOIN refs f ON c.lang IS NOT DISTINCT FROM f.lang)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {quality.GUARD_WORDS} AND (dc > {quality.MAX_CLASS_DISTANCE} OR dw > {quality.MAX_WORD_DISTANCE}
+    OR dc > {quality.BOTH_CLASS_DISTANCE} AND dw > {quality.BOTH_WORD_DISTANCE})) AS kept
+FROM judged"""
+
+SQL["op7_substring_dedup"] = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {substring.WINDOW - 1}], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - {substring.WINDOW - 2})) AS i FROM docs)),
+first AS (SELECT k, min(doc_id) AS d FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM windows JOIN first USING (k), range({substring.WINDOW}) AS t(j) WHERE d < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)"""
