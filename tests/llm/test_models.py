@@ -12,6 +12,7 @@ from cases import documents, hard_texts, lined, prose
 from tokenizers import Tokenizer
 
 from faultlens.llm import lm, neardup, packing, queries
+from faultlens.llm.common import texts
 
 
 def check_pieces(rows, pieces, window):
@@ -77,8 +78,6 @@ def test_near_dedup_finds_the_components(spark):
     s = neardup.Settings(block_members=3, buckets=1 << 12)
     got = neardup.dedup(docs, s).collect()
     assert len(got) == len(rows)
-    from faultlens.llm.common import texts
-
     idf, known = neardup.word_idf(texts(docs), s.buckets), neardup.WordHashes()
     split = [neardup.split(t or "") for _, t in rows]
     sets = [neardup.shingles(known.of(w), idf, 5) for w in split]
@@ -121,11 +120,14 @@ def test_scores_tell_word_order(spark):
         return out
 
     train = [(i, " ".join(speak(i, 400))) for i in range(60)]
-    named, flat = lm.train(documents(spark, train).select("text"), lm.Settings(masked=0.5))
+    s = lm.Settings(masked=0.5)
+    docs = texts(documents(spark, train))
+    named, counts = lm.vocabulary(docs, s)
+    flat = lm.train(lm.tokenize(docs, named, s), counts, s)
     held = [speak(1000 + i, 200) for i in range(20)]
     mixed = [rng.sample(x, len(x)) for x in held]
     rows = [(i, " ".join(x)) for i, x in enumerate(held)] + [(100 + i, " ".join(x)) for i, x in enumerate(mixed)] + [(200, None), (201, "")]
-    got = {r.doc_id: r for r in lm.score(documents(spark, rows), named, flat).collect()}
+    got = {r.doc_id: r for r in lm.score(lm.tokenize(texts(documents(spark, rows)), named, s), flat, s).collect()}
     right = sum(got[i].mean_log_prob > got[100 + i].mean_log_prob for i in range(20))
     assert right >= 19 and got[200].n_words == 0 and got[201].mean_log_prob is None and got[200].log_prob == 0
 
