@@ -166,3 +166,30 @@ SPAN_COLUMNS_CSV = {
     "duration": ("duration", "duration_ms", "duration_us", "latency"),
     "status": ("status", "status_code", "statusCode", "error", "has_error"),
 }
+
+# Sentences of the report; {} takes a value.
+REPORT = {
+    "no_logs": "No log evidence evaluated.",
+    "own_logs": "Isolated {} error snippet(s) in '{}' with {} novel Drain3 template(s).",
+    "other_logs": "Identified {} error snippet(s) across {} microservices.",
+    "oom_risk": " [Steep memory slope indicates OOM risk]",
+    "no_alerts": "Metrics evaluated within normal bounds (no Z-score anomalies).",
+    "own_alerts": "Detected {} anomaly alert(s) for '{}': {} (z={}){}.",
+    "other_alerts": "Peak anomaly detected at '{}': {} (z={}).",
+    "no_errors": "Distributed traces show no failing spans or HTTP/gRPC error tags.",
+    "leaf": "DFS DAG traversal isolated deepest leaf culprit at '{}:{}' (depth={}, status={}).",
+    "errors": "Encountered {} failing span(s) across call graphs.",
+    "localized": "Multi-signal correlation localized root cause to '{}' under category {}.",
+    "agreement": "Cross-modal consensus verified across {} telemetry modality/modalities (Primary: {}).",
+    "downstream": "Trace call hierarchy confirmed this service is the downstream origin rather than an innocent caller.",
+    "climbing": "Metric time series confirmed memory consumption climbing at an unsustainable slope.",
+    "summary": "Telemetry-RAG localized root cause to '{}' failing under {}.",
+    "action": "Inspect and scale compute / network resources for {}",
+    "command": "docker update --cpus=2.0 {}",
+    "impact": "Relieves resource pressure on {}",
+}
+
+# Patterns of ids in log lines and of labels in metric queries.
+KEYED_ID = r"(?i)(?:trace_?id|req(?:uest)?_?id|thread|worker)[=:\s]+([a-zA-Z0-9_\-]+)"
+BRACKETED_ID = r"\[([a-zA-Z0-9_\-]{6,})\]"
+LABEL_KEYS = "(?:name|app|service|pod|container|service_name)"

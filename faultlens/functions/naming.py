@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from faultlens import constants as K
 from faultlens.functions.text import contains_any, strip
 
-LABEL_KEYS = "(?:name|app|service|pod|container|service_name)"
-
 
 def metric_service(name: Column, query: Column) -> Column:
     """Service a metric belongs to: slash prefix, label value, underscore prefix, else `system`."""
     slash = strip(F.split_part(name, F.lit("/"), F.lit(1)))
     labelled = F.concat(name, F.lit(" "), F.coalesce(query, F.lit("")))
-    double_quoted = F.regexp_extract(labelled, LABEL_KEYS + '="([^"]+)"', 1)
-    single_quoted = F.regexp_extract(labelled, LABEL_KEYS + "='([^']+)'", 1)
+    double_quoted = F.regexp_extract(labelled, K.LABEL_KEYS + '="([^"]+)"', 1)
+    single_quoted = F.regexp_extract(labelled, K.LABEL_KEYS + "='([^']+)'", 1)
     prefix = F.split_part(name, F.lit("_"), F.lit(1))
     return (
         F.when(name.contains("/") & (slash != ""), slash)

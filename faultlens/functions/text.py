@@ -32,10 +32,8 @@ def is_probe(line: Column) -> Column:
 
 
 def correlation_tag(line: Column) -> Column:
-    keyed = F.regexp_extract(
-        line, r"(?i)(?:trace_?id|req(?:uest)?_?id|thread|worker)[=:\s]+([a-zA-Z0-9_\-]+)", 1
-    )
-    bracketed = F.regexp_extract(line, r"\[([a-zA-Z0-9_\-]{6,})\]", 1)
+    keyed = F.regexp_extract(line, K.KEYED_ID, 1)
+    bracketed = F.regexp_extract(line, K.BRACKETED_ID, 1)
     return F.lower(F.coalesce(F.nullif(keyed, F.lit("")), F.nullif(bracketed, F.lit(""))))
 
 

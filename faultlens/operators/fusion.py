@@ -267,6 +267,12 @@ def primary_signal(df: DataFrame) -> DataFrame:
     )
 
 
+def told(sentence: str, *values: Column) -> Column:
+    """A sentence of the report with its values filled in."""
+    first, *rest = K.REPORT[sentence].split("{}")
+    return F.concat(F.lit(first), *[x for v, part in zip(values, rest, strict=True) for x in (v.cast("string"), F.lit(part))])
+
+
 def triangulation(df: DataFrame, logs: DataFrame, top: DataFrame) -> DataFrame:
     """What each signal says about the best service, in words."""
     own_logs = logs.select("case_id", F.col("service").alias("top_service"), F.col("snippets").alias("__s"), F.col("novel_templates").alias("__n"))
@@ -275,49 +281,31 @@ def triangulation(df: DataFrame, logs: DataFrame, top: DataFrame) -> DataFrame:
         F.min_by(F.struct("metric_name", "z", "is_oom_risk"), "alert_rank").alias("__m"),
     )
     d = df.join(own_logs, ["case_id", "top_service"], "left").join(own_alert, ["case_id", "top_service"], "left")
-    text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
     logs_insight = (
-        F.when(F.col("log_services") == 0, F.lit("No log evidence evaluated."))
-        .when(
-            F.col("__s") > 0,
-            text("Isolated ", F.col("__s"), " error snippet(s) in '", F.col("top_service"), "' with ", F.col("__n"), " novel Drain3 template(s)."),
-        )
-        .otherwise(text("Identified ", F.col("snippets"), " error snippet(s) across ", F.col("log_services"), " microservices."))
+        F.when(F.col("log_services") == 0, told("no_logs"))
+        .when(F.col("__s") > 0, told("own_logs", F.col("__s"), F.col("top_service"), F.col("__n")))
+        .otherwise(told("other_logs", F.col("snippets"), F.col("log_services")))
     )
-    risk = F.when(F.col("__m")["is_oom_risk"], F.lit(" [Steep memory slope indicates OOM risk]")).otherwise(F.lit(""))
-    peak = F.col("top_alert")
+    risk = F.when(F.col("__m")["is_oom_risk"], told("oom_risk")).otherwise(F.lit(""))
+    peak, own = F.col("top_alert"), F.col("__m")
     metrics_insight = (
-        F.when(F.col("alerts") == 0, F.lit("Metrics evaluated within normal bounds (no Z-score anomalies)."))
-        .when(
-            F.col("__a") > 0,
-            text("Detected ", F.col("__a"), " anomaly alert(s) for '", F.col("top_service"), "': ", F.col("__m")["metric_name"],
-                 " (z=", fixed(F.col("__m")["z"], 2, True), ")", risk, "."),
-        )
-        .otherwise(text("Peak anomaly detected at '", peak["service"], "': ", peak["metric_name"], " (z=", fixed(peak["z"], 2, True), ")."))
+        F.when(F.col("alerts") == 0, told("no_alerts"))
+        .when(F.col("__a") > 0, told("own_alerts", F.col("__a"), F.col("top_service"), own["metric_name"], fixed(own["z"], 2, True), risk))
+        .otherwise(told("other_alerts", peak["service"], peak["metric_name"], fixed(peak["z"], 2, True)))
     )
     status = F.coalesce(F.nullif("span_status_code", F.lit(0)).cast("string"), F.lit("ERROR"))
     traces_insight = (
-        F.when(F.col("error_spans") == 0, F.lit("Distributed traces show no failing spans or HTTP/gRPC error tags."))
-        .when(
-            F.col("span_service").isNotNull(),
-            text("DFS DAG traversal isolated deepest leaf culprit at '", F.col("span_service"), ":", F.col("span_operation"),
-                 "' (depth=", F.col("leaf_depth"), ", status=", status, ")."),
-        )
-        .otherwise(text("Encountered ", F.col("error_spans"), " failing span(s) across call graphs."))
+        F.when(F.col("error_spans") == 0, told("no_errors"))
+        .when(F.col("span_service").isNotNull(), told("leaf", F.col("span_service"), F.col("span_operation"), F.col("leaf_depth"), status))
+        .otherwise(told("errors", F.col("error_spans")))
     )
     named = d.withColumns({"logs_insight": logs_insight, "metrics_insight": metrics_insight, "traces_insight": traces_insight})
     reasoning = F.concat_ws(
         " ",
-        text("Multi-signal correlation localized root cause to '", F.col("top_service"), "' under category ", F.col("category"), "."),
-        text("Cross-modal consensus verified across ", F.col("agreeing"), " telemetry modality/modalities (Primary: ", F.col("primary_signal"), ")."),
-        F.when(
-            F.col("traces_insight").contains("deepest leaf"),
-            F.lit("Trace call hierarchy confirmed this service is the downstream origin rather than an innocent caller."),
-        ),
-        F.when(
-            F.col("metrics_insight").contains("OOM risk"),
-            F.lit("Metric time series confirmed memory consumption climbing at an unsustainable slope."),
-        ),
+        told("localized", F.col("top_service"), F.col("category")),
+        told("agreement", F.col("agreeing"), F.col("primary_signal")),
+        F.when(F.col("traces_insight").contains("deepest leaf"), told("downstream")),
+        F.when(F.col("metrics_insight").contains("OOM risk"), told("climbing")),
     )
     return named.withColumn("reasoning", reasoning).drop("__s", "__n", "__a", "__m")
 
@@ -330,12 +318,10 @@ def rca_report(df: DataFrame) -> DataFrame:
         {
             "root_cause_service": top,
             "culprit_services": F.coalesce(F.slice(services, 1, 3), F.array(top)),
-            "summary": F.concat(
-                F.lit("Telemetry-RAG localized root cause to '"), top, F.lit("' failing under "), F.col("category"), F.lit(".")
-            ),
-            "remediation_action": F.concat(F.lit("Inspect and scale compute / network resources for "), top),
-            "remediation_command": F.concat(F.lit("docker update --cpus=2.0 "), top),
-            "remediation_impact": F.concat(F.lit("Relieves resource pressure on "), top),
+            "summary": told("summary", top, F.col("category")),
+            "remediation_action": told("action", top),
+            "remediation_command": told("command", top),
+            "remediation_impact": told("impact", top),
         }
     )
 
