@@ -96,7 +96,7 @@ def dropped(docs: DataFrame, min_words: int = MIN_WORDS, min_words_near: int = M
 
     # Distinct lines that share a half with another one.
     halves = classes.select(*LINE, F.explode("keys").alias("key"))
-    met = halves.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key")
+    met = halves.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     paired = halves.join(met, "key", "left_semi").groupBy(*LINE).agg(F.collect_set("key").alias("met"))
     paired = store(paired.join(classes.select(*LINE, "first"), LINE), "lines-paired")
     at = paired.select(*[F.col(f"first.{c}").alias(c) for c in PLACE], *LINE, "met")
@@ -106,7 +106,7 @@ def dropped(docs: DataFrame, min_words: int = MIN_WORDS, min_words_near: int = M
     near = store(near.select(*LINE, F.struct(*PLACE).alias("first"), "words", shared.alias("shared")), "lines-near")
 
     variants = store(_variants(near), "lines-neighbourhood")
-    again = variants.groupBy("variant").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("variant")
+    again = variants.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1").select("variant")
     variants = store(variants.join(again, "variant", "left_semi"), "lines-variants")
     order = near.select(*LINE, "first")
     placed = variants.join(order, LINE)
