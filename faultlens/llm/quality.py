@@ -117,10 +117,12 @@ def references(measured: DataFrame) -> DataFrame:
     )
 
 
-def js_distance(a: str, b: str) -> Column:
-    """Jensen-Shannon distance of two arrays of counts; null if either has no count."""
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
-    p_sum, q_sum = total(a), total(b)
+def total(counts: str) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def js_distance(a: str, b: str, p_sum: Column, q_sum: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of counts with their sums; null if either has no count."""
 
     def term(x: Column, y: Column) -> Column:
         p, q = x / p_sum, y / q_sum
@@ -149,6 +151,10 @@ def judge(
     reference = references(measured) if reference is None else reference
     reference = store(reference, "quality-reference")
     joined = measured.join(reference, measured.lang.eqNullSafe(reference.ref_lang), "left")
+    # Sums as columns of their own: inside of the distance they would be taken again for every bin.
+    names = ("classes", "ref_classes", "common", "ref_common")
+    joined = joined.withColumns({f"sum_{c}": total(c) for c in names})
+    sums = {c: F.col(f"sum_{c}") for c in names}
     joined = joined.select(
         "doc_id",
         "text_hash",
@@ -158,8 +164,8 @@ def judge(
         "n_dup_lines",
         "n_repeat_words",
         base_failed().alias("base_failed"),
-        js_distance("classes", "ref_classes").alias("class_distance"),
-        js_distance("common", "ref_common").alias("word_distance"),
+        js_distance("classes", "ref_classes", sums["classes"], sums["ref_classes"]).alias("class_distance"),
+        js_distance("common", "ref_common", sums["common"], sums["ref_common"]).alias("word_distance"),
     )
     by_class, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("class_distance", "word_distance"))
     far = (by_class > max_class_distance) | (by_word > max_word_distance) | ((by_class > both[0]) & (by_word > both[1]))

@@ -37,6 +37,7 @@ def test_packing(spark, ranks):
     rows = hard_texts() + [(70, "plain <|endoftext|> text")]
     pieces = packing.pack(documents(spark, rows), queries.TOKENIZER, ranks, window=256).collect()
     check_pieces(rows, pieces, 256)
+    assert packing.pack(documents(spark, rows).limit(0), queries.TOKENIZER, ranks).count() == 0
 
 
 def test_every_window_holds_the_target_mixture(spark):
@@ -166,6 +167,12 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {*range(12), 25}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "minhash near-dedup", "benchmark decontamination", "packing"]
+    # Nulls in any column, repeated rows and long texts pass through every stage.
+    hard = documents(spark, hard_texts()).select("doc_id", "text", "lang", "source", "n_chars")
+    hard = hard.unionByName(hard.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS LONG) AS n_chars"))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, hard, str(tmp_path)).collect()
+        assert stage(spark, hard.limit(0), str(tmp_path)).count() == 0
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))

@@ -86,7 +86,8 @@ def test_js_distance(spark):
     p, q = [0.25, 0, 0.75], [0.5, 0.5, 0]
     m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
     kl = lambda u: sum(x * math.log2(x / y) for x, y in zip(u, m, strict=True) if x)
-    got = row.select(quality.js_distance("a", "b").alias("d"), quality.js_distance("a", "z").alias("n"), quality.js_distance("a", "a").alias("s")).first()
+    js = lambda x, y: quality.js_distance(x, y, quality.total(x), quality.total(y))
+    got = row.select(js("a", "b").alias("d"), js("a", "z").alias("n"), js("a", "a").alias("s")).first()
     assert abs(got.d - math.sqrt((kl(p) + kl(q)) / 2)) < 1e-12 and got.n is None and got.s == 0
 
 
