@@ -79,7 +79,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     asked = asked.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     windows = store(docs.join(asked, "doc_id").mapInPandas(_windows(window), WINDOW_ROWS), "substring-windows")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    late = windows.join(least, ["h1", "h2"]).filter("doc_id > lo")
+    # Written before they are grouped, so that Spark may split the join where many documents share a window.
+    late = store(windows.join(least, ["h1", "h2"]).filter("doc_id > lo").drop("h1", "h2", "lo", "hi"), "substring-late")
     late = late.groupBy("anchor", "content", "n", "doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     part = runs.filter("doc_id = lo").join(late, ["anchor", "content", "n", "doc_id"])
     part = part.select("doc_id", F.explode(_stretches("places", window)).alias("s"), "first").select(
