@@ -15,14 +15,16 @@ BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    prepare(spark)
-    # Python workers see few rows at once: a text may be megabytes long.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, text, more...) of a table; a null text is the empty one, other columns stay behind."""
+    """(doc_id, text, more...) of a table; a null text is the empty one, other columns stay behind.
+
+    Every operator starts here, so this sets what they rely on: joins whose hot keys Spark may split, and few rows at
+    once for Python workers, as a text may be megabytes long.
+    """
+    prepare(docs.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
@@ -31,7 +33,11 @@ def words(text: str | Column) -> Column:
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back."""
+    """Write once to the shared folder and read back.
+
+    Also for the keys that a join looks for: Spark splits a hot key of a join, but not where the other side comes
+    straight out of an aggregate over the same key.
+    """
     return materialize(df, f"llm-{label}")
 
 

@@ -97,6 +97,7 @@ def dropped(docs: DataFrame, min_words: int = MIN_WORDS, min_words_near: int = M
     # Distinct lines that share a half with another one.
     halves = classes.select(*LINE, F.explode("keys").alias("key"))
     met = halves.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    met = store(met, "lines-met")
     paired = halves.join(met, "key", "left_semi").groupBy(*LINE).agg(F.collect_set("key").alias("met"))
     paired = store(paired.join(classes.select(*LINE, "first"), LINE), "lines-paired")
     at = paired.select(*[F.col(f"first.{c}").alias(c) for c in PLACE], *LINE, "met")
@@ -107,10 +108,11 @@ def dropped(docs: DataFrame, min_words: int = MIN_WORDS, min_words_near: int = M
 
     variants = store(_variants(near), "lines-neighbourhood")
     again = variants.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1").select("variant")
+    again = store(again, "lines-again")
     variants = store(variants.join(again, "variant", "left_semi"), "lines-variants")
     order = near.select(*LINE, "first")
-    placed = variants.join(order, LINE)
-    earliest = placed.groupBy("variant").agg(F.min(F.struct("first", *LINE)).alias("lead"))
+    placed = store(variants.join(order, LINE), "lines-placed")
+    earliest = store(placed.groupBy("variant").agg(F.min(F.struct("first", *LINE)).alias("lead")), "lines-earliest")
     pairs = placed.join(earliest, "variant").filter(F.col("lead.first") < F.col("first"))
     pairs = pairs.select(*LINE, F.col("lead.h1").alias("l1"), F.col("lead.h2").alias("l2")).distinct()
     lead = near.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("words").alias("lead_words"))
