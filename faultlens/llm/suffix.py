@@ -199,7 +199,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
     """(row_id, row_hash, first, end): bytes of strings that stand at two places or more, by row of `_rows(docs)`."""
     runs = store(byte_runs(docs, length, gram), "suffix-runs")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("m"), F.max("again").alias("again")).filter("m > 1 OR again")
-    runs = store(runs.join(shared.select("anchor"), "anchor", "left_semi"), "suffix-shared")
+    runs = store(runs.join(store(shared.select("anchor"), "suffix-anchors"), "anchor", "left_semi"), "suffix-shared")
     contents = runs.groupBy(*RUN).agg(F.count("*").alias("weight"), F.max("again").alias("again"), F.min(F.struct(*ROW, "first")).alias("at"))
     contents = store(contents, "suffix-contents")
     runs = runs.join(contents.select(*RUN, "weight"), RUN)
@@ -209,19 +209,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes
     mixed = contents.groupBy("anchor").agg(
         F.count("*").alias("m"), F.max("again").alias("again"), F.sum(F.col("n") + length).alias("bytes")
     )
-    mixed = mixed.filter("m > 1 OR again").select("anchor", F.ceil(F.col("bytes") / block_bytes).alias("blocks"))
+    mixed = store(mixed.filter("m > 1 OR again").select("anchor", F.ceil(F.col("bytes") / block_bytes).alias("blocks")), "suffix-mixed")
     asked = contents.join(mixed, "anchor").select(
         "at.row_id",
         "at.row_hash",
         F.struct(*RUN, "weight", "at.first", "blocks", F.pmod(F.xxhash64("content"), F.col("blocks")).alias("block")).alias("run"),
     )
-    asked = asked.groupBy(*ROW).agg(F.collect_list("run").alias("runs"))
+    asked = store(asked, "suffix-asked").groupBy(*ROW).agg(F.collect_list("run").alias("runs"))
     # Equal rows cut the same run twice; the sort brings both together and the search takes one.
     parts = docs.join(asked, ROW).mapInPandas(_cut(length), CUT_ROWS)
     found = parts.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "content", "n").mapInPandas(_blocks(length, block_bytes), FOUND_ROWS)
     found = store(found, "suffix-found")
     across = found.filter("h1 IS NOT NULL")
     twice = across.groupBy("h1", "h2").agg(F.sum("weight").alias("total")).filter("total > 1").select("h1", "h2")
+    twice = store(twice, "suffix-twice")
     across = across.join(twice, ["h1", "h2"], "left_semi").filter(F.size("places") > 0)
     found = found.filter("h1 IS NULL").select(*RUN, "places").unionByName(across.select(*RUN, "places"))
     part = runs.filter("weight = 1").join(found, RUN).select(*ROW, "first", F.explode("places").alias("p"))
