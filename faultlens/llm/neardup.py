@@ -257,6 +257,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     placed = store(placed, "near-placed")
     least = F.min(F.when(F.col("row_id") > -(1 << 63), F.col("row_id")))
     summed = placed.groupBy("label").agg(least.alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(*ROW)).alias("first"))
+    summed = store(summed, "near-summed")
     return store(
         placed.join(summed, "label").select(*ROW, F.struct("class_id", "class_size", (F.struct(*ROW) == F.col("first")).alias("kept")).alias("near")),
         "near-classes",
