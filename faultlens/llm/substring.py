@@ -64,7 +64,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     runs = store(word_runs(docs, window, gram), "substring-runs")
     # An anchor of one document marks windows that no other has.
     shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    runs = store(runs.join(shared, "anchor", "left_semi"), "substring-shared")
+    runs = store(runs.join(store(shared, "substring-anchors"), "anchor", "left_semi"), "substring-shared")
     contents = store(
         runs.groupBy("anchor", "content", "n").agg(F.min(F.struct("doc_id", "first")).alias("least")), "substring-contents"
     )
@@ -73,14 +73,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
     # Runs of one anchor that differ: their windows are counted one by one, each content once.
     mixed = contents.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor")
+    mixed = store(mixed, "substring-mixed")
     asked = contents.join(mixed, "anchor", "left_semi").select(
         F.col("least.doc_id").alias("doc_id"), F.struct("anchor", "content", "n", F.col("least.first").alias("first")).alias("run")
     )
-    asked = asked.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    asked = store(asked, "substring-asked").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     windows = store(docs.join(asked, "doc_id").mapInPandas(_windows(window), WINDOW_ROWS), "substring-windows")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    least = store(least.drop("hi"), "substring-least")
     # Written before they are grouped, so that Spark may split the join where many documents share a window.
-    late = store(windows.join(least, ["h1", "h2"]).filter("doc_id > lo").drop("h1", "h2", "lo", "hi"), "substring-late")
+    late = store(windows.join(least, ["h1", "h2"]).filter("doc_id > lo").drop("h1", "h2", "lo"), "substring-late")
     late = late.groupBy("anchor", "content", "n", "doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     part = runs.filter("doc_id = lo").join(late, ["anchor", "content", "n", "doc_id"])
     part = part.select("doc_id", F.explode(_stretches("places", window)).alias("s"), "first").select(

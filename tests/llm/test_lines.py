@@ -66,3 +66,19 @@ def test_empty_table_and_plan(spark):
     plan = lines.dedup(documents(spark, [(1, "a b c")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert texts(none).count() == 0
+
+
+def test_the_same_without_broadcasts(spark, monkeypatch):
+    """Beyond the size limit joins shuffle both sides."""
+    from faultlens.llm import common, decontam
+
+    rows = hard_texts() + [(130, lined(7, 11, 6)), (131, lined(7, 11, 6)), (132, prose(9, 15))]
+    docs, bench = documents(spark, rows), spark.createDataFrame([(1, prose(9, 15))], "item_id long, text string")
+    shown = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    want = shown(lines.dedup(docs)), shown(decontam.clean(docs, bench))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert (shown(lines.dedup(docs)), shown(decontam.clean(docs, bench))) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
