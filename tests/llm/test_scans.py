@@ -104,6 +104,37 @@ def test_licenses(spark):
     assert got == {(50, 1, 1): "MIT", (51, 0, 1): "CC-BY-4.0", (51, 2, 1): "CC-BY-NC-4.0", (52, 0, 2): "MIT", (53, 2, 2): "MIT"}
 
 
+def test_whole_licenses_and_notices_inside_of_lines(spark):
+    """Standard notices as they are published, one sentence of a longer line, headers in comments and under CRLF."""
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+        "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+        "copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    )
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    header = (
+        "This {0} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {1}General Public License\nas published by the Free Software Foundation; either version {2}\n"
+        "of the License, or (at your option) any later version."
+    )
+    gpl, lgpl = header.format("program", "", "2"), header.format("library", "Lesser ", "2.1")
+    comment = "\n".join(f" * {x}" for x in ["A file.", "", *gpl.split("\n"), "", *prose(72, 60).split(" ")])
+    rows = [
+        (70, mit), (71, isc), (72, mpl), (73, gpl), (74, lgpl), (75, comment),
+        (76, f"{prose(70, 90)}\n\n{mit}\n\n{prose(71, 90)}".replace("\n", "\r\n")),
+        (77, f"{prose(73, 12)}. Released under the MIT License. See the manual {prose(74, 12)}"),
+        (78, f"{prose(75, 40)} {gpl} {prose(76, 40)}".replace("\n", " ")),
+        (79, f"{prose(77, 30)}. Released under the MIT License. {prose(78, 30)} Licensed under CC BY-NC 4.0. {prose(79, 30)}"),
+        (80, f"{prose(80, 30)}\n{prose(81, 9)} {isc} {prose(82, 50)}\n{prose(83, 30)}"),
+        (81, "licensed under no public license of version 2.0 and the general terms of this software"),
+    ]
+    got = sorted((r.doc_id, r.line, r.lines, r.license) for r in licenses.scan(documents(spark, rows)).collect())
+    assert [x for x in got if x[2] > 1 or x[0] > 75] == [
+        (70, 0, 6, "MIT"), (71, 0, 3, "ISC"), (72, 0, 3, "MPL-2.0"), (73, 0, 4, "GPL-2.0"), (74, 0, 4, "LGPL-2.1"), (75, 2, 4, "GPL-2.0"), (76, 2, 6, "MIT"),
+        (77, 0, 1, "MIT"), (78, 0, 1, "GPL-2.0"), (79, 0, 1, "CC-BY-NC-4.0"), (79, 0, 1, "MIT"), (80, 1, 3, "ISC"),
+    ]
+
+
 def leak_score(doc, item):
     best = 0
     for d in range(-len(item), len(doc)):
