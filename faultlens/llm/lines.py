@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from faultlens.llm.common import ROW, attach, join_small, row_id, store, text_hash, texts, words
 
-#: Lines below this many words are kept whatever repeats.
-MIN_WORDS = 3
-#: Lines below this many words must be equal; one word in ten may differ.
+#: Lines below this many words are kept whatever repeats: blank lines only.
+MIN_WORDS = 1
+#: Lines below this many words must be equal; in longer ones one word may differ, whatever their length.
 MIN_WORDS_NEAR = 10
 
 LINE = ["h1", "h2"]

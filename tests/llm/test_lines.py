@@ -53,6 +53,12 @@ def test_lines_within_one_word(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute(with_hashes(docs))
 
 
+def test_repeated_lines_of_one_or_two_words(spark):
+    docs = documents(spark, [(1, "one\n\nof two\n  \none"), (2, "\nof  two\nother\n"), (3, "one two\n  ")])
+    got = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
+    assert got == {1: "one\n\nof two\n  ", 2: "\nother\n", 3: "one two\n  "}
+
+
 def test_edit_check(spark):
     words = [["a", "b", "c"], ["a", "c"], ["a", "x", "c"], ["b", "c"], ["a", "b", "c", "d"], ["x", "b", "y"], ["c", "b", "a"]]
     pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a array<string>, b array<string>")
