@@ -2,7 +2,8 @@
 
 A candidate is a maximal run of one character class. A window slides over it and its Shannon entropy is kept up to
 date by the counts of the character that leaves and of the one that enters; windows at or above the threshold of
-the class are united to one span. Candidates that match the allow-list are left alone.
+the class are united to one span. What matches the allow-list is cut out of a candidate, so only windows that overlap
+it are left alone.
 """
 
 from __future__ import annotations
@@ -38,10 +39,16 @@ CLASSES = (
     CharacterClass("0-9a-f", 24, 3.0, "(?=.*[0-9])(?=.*[a-f])"),
     CharacterClass("0-9A-F", 24, 3.0, "(?=.*[0-9])(?=.*[A-F])"),
     CharacterClass("A-Z0-9", 20, 3.5, "(?=.*[0-9])(?=.*[G-Z])"),
+    CharacterClass("a-z0-9", 20, 3.5, "(?=.*[0-9])(?=.*[g-z])"),
     CharacterClass("A-Za-z0-9+/_=-", 20, 3.7, "(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
+    # No digit: letters alone are names more often than keys, so they must carry more.
+    CharacterClass("A-Za-z+/_=-", 20, 3.9, "(?=.*[a-z])(?=.*[A-Z])"),
+)
+#: Random-looking but public: the word that holds an example, digests with their algorithm's name, alphabets, runs of one character.
+ALLOWED = (
+    r"(?i)[A-Za-z0-9+]*(?:example|sample|placeholder|dummy|changeme)[A-Za-z0-9+]*|sha(?:1|256|384|512)-[A-Za-z0-9+/=]*"
+    r"|abcdefgh|12345678|(.)\1{7,}"
 )
-#: Random-looking but public: examples, digests with their algorithm's name, alphabets, runs of one character.
-ALLOWED = r"(?i)example|sample|placeholder|dummy|changeme|abcdefgh|12345678|sha(1|256|384|512)-|(.)\2{7}"
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -103,11 +110,27 @@ def _hot_range(token: Column, size: int, bits: float) -> Column:
     return F.aggregate(steps, state, shift)
 
 
+def _pieces(run: Column, allowed: str) -> Column:
+    """[(start, value)] of what is left of a candidate when the allow-list's matches are cut out."""
+    whole = F.transform(F.regexp_extract_all(run["value"], F.lit(allowed), 0), lambda x: F.length(x))
+    parts = F.arrays_zip(F.split(run["value"], allowed, -1).alias("value"), whole.alias("size"))
+    start = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+
+    def step(state: Column, p: Column) -> Column:
+        piece = F.struct(state["at"].alias("start"), p["value"].alias("value"))
+        at = state["at"] + F.length(p["value"]) + F.coalesce(p["size"], F.lit(0))
+        return F.struct(at.alias("at"), F.array_append(state["out"], piece).alias("out"))
+
+    cut = F.aggregate(parts, start, step, lambda state: state["out"])
+    return F.when(run["value"].rlike(allowed), cut).otherwise(F.array(F.struct(run["start"].alias("start"), run["value"].alias("value"))))
+
+
 def _entropy_spans(text: Column, c: CharacterClass, allowed: str) -> Column:
     pattern = f"[{c.chars}]{{{c.window},}}"
-    fine = lambda m: m["value"].rlike(c.needs) & ~m["value"].rlike(allowed)
+    fine = lambda m: (F.length(m["value"]) >= c.window) & m["value"].rlike(c.needs)
+    pieces = F.flatten(F.transform(_matches(text, pattern, 0), lambda m: _pieces(m, allowed)))
     ranged = F.transform(
-        F.filter(_matches(text, pattern, 0), fine), lambda m: F.struct(m["start"].alias("start"), _hot_range(m["value"], c.window, c.bits).alias("hot"))
+        F.filter(pieces, fine), lambda m: F.struct(m["start"].alias("start"), _hot_range(m["value"], c.window, c.bits).alias("hot"))
     )
     spans = F.transform(
         F.filter(ranged, lambda r: r["hot"]["first"].isNotNull()),

@@ -57,6 +57,29 @@ def test_secret_spans(spark):
     assert "entropy" in by_id[32] and "entropy" not in by_id[33]
 
 
+def test_lower_case_keys_and_allowed_parts(spark):
+    key = "Zk8vQ2xT9mLp4RwY7cNb1HsD"
+    rows = [
+        (35, "x k3j9x7q2m8w4z6t1p5r0n3v8b2 y"),
+        (36, f"/sample/{key}"),
+        (37, f"{key}AAAAAAAAAB{key}"),
+        (38, "GqLxTbZmWkRfYpNcHvJdQsXwE key"),
+        (39, f"sha256-{key}+{key}= example{key}"),
+        (40, "theadministratorresponsible thequickbrownfoxjumpsover"),
+        (41, "getElementsByTagNameNamespaceAndSoOn"),
+        (42, f"😀 {key}12345678{key[:10]}"),
+    ]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(documents(spark, rows)).collect()}
+    entropy = {i: [(s[0], s[2]) for s in spans if s[1] == 3] for i, spans in got.items()}
+    assert entropy[35] == [(2, 28)]
+    # Spans may begin or end a little beyond the key, but never in what is allowed.
+    assert len(entropy[36]) == 1 and 7 <= entropy[36][0][0] <= 8 and entropy[36][0][1] == 32
+    assert len(entropy[37]) == 2 and entropy[37][0] == (0, 24) and entropy[37][1][0] in (33, 34) and entropy[37][1][1] == 58
+    assert entropy[38] == [(0, 25)]
+    assert entropy[39] == [] and entropy[40] == [] and entropy[41] == []
+    assert entropy[42] == [(2, 26)]
+
+
 def brute_measures(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     tri = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
