@@ -54,7 +54,10 @@ def roots(spark, sf):
 
 @register("SELECT case_id, trace_id, span_id, depth, array_to_string(path, '.') AS path FROM depths")
 def span_depth(spark, sf):
-    return investigation(spark, sf).facts.select("case_id", "trace_id", "span_id", "depth", F.array_join("path", ".").alias("path"))
+    inv = investigation(spark, sf)
+    marked = T.mark_roots(T.link_spans(inv.slim_spans.filter("phase = 'incident'")))
+    depth = T.span_depth(marked, with_path=True)
+    return depth.select("case_id", "trace_id", "span_id", "depth", F.array_join("path", ".").alias("path"))
 
 
 @register(f"SELECT case_id, trace_id, span_id, {rounded_sql('self_ms')} FROM selfs")
