@@ -152,10 +152,10 @@ WITH numbered AS (
 lines AS (
   SELECT doc_id, line_no, list_filter(string_split_regex(line, '{_SPACE}'), lambda x: x <> '') AS w FROM numbered),
 classes AS (
-  SELECT w, len(w) AS n, min({{'d': doc_id, 'l': line_no}}) AS first FROM lines WHERE len(w) >= 3 GROUP BY w),
+  SELECT w, len(w) AS n, min({{'d': doc_id, 'l': line_no}}) AS first FROM lines WHERE len(w) >= {lines.MIN_WORDS} GROUP BY w),
 halves AS (
   SELECT *, unnest([{{'s': 0, 'k': w[:n // 2]}}, {{'s': 0, 'k': w[:(n - 1) // 2]}}, {{'s': 1, 'k': w[n // 2 + 1:]}}, {{'s': 1, 'k': w[(n - 1) // 2 + 2:]}}]) AS half
-  FROM classes WHERE n >= 10),
+  FROM classes WHERE n >= {lines.MIN_WORDS_NEAR}),
 near AS (
   SELECT DISTINCT a.w FROM halves a JOIN halves b ON a.half = b.half AND b.first < a.first AND abs(a.n - b.n) <= 1
   WHERE len(list_filter(range(greatest(a.n, b.n)), lambda i:
