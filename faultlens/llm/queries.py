@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from faultlens.llm import decontam, licenses, lines, lm, neardup, packing, quality, secret_scan, substring, suffix
+from faultlens.llm import archives, decontam, interactions, licenses, lines, lm, middle, neardup, packing, quality, secret_scan, substring, suffix
 from faultlens.llm.common import table
+from faultlens.plans.materialize import scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -71,6 +72,23 @@ def op10_suffix_dedup(spark, sf_dir):
     )
 
 
+def op11_arc_to_warc(spark, sf_dir):
+    return archives.archive(table(spark, sf_dir, "pages"), scratch_path(spark, "llm-archives")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return middle.transform(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op13_filter_audit(spark, sf_dir):
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +102,9 @@ QUERIES = {
         op8_license_scan,
         op9_minhash_neardup,
         op10_suffix_dedup,
+        op11_arc_to_warc,
+        op12_fill_in_middle,
+        op13_filter_audit,
     )
 }
 SQL: dict[str, str] = {}
@@ -217,3 +238,67 @@ placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p F
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k USING (doc_id)"""
+
+_BASE32 = "[" + ", ".join(f"'{c}'" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") + "]"
+_TWENTY_BITS = "CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)"
+
+# Five hexadecimal digits are four symbols of base 32.
+SQL["op11_arc_to_warc"] = f"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+coded AS (
+  SELECT *, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([32768, 1024, 32, 1],
+    lambda k: {_BASE32}[CAST({_TWENTY_BITS} // k % 32 AS INT) + 1]), 'string_agg', '')), 'string_agg', '') AS payload_digest FROM hashed)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact
+FROM coded"""
+
+_DRAW = "CAST('0x' || substr(sha256('{seed}:' || doc_id), {at}, 8) AS BIGINT)"
+_DRAWS = ", ".join(_DRAW.format(seed=middle.SEED, at=1 + 8 * i) + f" AS h{i + 1}" for i in range(4))
+
+SQL["op12_fill_in_middle"] = f"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, {_DRAWS} FROM documents),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {middle.PLAIN_FROM} THEN 'plain'
+         WHEN h4 % 100 < {middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', mid) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', mid) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts"""
+
+_FILTERS = ", ".join(f"'{f}'" for f in interactions.FILTERS)
+
+SQL["op13_filter_audit"] = f"""
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_concat(
+    CASE WHEN len(w) < {interactions.MIN_WORDS} THEN ['A'] ELSE [] END,
+    CASE WHEN 100 * len(list_distinct(w)) < {interactions.MIN_DISTINCT_PERCENT} * len(w) THEN ['B'] ELSE [] END,
+    CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {interactions.MAX_UPPER_PERCENT} * length(t) THEN ['C'] ELSE [] END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN ['D'] ELSE [] END,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN ['E'] ELSE [] END) AS fails
+  FROM words LEFT JOIN marks USING (doc_id)),
+masks AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM failed GROUP BY part, fails),
+letters AS (SELECT unnest([{_FILTERS}]) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, o[:i - 1] AS earlier, o[i] AS f, i AS step FROM orders, range(1, 6) AS r(i)),
+rows AS (
+  SELECT part, array_to_string(o, '') AS filter_order, CAST(step AS INT) AS step, f,
+    coalesce(sum(n) FILTER (WHERE NOT list_has_any(fails, list_append(earlier, f))), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE list_contains(fails, f) AND NOT list_has_any(fails, earlier)), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE list_contains(fails, f) AND list_has_any(fails, earlier)), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = [f]), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE list_contains(fails, f) AND NOT list_has_any(fails, earlier)), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE list_contains(fails, f) AND NOT list_has_any(fails, earlier)), 0) AS toxic_lost
+  FROM masks, steps GROUP BY part, o, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM rows"""
