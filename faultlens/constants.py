@@ -34,7 +34,6 @@ MASKS = (
 )
 TOKEN_DELIMITERS = "_:=,[]"
 TEMPLATE_SIMILARITY = 0.4
-TEMPLATE_MAX_CHILDREN = 100
 WILDCARD = "<*>"
 
 CONTEXT_BEFORE = 3

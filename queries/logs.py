@@ -25,14 +25,58 @@ def register(sql=None):
     return add
 
 
-MINED = """signed_leaf AS (SELECT DISTINCT case_id, phase, template AS signature, string_split(template, ' ') AS w FROM signed WHERE template <> ''),
-leaf_rows AS (SELECT *, len(w) AS width, CASE WHEN regexp_matches(w[1], '\\p{Nd}') THEN '<*>' ELSE w[1] END AS head FROM signed_leaf),
-placed AS (SELECT case_id, width, head, signature, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM leaf_rows WHERE phase = 'baseline'),
-wild AS (SELECT case_id, width, head, place FROM placed GROUP BY ALL HAVING count(DISTINCT word) > 1 AND count(DISTINCT word) > 0.1 * count(DISTINCT signature)),
-wilds AS (SELECT case_id, width, head, list(place) AS places FROM wild GROUP BY ALL),
-named AS (SELECT l.case_id, l.phase, l.signature, list_aggregate(list_transform(list_zip(l.w, range(1, len(l.w) + 1), list_transform(l.w, lambda x: coalesce(places, []))),
-  lambda x: CASE WHEN list_contains(x[3], x[2]) THEN '<*>' ELSE x[1] END), 'string_agg', ' ') AS template FROM leaf_rows l LEFT JOIN wilds USING (case_id, width, head)),
-mined AS (SELECT case_id, template, count(*) AS signatures FROM named WHERE phase = 'baseline' GROUP BY ALL)"""
+HEAD = "CASE WHEN regexp_matches({0}[1], '\\p{{Nd}}') THEN '<*>' ELSE {0}[1] END"
+
+
+def _clustered(source: str, name: str, rounds: int = 4) -> str:
+    """Stages that cluster `source`(case_id, template): {name} has (case_id, source, template).
+
+    Rounds without a similar pair change nothing, so there may be more of them than needed.
+    """
+    need = "greatest(1, CAST(ceil(0.4 * len(w) - 1e-9) AS BIGINT))"
+    same = "len(list_filter(list_zip(a.w, b.w), lambda x: x[1] = x[2] AND x[1] <> '<*>'))"
+    stretch = "[w[1:m], w[(width - m) // 2 + 1:(width - m) // 2 + m], w[width - m + 1:]]"
+    out = [f"{name}_m0 AS (SELECT DISTINCT case_id, template AS source, template FROM {source})"]
+    for r in range(rounds + 1):
+        if r == 0:
+            parts = ", ".join(f"(a.s[{i}] = b.s[{i}] AND NOT list_contains(a.s[{i}], '<*>'))" for i in (1, 2, 3))
+            linked = parts.replace("), (", ") OR (")
+        else:
+            linked = f"{same} >= a.m"
+        n, p = f"{name}_{r}", f"{name}_m{r}"
+        out += [
+            f"{n}_w AS (SELECT DISTINCT case_id, template, string_split(template, ' ') AS w FROM {p})",
+            f"{n}_l AS (SELECT *, len(w) AS width, {HEAD.format('w')} AS head, {need} AS m FROM {n}_w)",
+            f"{n}_n AS (SELECT *, {stretch} AS s FROM {n}_l)",
+            f"""{n}_e AS (SELECT a.case_id, a.template AS a, b.template AS b FROM {n}_n a JOIN {n}_n b
+                ON a.case_id = b.case_id AND a.width = b.width AND a.head = b.head AND a.template <> b.template WHERE {linked})""",
+            f"{n}_r AS (SELECT case_id, template AS a, template AS b FROM {n}_w UNION SELECT r.case_id, r.a, e.b FROM {n}_r r JOIN {n}_e e ON r.case_id = e.case_id AND r.b = e.a)",
+            f"{n}_c AS (SELECT case_id, a AS template, min(b) AS root FROM {n}_r GROUP BY ALL)",
+            f"""{n}_p AS (SELECT case_id, root, place, CASE WHEN min(word) = max(word) THEN min(word) ELSE '<*>' END AS word FROM (
+                SELECT c.case_id, c.root, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM {n}_c c JOIN {n}_w USING (case_id, template)) GROUP BY ALL)""",
+            f"{n}_t AS (SELECT case_id, root, string_agg(word, ' ' ORDER BY place) AS merged FROM {n}_p GROUP BY ALL)",
+            f"""{name}_m{r + 1} AS (SELECT m.case_id, m.source, t.merged AS template FROM {p} m JOIN {n}_c c ON m.case_id = c.case_id AND m.template = c.template
+                JOIN {n}_t t ON t.case_id = c.case_id AND t.root = c.root)""",
+        ]
+    return ",\n".join([*out, f"{name} AS (SELECT * FROM {name}_m{rounds + 1})"])
+
+
+MINED = f"""base_signatures AS (SELECT DISTINCT case_id, template FROM signed WHERE phase = 'baseline' AND template <> ''),
+{_clustered("base_signatures", "based")},
+mined AS (SELECT case_id, template, count(*) AS signatures FROM based GROUP BY ALL)"""
+
+WIDENED = f"""{MINED},
+asked AS (SELECT DISTINCT case_id, template AS source, string_split(template, ' ') AS w FROM signed WHERE phase = 'incident' AND template <> ''),
+covering AS (
+  SELECT a.case_id, a.source, m.template, row_number() OVER (PARTITION BY a.case_id, a.source
+    ORDER BY len(list_filter(string_split(m.template, ' '), lambda x: x <> '<*>')) DESC, m.template) AS k
+  FROM asked a JOIN mined m ON a.case_id = m.case_id AND len(a.w) = len(string_split(m.template, ' '))
+    AND {HEAD.format('a.w')} = {HEAD.format("string_split(m.template, ' ')")}
+  WHERE len(list_filter(list_zip(string_split(m.template, ' '), a.w), lambda x: x[1] <> '<*>' AND x[1] <> x[2])) = 0),
+covered AS (SELECT case_id, source, template FROM covering WHERE k = 1),
+open_nodes AS (SELECT case_id, template FROM mined UNION SELECT case_id, source FROM asked ANTI JOIN covered USING (case_id, source)),
+{_clustered("open_nodes", "widened")},
+named AS (SELECT * FROM covered UNION ALL SELECT w.case_id, w.source, w.template FROM widened w JOIN (FROM asked ANTI JOIN covered USING (case_id, source)) USING (case_id, source))"""
 
 
 @register(f"WITH {MINED} SELECT * FROM mined")
@@ -41,8 +85,8 @@ def mine_templates(spark, sf):
 
 
 @register(
-    f"""WITH {MINED} SELECT s.case_id, s.service, s.line_no, coalesce(n.template, '') AS template, s.template <> '' AND m.template IS NULL AS is_novel
-        FROM signed s LEFT JOIN named n ON n.case_id = s.case_id AND n.phase = s.phase AND n.signature = s.template
+    f"""WITH {WIDENED} SELECT s.case_id, s.service, s.line_no, coalesce(n.template, '') AS template, s.template <> '' AND m.template IS NULL AS is_novel
+        FROM signed s LEFT JOIN named n ON n.case_id = s.case_id AND n.source = s.template
         LEFT JOIN mined m ON m.case_id = n.case_id AND m.template = n.template WHERE s.phase = 'incident'"""
 )
 def classify_lines(spark, sf):
