@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultlens import constants as K
 from faultlens.functions import clock, naming
 from faultlens.plans.ordering import numbered
+from faultlens.sources.bounds import Bounds
 
 
 def phase_of(ts: Column, inject: Column, baseline_seconds: float, incident_seconds: float) -> Column:
@@ -21,8 +22,15 @@ def label_phase(
     cases: DataFrame,
     baseline_seconds: float = K.BASELINE_SECONDS,
     incident_seconds: float = K.INCIDENT_SECONDS,
+    within: Bounds | None = None,
 ) -> DataFrame:
-    """Keep rows inside the case's window and say on which side of the injection they lie."""
+    """Keep rows inside the case's window and say on which side of the injection they lie.
+
+    `within`, the bounds of these cases and windows, stands before the join as literals. They reach the scan where
+    `ts` is a stored column and `case_id` a column or a folder.
+    """
+    if within is not None:
+        df = df.filter(within.of_cases(F.col("case_id")) & within.of_instants(F.col("ts")))
     return (
         df.join(cases.select("case_id", "inject_time"), "case_id")
         .withColumn("phase", phase_of(F.col("ts"), F.col("inject_time"), baseline_seconds, incident_seconds))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from faultlens import constants as K
 from faultlens.operators import context, evaluation, fusion, logs, metrics, templates, traces, windows
 from faultlens.plans.materialize import materialize
+from faultlens.sources.bounds import Bounds, bounds_of
 
 
 @dataclass
@@ -43,18 +44,23 @@ class Investigation:
         self.cases = materialize(self.cases, "cases")
 
     # --- slices -----------------------------------------------------------------------------
+    @cached_property
+    def bounds(self) -> Bounds:
+        """The windows of all cases as literals, so that scans of logs and points can pass over the rest."""
+        return bounds_of(self.cases, self.baseline_seconds, self.incident_seconds)
+
     @cached_property
     def lines(self) -> DataFrame:
         return windows.number_lines(self.labelled_logs)
 
     @cached_property
     def labelled_logs(self) -> DataFrame:
-        return windows.label_phase(self.raw_logs, self.cases, self.baseline_seconds, self.incident_seconds)
+        return windows.label_phase(self.raw_logs, self.cases, self.baseline_seconds, self.incident_seconds, self.bounds)
 
     @cached_property
     def points(self) -> DataFrame:
         """Sliced points; six narrow columns that every metric stage reads."""
-        sliced = windows.label_phase(self.raw_points, self.cases, self.baseline_seconds, self.incident_seconds)
+        sliced = windows.label_phase(self.raw_points, self.cases, self.baseline_seconds, self.incident_seconds, self.bounds)
         return materialize(sliced, "points")
 
     @cached_property

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from faultlens.functions import clock
 from faultlens.plans.materialize import materialize
+from faultlens.sources.bounds import Bounds
 
 ROW = "__row"
 
@@ -32,23 +34,37 @@ def case_from_path(file_name: str) -> Column:
     return F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), rf"([^/]+)/{stem}(?:/[^/]+)?$", 1)
 
 
-def scan(spark: SparkSession, root: str, file_name: str, fmt: str, layout: str, schema: str | None = None, **options: str) -> DataFrame:
+def folders(within: Bounds | None) -> str:
+    """Glob of the case folders to read: those asked for if they are few, else all."""
+    if within is None or within.cases is None:
+        return "*"
+    return "{" + ",".join(re.sub(r"([\\{}\[\]*?,])", r"\\\1", c) for c in within.cases) + "}"
+
+
+def scan(
+    spark: SparkSession, root: str, file_name: str, fmt: str, layout: str, schema: str | None = None, within: Bounds | None = None, **options: str
+) -> DataFrame:
     """Read one kind of file of all cases and add `case_id`, and the row's place unless it is plain text.
 
-    `folders`: root/<case>/<file_name>. `partitioned`: root/<file_name>/case_id=<case>/…, which prunes by case.
+    `folders`: root/<case>/<file_name>. `partitioned`: root/<file_name>/case_id=<case>/…. With `within`, folders of
+    other cases are not opened.
     """
     reader = spark.read.format(fmt).options(**options)
     if schema:
         reader = reader.schema(schema + ", case_id string" * (layout == "partitioned"))
     if layout == "partitioned":
-        df = reader.load(f"{root}/{file_name}").withColumn("case_id", F.col("case_id").cast("string"))
+        df = reader.load(f"{root}/{file_name}")
+        if within is not None:
+            df = df.filter(within.of_cases(F.col("case_id").cast("string")))
+        df = df.withColumn("case_id", F.col("case_id").cast("string"))
     else:
-        df = reader.load(f"{root}/*/{file_name}").withColumn("case_id", case_from_path(file_name))
+        df = reader.load(f"{root}/{folders(within)}/{file_name}").withColumn("case_id", case_from_path(file_name))
     return df if fmt == "text" else df.withColumn(ROW, row_position(fmt))
 
 
 def scan_columns(
-    spark: SparkSession, root: str, file_name: str, fmt: str, layout: str, wanted: dict[str, tuple[str, ...]], required: tuple[str, ...], multi_line: bool = True, by_name: tuple[str, ...] = ()
+    spark: SparkSession, root: str, file_name: str, fmt: str, layout: str, wanted: dict[str, tuple[str, ...]], required: tuple[str, ...], multi_line: bool = True, by_name: tuple[str, ...] = (),
+    within: Bounds | None = None,
 ) -> tuple[DataFrame, dict[str, list[tuple[str, Column]]]]:
     """The rows of all cases and, for each wanted column, the (name, column) pairs that may hold it, best first.
 
@@ -57,11 +73,12 @@ def scan_columns(
     `required` columns; a file without one gives no rows. The names of `by_name` columns tell what is in them.
     """
     if fmt != "csv":
-        df = scan(spark, root, file_name, fmt, layout, mergeSchema="true")
-        return df, {k: [(c, F.col(f"`{c}`")) for c in aliases_in(df.columns, names)] for k, names in wanted.items()}
+        df = scan(spark, root, file_name, fmt, layout, within=within, mergeSchema="true")
+        at = {k: [(c, F.col(f"`{c}`")) for c in aliases_in(df.columns, names)] for k, names in wanted.items()}
+        return in_bounds(df, [c for c, _ in at.get("time", [])], within), at
     cells = [f"__c{i}" for i in range(CSV_WIDTH)]
     options = {"header": "false", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE"}
-    raw = scan(spark, root, file_name, "csv", layout, ", ".join(f"{c} string" for c in cells), **options)
+    raw = scan(spark, root, file_name, "csv", layout, ", ".join(f"{c} string" for c in cells), within, **options)
     raw = raw.withColumns({"__file": F.col("_metadata.file_path"), "__cells": F.array(*cells)}).drop(*cells)
     bare = F.transform("__cells", lambda c: F.lower(F.btrim(c, F.lit(" \t\ufeff"))))
     is_header = reduce(and_, [F.arrays_overlap(bare, F.array(*[F.lit(a.lower()) for a in wanted[k]])) for k in required])
@@ -75,6 +92,12 @@ def scan_columns(
     return df, {k: [(a, F.when(F.col(f"__name_{k}") == a, cell(k))) for a in names] if k in by_name else [(k, cell(k))] for k, names in wanted.items()}
 
 
+def in_bounds(df: DataFrame, times: list[str], within: Bounds | None) -> DataFrame:
+    """Raw rows of which a time column may lie in the bounds; rows are held against them exactly once they have `ts`."""
+    test = None if within is None else within.of_raw(df, times)
+    return df if test is None else df.filter(test)
+
+
 def prefer(better: DataFrame, other: DataFrame) -> DataFrame:
     """All rows of `better`, and those of `other` whose case has none there."""
     return better.unionByName(other.join(better.select("case_id").distinct(), "case_id", "left_anti"))

@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 from faultlens import constants as K
 from faultlens.functions import text
 from faultlens.sources import aliases as A
+from faultlens.sources.bounds import Bounds
 
 LOGS = "case_id string, service string, ts double, message string, seq bigint"
 
 
 def read_logs(
-    spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "folders", multi_line: bool = True, keep_untimed: bool = False
+    spark: SparkSession,
+    root: str,
+    fmt: str = "parquet",
+    layout: str = "folders",
+    multi_line: bool = True,
+    keep_untimed: bool = False,
+    within: Bounds | None = None,
 ) -> DataFrame:
     """logs(case_id, service, ts, message, seq) of all cases; columns are found by alias, file by file.
 
@@ -22,12 +29,17 @@ def read_logs(
     `unknown_service`. Rows without a readable instant are dropped, or kept with a null `ts` for those who count
     them. `seq` keeps the order of the file for rows of the same instant. CSV messages may span lines; files without
     such messages are split among tasks with `multi_line=False`.
+
+    `within` keeps the rows of its cases and instants only: other folders are not opened, and Parquet row groups are
+    passed over by their time columns, numbers or instants (times in text, and CSV, are read and then dropped).
     """
+    if within is not None and keep_untimed:
+        raise ValueError("rows without an instant lie in no bounds")
     if fmt == "auto":
-        return A.prefer(*[_if_any(spark, root, f, layout, multi_line, keep_untimed) for f in ("parquet", "csv")])
+        return A.prefer(*[_if_any(spark, root, f, layout, multi_line, keep_untimed, within) for f in ("parquet", "csv")])
     csv = fmt == "csv"
     wanted = {"time": K.LOG_TIME_CSV if csv else K.LOG_TIME, "service": K.LOG_SERVICE_CSV if csv else K.LOG_SERVICE, "message": K.LOG_MESSAGE}
-    df, at = A.scan_columns(spark, root, f"logs.{fmt}", fmt, layout, wanted, ("time", "message"), multi_line)
+    df, at = A.scan_columns(spark, root, f"logs.{fmt}", fmt, layout, wanted, ("time", "message"), multi_line, within=within)
     if not at["time"] or not at["message"]:
         return spark.createDataFrame([], LOGS)
     rows = df.select(
@@ -37,6 +49,8 @@ def read_logs(
         text.strip(F.coalesce(A.first_of(at["message"]), F.lit(""))).alias("message"),
         F.col(A.ROW).alias("seq"),
     )
+    if within is not None:
+        return rows.filter(within.of_instants(F.col("ts")))
     return rows if keep_untimed else rows.filter(F.col("ts").isNotNull())
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from faultlens import constants as K
 from faultlens.functions import clock
 from faultlens.sources import aliases as A
+from faultlens.sources.bounds import Bounds
 
 POINTS = "case_id string, metric_name string, query string, ts double, value double, seq bigint"
 
@@ -17,13 +18,13 @@ def _query(name):
     return F.concat(F.lit(K.METRIC_QUERY_PREFIX), name)
 
 
-def unpivot_metrics(df: DataFrame) -> DataFrame:
-    """Wide rows (one column per series) → long points; missing values are dropped."""
+def unpivot_metrics(df: DataFrame, within: Bounds | None = None) -> DataFrame:
+    """Wide rows (one column per series) → long points; missing values are dropped, and rows that lie in no bounds."""
     time = next((c for c in ("time", "timestamp") if c in df.columns), None)
     names = [c for c in df.columns if c not in (time, "case_id", A.ROW)]
     if time is None or not names:
         return df.sparkSession.createDataFrame([], POINTS)
-    wide = df.select(
+    wide = A.in_bounds(df, [time], within).select(
         "case_id",
         A.instant(df, [(time, F.col(f"`{time}`"))]).alias("ts"),
         F.col(A.ROW).alias("seq"),
@@ -80,25 +81,29 @@ def json_points(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_metrics(spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "folders") -> DataFrame:
+def read_metrics(
+    spark: SparkSession, root: str, fmt: str = "parquet", layout: str = "folders", within: Bounds | None = None
+) -> DataFrame:
     """points(case_id, metric_name, query, ts, value, seq) of all cases.
 
     `fmt` "json" reads one document per case, "jsonl" one document per line, which is split among tasks; "auto" takes
-    the Parquet file of a case, else its JSON document.
+    the Parquet file of a case, else its JSON document. `within` keeps its cases and instants only, as for logs.
     """
     if fmt == "auto":
-        return A.prefer(*[_if_any(spark, root, f, layout) for f in ("parquet", "json")])
+        return A.prefer(*[_if_any(spark, root, f, layout, within) for f in ("parquet", "json")])
     if fmt == "jsonl":
-        return json_points(A.scan(spark, root, "metrics.jsonl", "text", layout))
-    if fmt == "json":
-        return json_points(A.scan(spark, root, "metrics.json", "text", layout, wholetext="true"))
-    # Cases name different services, so the columns of all files are merged.
-    return unpivot_metrics(A.scan(spark, root, "metrics.parquet", "parquet", layout, mergeSchema="true"))
+        points = json_points(A.scan(spark, root, "metrics.jsonl", "text", layout, within=within))
+    elif fmt == "json":
+        points = json_points(A.scan(spark, root, "metrics.json", "text", layout, within=within, wholetext="true"))
+    else:
+        # Cases name different services, so the columns of all files are merged.
+        points = unpivot_metrics(A.scan(spark, root, "metrics.parquet", "parquet", layout, within=within, mergeSchema="true"), within)
+    return points if within is None else points.filter(within.of_instants(F.col("ts")))
 
 
-def _if_any(spark: SparkSession, root: str, fmt: str, layout: str) -> DataFrame:
+def _if_any(spark: SparkSession, root: str, fmt: str, *how) -> DataFrame:
     try:
-        return read_metrics(spark, root, fmt, layout)
+        return read_metrics(spark, root, fmt, *how)
     except AnalysisException as e:
         if not A.missing(e):
             raise

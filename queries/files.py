@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultlens.plans import views
 from faultlens.plans.materialize import scratch_path
+from faultlens.sources.bounds import bounds_of
 from faultlens.sources import captures, cases as Cs, logs as Lg, metrics as Me, results as R, snapshots as Sn, spans as Sp
 from queries.common import investigation, rounded
 
@@ -71,6 +72,30 @@ def read_metrics(spark, sf):
     return Me.read_metrics(spark, root, layout="partitioned").select("case_id", "metric_name", "query", *rounded("ts", digits=3), "value")
 
 
+@register(
+    f"""SELECT 'logs' AS signal, case_id, round(ts, 3) AS ts, service AS name, message AS value FROM v_logs
+        WHERE ts BETWEEN {views.INJECT_SECONDS}.0 - 300 AND {views.INJECT_SECONDS}.0 + 200 AND NOT contains(case_id, 'disk')
+        UNION ALL SELECT 'metrics', case_id, round(ts, 3), metric_name, printf('%.6f', value) FROM v_points
+        WHERE ts BETWEEN {views.INJECT_SECONDS}.0 - 300 AND {views.INJECT_SECONDS}.0 + 200 AND NOT contains(case_id, 'disk')"""
+)
+def read_within_windows(spark, sf):
+    # Logs with milliseconds, points with instants; the bounds of all cases but one reach both scans.
+    root = scratch_path(spark, "files")
+    inv = investigation(spark, sf)
+    inv.raw_logs.select("case_id", F.floor(F.col("ts") * 1e6).alias("timestamp"), "service", "message").write.partitionBy("case_id").parquet(f"{root}/logs.parquet")
+    names = [f"svc{i}_{k}" for i in range(12) for k in ("cpu", "mem", "latency", "mem_limit", "error_rate")]
+    wide = inv.raw_points.select(
+        "case_id", F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("bigint")).alias("time"), *[F.when(F.col("metric_name") == n, F.col("value")).alias(n) for n in names]
+    )
+    wide.write.partitionBy("case_id").parquet(f"{root}/metrics.parquet")
+    within = bounds_of(inv.cases.filter("gt_fault <> 'disk'"), 300.0, 200.0)
+    logs = Lg.read_logs(spark, root, layout="partitioned", within=within)
+    points = Me.read_metrics(spark, root, layout="partitioned", within=within)
+    return logs.select(F.lit("logs").alias("signal"), "case_id", *rounded("ts", digits=3), F.col("service").alias("name"), F.col("message").alias("value")).unionByName(
+        points.select(F.lit("metrics").alias("signal"), "case_id", *rounded("ts", digits=3), F.col("metric_name").alias("name"), F.format_string("%.6f", "value").alias("value"))
+    )
+
+
 @register(
     """SELECT case_id, CASE (seq // 64) % 3 WHEN 0 THEN replace(metric_name, '_', '/') ELSE metric_name END AS metric_name, round(ts, 3) AS ts, value
        FROM v_points WHERE seq % 20 <> 19"""

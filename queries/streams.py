@@ -24,13 +24,17 @@ def _landed(spark, df, label, files=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(path)
 
 
-def stream_buckets(spark, sf):
-    inv = investigation(spark, sf)
-    signals = (
+def _signals(inv):
+    return (
         inv.raw_logs.select("case_id", "ts", "service", F.lit("log").alias("kind"))
         .unionByName(inv.raw_points.select("case_id", "ts", naming.bucket_service(F.col("metric_name")).alias("service"), F.lit("metric").alias("kind")))
         .unionByName(inv.raw_spans.select("case_id", (F.col("start_us") / 1e6).alias("ts"), "service", F.lit("span").alias("kind")))
     )
+
+
+def stream_buckets(spark, sf):
+    inv = investigation(spark, sf)
+    signals = _signals(inv)
     # Files hold rows of all times, so nothing may count as late here: the delay spans the window.
     counted = buckets(
         _landed(spark, signals, "signals"), inv.cases, K.BUCKET_SECONDS, "1 hour", views.BASELINE_SECONDS, views.INCIDENT_SECONDS
@@ -44,6 +48,30 @@ def stream_buckets(spark, sf):
     )
 
 
+#: Seconds around the injection at which telemetry lands, and what comes too late: rows of the first part that land last.
+LANDINGS = (-views.BASELINE_SECONDS, -300.0, 300.0, views.INCIDENT_SECONDS + 1)
+LATE_SERVICES = ("svc1", "svc7")
+
+
+def stream_buckets_late(spark, sf):
+    """Telemetry lands in the order of time and is counted in append mode after each landing; some of it is late."""
+    inv = investigation(spark, sf)
+    since = F.col("ts") - views.INJECT_SECONDS
+    late = (since < LANDINGS[1]) & F.col("service").isin(*LATE_SERVICES)
+    path, out, checkpoint = (scratch_path(spark, x) for x in ("signals", "buckets", "checkpoint"))
+    signals = _signals(inv)
+    parts = [signals.filter(~late & (since >= a) & (since < b)) for a, b in zip(LANDINGS, LANDINGS[1:])]
+    clock = inv.cases.select("case_id", (F.col("inject_time") + 1e6).alias("ts"), F.lit("").alias("service"), F.lit("clock").alias("kind"))
+    for k, part in enumerate([*parts, signals.filter(late).unionByName(clock)]):
+        part.write.parquet(f"{path}/landing={k}")
+        stream = spark.readStream.schema(signals.schema).parquet(f"{path}/*")
+        counted = buckets(stream, inv.cases, K.BUCKET_SECONDS, "30 seconds", views.BASELINE_SECONDS, views.INCIDENT_SECONDS)
+        drain(counted, out, checkpoint)
+    return spark.read.parquet(out).select(
+        "case_id", "bucket_index", "log_count", "metric_points_count", "span_count", F.array_join("services", ",").alias("services")
+    )
+
+
 def stream_cases(spark, sf):
     inv = investigation(spark, sf)
     # The telemetry has landed as files; two files of case rows say which cases are complete.
@@ -69,7 +97,13 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(out).select("case_id", "trace_id", "span_id", "duration_us")
 
 
-QUERIES.update(stream_buckets=stream_buckets, stream_cases=stream_cases, stream_dedup=stream_dedup)
+QUERIES.update(stream_buckets=stream_buckets, stream_buckets_late=stream_buckets_late, stream_cases=stream_cases, stream_dedup=stream_dedup)
 SQL["stream_buckets"] = WINDOW_SQL["time_buckets"]
+_LATE = ", ".join(f"'{s}'" for s in LATE_SERVICES)
+SQL["stream_buckets_late"] = (
+    WINDOW_SQL["time_buckets"]
+    .replace(f"{views.INJECT_SECONDS}.0 - {views.BASELINE_SECONDS}", f"{views.INJECT_SECONDS}.0 - {views.BASELINE_SECONDS} AND (ts >= {views.INJECT_SECONDS}.0 + {LANDINGS[1]} OR service NOT IN ({_LATE}))")
+    .replace(f"round({views.INJECT_SECONDS}.0 + b * 5, 3) AS start_ts, round({views.INJECT_SECONDS}.0 + b * 5 + 5, 3) AS end_ts,\n", "\n")
+)
 SQL["stream_cases"] = "SELECT case_id, mode, predicted_service, top1_hit, error_bucket, round(CAST(mrr AS DOUBLE), 4) AS mrr FROM scores"
 SQL["stream_dedup"] = "SELECT case_id, trace_id, span_id, duration_us FROM v_spans"

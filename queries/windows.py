@@ -8,6 +8,7 @@ from faultlens import constants as K
 from faultlens.operators import windows as W
 from faultlens.plans import views
 from faultlens.plans.materialize import scratch_path
+from faultlens.sources.bounds import bounds_of
 from faultlens.sources.cases import list_files
 from queries.common import investigation
 
@@ -29,7 +30,8 @@ def written_files(spark, inv):
 
 def label_phase(spark, sf):
     inv = investigation(spark, sf)
-    return W.label_phase(inv.raw_logs, inv.cases, 300.0, 200.0).select("case_id", "seq", "phase")
+    within = bounds_of(inv.cases, 300.0, 200.0)
+    return W.label_phase(inv.raw_logs, inv.cases, 300.0, 200.0, within).select("case_id", "seq", "phase")
 
 
 def label_trace_phase(spark, sf):
