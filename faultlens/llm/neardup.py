@@ -190,6 +190,18 @@ def _compare(idf, s: Settings):
     return link
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (lead, node) -> fewer of them that connect the same nodes.
+
+    A node has a lead of each band at most. It keeps the least of them, which its other leads are linked to instead;
+    copies share their leads, so these links are few.
+    """
+    each = links.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("leads"))
+    least = F.least("b", F.element_at("leads", 1))
+    linked = F.array_union("leads", F.array("b"))
+    return each.select(least.alias("a"), F.explode(linked).alias("b")).filter("a <> b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of its component, for all nodes of (a, b) edges."""
     edges = store(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
@@ -233,7 +245,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     links = store(pairs.select("a", "b", "text_a", "text_b").mapInPandas(_verify(idf, s), "a long, b long"), "near-links")
-    labels = components(links)
+    labels = components(thinned(links))
 
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = store(labelled.groupBy("band", "key", "label").agg(F.count("*").alias("m")), "near-mixed")
@@ -251,7 +263,8 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     cells = outside.unionByName(every).select("band", "key", "i", "j", "node", "label").distinct()
     cells = cells.join(known, "node")
     more = cells.groupBy("band", "key", "i", "j").applyInPandas(_compare(idf, s), "a long, b long")
-    labels = components(links.unionByName(store(more, "near-more")))
+    stars = labels.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+    labels = components(stars.unionByName(store(more, "near-more")))
 
     placed = signed.select(*ROW, "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = store(placed, "near-placed")
