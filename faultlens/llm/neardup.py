@@ -162,6 +162,40 @@ def _verify(idf, s: Settings):
     return scan
 
 
+def _least_sums(sets: list[tuple[np.ndarray, np.ndarray]], width: int = 1 << 13) -> np.ndarray:
+    """Sum of minima of the weights of every two sets: [i, j].
+
+    With the weights of a shingle in rising order w1 <= w2 ..., min(x, y) is the sum of the steps w1, w2 - w1, ... that
+    both x and y reach. So each step is a column of zeros and ones, and all sums are one product of matrices, made of
+    some thousand columns at a time.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    h, w = np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets])
+    order = np.lexsort((w, h))
+    h, w, owner = h[order], w[order], owner[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    step = new | np.r_[True, w[1:] != w[:-1]]
+    column = np.cumsum(step) - 1  # the last step that a row reaches
+    height = w[step] - np.where(new[step], 0.0, np.r_[0.0, w[step][:-1]])
+    first = np.maximum.accumulate(np.where(new, column, 0))  # the first step of its shingle
+    # A row reaches all steps of its shingle up to its own.
+    n = column - first + 1
+    rows = np.repeat(owner, n)
+    cols = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    shared = np.bincount(cols, minlength=len(height)) > 1
+    keep = shared[cols]
+    rows, cols, height = rows[keep], (np.cumsum(shared) - 1)[cols[keep]], height[shared]
+    by = np.argsort(cols, kind="stable")
+    rows, cols = rows[by], cols[by]
+    out = np.zeros((len(sets), len(sets)))
+    for begin in range(0, len(height), width):
+        lo, hi = np.searchsorted(cols, (begin, begin + width))
+        block = np.zeros((len(sets), min(width, len(height) - begin)))
+        block[rows[lo:hi], cols[lo:hi] - begin] = 1.0
+        out += (block * height[begin : begin + width]) @ block.T
+    return out
+
+
 def _compare(idf, s: Settings):
     """Members of two blocks of a bucket -> links between different components, enough to connect them."""
 
@@ -169,15 +203,7 @@ def _compare(idf, s: Settings):
         rows = rows.drop_duplicates("node")
         known = WordHashes()
         sets = [shingles(known.of(split(t)), idf.value, s.words) for t in rows["text"]]
-        owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
-        h, w = np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets])
-        order = np.argsort(h, kind="stable")
-        h, w, owner = h[order], w[order], owner[order]
-        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-        least = np.zeros((len(sets), len(sets)))
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            if j - i > 1:
-                least[np.ix_(owner[i:j], owner[i:j])] += np.minimum.outer(w[i:j], w[i:j])
+        least = _least_sums(sets)
         total = np.array([x.sum() for _, x in sets])
         near = least >= s.similarity * (total[:, None] + total[None, :] - least)
         label, node, out = rows["label"].to_numpy().copy(), rows["node"].to_numpy(), []
