@@ -78,36 +78,63 @@ def _spans(text: Column, kind: int, pattern: str, group: int, wanted) -> Column:
     return F.when(text.rlike(pattern), found.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
+#: Characters of all classes lie from + to z. Their counts in a window, five bits each, share a few 64-bit numbers.
+FIRST_CHAR, BITS, PER_NUMBER = ord("+"), 5, 12
+NUMBERS = -(-(ord("z") - FIRST_CHAR + 1) // PER_NUMBER)
+#: Terms of the entropy are whole multiples of this fraction of a bit, so that sums do not drift.
+GRAIN = 1 << 32
+
+
 def _hot_range(token: Column, size: int, bits: float) -> Column:
     """(first, last) start of the windows of `token` whose entropy reaches `bits`; both null if there is none.
 
     H = log2(size) - sum(c * log2 c) / size over the counts c of the window, so a shift by one character changes
-    two terms of the sum.
+    two terms of the sum and two counts. The token is taken apart once and read once: a step costs the same at any
+    place of a token of any length.
     """
-    g = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
-    count = lambda text, char: F.length(text) - F.length(F.replace(text, char, F.lit("")))
-    at = lambda i: F.substr(token, i + 1, F.lit(size))
-    most = size * (math.log2(size) - bits)
-
-    first = F.substr(token, F.lit(1), F.lit(size))
-    start_sum = F.aggregate(
-        F.array_distinct(F.split(first, "")), F.lit(0.0), lambda s, c: s + F.when(c == "", F.lit(0.0)).otherwise(g(count(first, c)))
-    )
-    hot = lambda total, i: F.when(total <= most + 1e-9, i)
-    state = F.struct(start_sum.alias("sum"), hot(start_sum, F.lit(0)).alias("first"), hot(start_sum, F.lit(0)).alias("last"))
-
-    def shift(s: Column, i: Column) -> Column:
-        before = at(i - 1)
-        out, new = F.substr(token, i, F.lit(1)), F.substr(token, i + size, F.lit(1))
-        n_out = count(before, out)
-        n_new = count(before, new) - F.when(out == new, 1).otherwise(0)
-        total = s["sum"] - g(n_out) + g(n_out - 1) - g(n_new) + g(n_new + 1)
+    if size >= 1 << BITS:
+        raise ValueError(f"a window holds at most {(1 << BITS) - 1} characters")
+    terms = [round(GRAIN * c * math.log2(c)) if c else 0 for c in range(size + 1)]
+    # What one more character adds to a sum that has c of it.
+    rises = F.array(*[F.lit(terms[c + 1] - terms[c]) for c in range(size)])
+    most = math.floor(GRAIN * size * (math.log2(size) - bits)) + GRAIN // 1_000_000
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST_CHAR)
+
+    def count(numbers: Column, code: Column) -> Column:
+        number = F.get(numbers, F.floor(code / PER_NUMBER).cast("int"))
+        return F.call_function("shiftright", number, (code % PER_NUMBER * BITS).cast("int")).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+    def moved(numbers: Column, code: Column, by: int) -> Column:
+        one = F.call_function("shiftleft", F.lit(by).cast("long"), (code % PER_NUMBER * BITS).cast("int"))
+        return F.transform(numbers, lambda n, k: F.when(k == F.floor(code / PER_NUMBER).cast("int"), n + one).otherwise(n))
+
+    def leave(s: Column, code: Column) -> Column:
+        counts = moved(s["counts"], code, -1)
+        return F.struct(counts.alias("counts"), (s["sum"] - F.get(rises, count(s["counts"], code) - 1)).alias("sum"), s["first"].alias("first"), s["last"].alias("last"))
+
+    def enter(s: Column, x: Column) -> Column:
+        total = s["sum"] + F.get(rises, count(s["counts"], x["new"]))
+        hot = F.when((x["at"] >= size - 1) & (total <= most), x["at"] - (size - 1))
         return F.struct(
-            total.alias("sum"), F.coalesce(s["first"], hot(total, i)).alias("first"), F.coalesce(hot(total, i), s["last"]).alias("last")
+            moved(s["counts"], x["new"], 1).alias("counts"), total.alias("sum"), F.coalesce(s["first"], hot).alias("first"), F.coalesce(hot, s["last"]).alias("last")
         )
 
-    steps = F.when(F.length(token) > size, F.sequence(F.lit(1), F.length(token) - size)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, state, shift)
+    def step(s: Column, x: Column) -> Column:
+        # Before the new character enters, the one that stands `size` places before it leaves.
+        old = F.array(F.get(x["codes"], x["at"] - size))
+        return F.aggregate(F.filter(old, lambda c: c.isNotNull()), s, leave, lambda t: enter(t, x))
+
+    none = F.lit(None).cast("int")
+    start = F.struct(
+        F.array(*[F.lit(0).cast("long")] * NUMBERS).alias("counts"), F.lit(0).cast("long").alias("sum"), none.alias("first"), none.alias("last")
+    )
+    # One list with the token's codes, so that they are made once; each step looks back into it.
+    over = F.transform(F.array(codes), lambda cs: F.aggregate(
+        F.transform(cs, lambda c, i: F.struct(c.alias("new"), i.alias("at"))), start,
+        lambda s, x: step(s, F.struct(x["new"].alias("new"), x["at"].alias("at"), cs.alias("codes"))),
+        lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")),
+    ))
+    return F.get(over, F.lit(0))
 
 
 def _pieces(run: Column, allowed: str) -> Column:

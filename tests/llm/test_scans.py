@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -195,3 +196,20 @@ def test_decontamination(spark):
     left = decontam.clean(docs, bench)
     assert left.columns == docs.columns and left.count() == len(rows) - 4
     assert decontam.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_a_long_run_costs_its_length(spark):
+    """An embedded image is one run of some hundred thousand characters; its hot windows are those of plain counting."""
+
+    rng = random.Random(8)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(150_000))
+    text = "aaaa" * 5 + " " + "ab" * 3000 + run[:50].replace("=", "x") + " " + run
+    got = secret_scan.scan(documents(spark, [(1, text)])).first()["spans"]
+    whole = [s for s in got if s["kind"] == 3 and s["start"] >= len(text) - len(run)]
+    assert whole[0]["start"] <= len(text) - len(run) + 200 and max(s["end"] for s in whole) >= len(text) - 200
+    small = run[:400]
+    hot = secret_scan.scan(documents(spark, [(1, small)])).first()["spans"]
+    c = secret_scan.CLASSES[4]
+    bits = lambda w: -sum(n / c.window * math.log2(n / c.window) for n in Counter(w).values())
+    starts = [i for i in range(len(small) - c.window + 1) if bits(small[i : i + c.window]) >= c.bits - 1e-9]
+    assert (starts[0], starts[-1] + c.window) in {(s["start"], s["end"]) for s in hot if s["kind"] == 3}
