@@ -8,7 +8,9 @@ from faultlens import constants as K
 from faultlens.operators import checks as Ch
 from faultlens.operators import evaluation as E
 from faultlens.operators import traces as T
+from faultlens.plans.materialize import scratch_path
 from faultlens.sources import results as R
+from faultlens.sources.result_store import ResultStore
 from oracles.stages import fmt, metric_service_sql
 from queries.common import investigation, rounded, rounded_sql
 from queries.windows import written_files, FILES_SQL
@@ -195,6 +197,28 @@ def insert_missing(spark, sf):
     return R.insert_missing(*_old_and_new(investigation(spark, sf)))
 
 
+def _store(spark):
+    return ResultStore(spark, scratch_path(spark, "results"), buckets=4)
+
+
+@register(SQL["upsert_results"])
+def store_upsert(spark, sf):
+    """Two batches of results in a store; the second one comes twice and rewrites the parts of its cases only."""
+    store, (old, new) = _store(spark), _old_and_new(investigation(spark, sf))
+    store.upsert(old, "0")
+    for _ in range(2):
+        store.upsert(new, "1")
+    return store.read()
+
+
+@register(SQL["insert_missing"])
+def store_insert_missing(spark, sf):
+    store, (old, new) = _store(spark), _old_and_new(investigation(spark, sf))
+    store.append(old, "0")
+    store.insert_missing(new, "1")
+    return store.read()
+
+
 SIDES = """SELECT case_id, phase, ts, 'logs' AS signal FROM lines UNION ALL SELECT case_id, phase, ts, 'metrics' FROM points
  UNION ALL SELECT case_id, phase, start_us / 1000000.0, 'traces' FROM spans"""
 
