@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from faultlens.llm.common import ROW, join_small, row_id, store, text_hash, texts
 
-#: 1: the word counts. Any one changed word of an item of 15 words leaves a window of one mask intact.
-MASKS = ("110101101011", "101110011101")
+#: 1: the word counts. Together they meet every stretch of MIN_SCORE points with up to three changed words, wherever
+#: those stand (with four in 1806 of 1820 placings, with five in 8425 of 8568; longer stretches hold more windows).
+MASKS = ("1111011", "1110100011", "10101111")
 #: Points of a stretch that make a leak.
 MIN_SCORE = 10
-
-HIT = [*ROW, "item_id", "diagonal"]
+#: Items too short for that score leak as a whole: from this many words on inside of a document, below as all of it.
+MIN_PASSAGE = 5
 
 
 def plain_words(text: str | Column) -> Column:
@@ -25,16 +26,25 @@ def plain_words(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """All columns but `hashes`, which becomes one row (at, seed) for each window and mask."""
-    span = len(masks[0])
-    seen = [[j for j, c in enumerate(m) if c == "1"] for m in masks]
-    windows = F.when(F.size("hashes") >= span, F.sequence(F.lit(0), F.size("hashes") - span))
-    seeds = lambda i: F.array(*[F.xxhash64(F.lit(k), *[F.get("hashes", i + j) for j in at]) for k, at in enumerate(seen)])
+def _hashes(text: str | Column) -> Column:
+    return F.transform(plain_words(text), lambda w: F.xxhash64(w)).alias("hashes")
+
+
+def _seeds(rows: DataFrame, masks: tuple[str, ...], lengths: list[int]) -> DataFrame:
+    """All columns but `hashes`, which becomes one row (at, seed) for each window of each mask.
+
+    `lengths`: also all passages of so many words. A row below MIN_PASSAGE words gives itself as a whole.
+    """
     rest = [c for c in rows.columns if c != "hashes"]
-    # An outer explode: a plain one makes Spark compute the array a second time to filter empty ones.
-    rows = rows.select(*rest, F.posexplode_outer(F.transform(windows, seeds)).alias("at", "seeds"))
-    return rows.select(*rest, "at", F.explode("seeds").alias("seed"))
+    size, at = F.size("hashes"), F.col("at")
+    # Places first, their hashes after: outside of a function over an array, hashes are generated code. The explodes
+    # are outer ones as a plain one makes Spark compute its array a second time to filter empty ones.
+    rows = rows.select(*rest, "hashes", F.explode_outer(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("at"))
+    seen = [(k, len(m), [j for j, c in enumerate(m) if c == "1"]) for k, m in enumerate(masks)]
+    seen += [(-n, n, list(range(n))) for n in lengths]
+    seeds = [F.when(at + span <= size, F.xxhash64(F.lit(k), *[F.get("hashes", at + j) for j in places])) for k, span, places in seen]
+    whole = F.when((at == 0) & (size < MIN_PASSAGE), F.xxhash64(F.lit("whole"), "hashes"))
+    return rows.select(*rest, "at", F.explode_outer(F.array(*seeds, whole)).alias("seed")).filter("seed IS NOT NULL")
 
 
 def _best_stretch(doc: Column, item: Column, diagonal: Column) -> Column:
@@ -58,33 +68,39 @@ def _best_stretch(doc: Column, item: Column, diagonal: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_score: int = MIN_SCORE) -> DataFrame:
     """(row_id, row_hash, doc_id, item_id, score, matched): the best stretch of every leak, one row for each pair.
 
-    Items and documents shorter than a mask hold no window and give nothing, nor do null or empty texts. Rows that
-    agree in id and text count once, items of one id are tried one by one and the best counts.
+    Null and empty texts give nothing. An item of fewer than `min_score` words leaks where all its words follow each
+    other in a document; below MIN_PASSAGE words it must be the whole document. Rows that agree in id and text count
+    once, items of one id are tried one by one and the best counts. An empty table on either side gives no rows,
+    other columns stay behind.
     """
     rows = texts(docs).select("doc_id", row_id().alias("row_id"), text_hash().alias("row_hash"), "text")
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    items = store(items.select("item_id", plain_words("text").alias("item")).distinct(), "decontam-items")
-    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w)).alias("hashes")
-    wanted = store(
-        _seeds(items.select("item_id", "item", hashed("item")), masks).groupBy("seed").agg(F.collect_set(F.struct("item_id", "item", "at")).alias("where")),
-        "decontam-seeds",
-    )
-    seeds = _seeds(rows.select(*ROW, hashed(plain_words("text"))), masks)
-    hits = join_small(seeds, wanted.select("seed"), ["seed"], "left_semi", 24)
+    items = benchmark.select("item_id", plain_words(F.coalesce("text", F.lit(""))).alias("item")).distinct()
+    items = store(items.select(F.xxhash64("item_id", "item").alias("item_key"), "item_id", "item"), "decontam-items")
+    # At most min_score different lengths.
+    short = items.select(F.size("item").alias("n")).filter(F.col("n").between(MIN_PASSAGE, min_score - 1)).distinct()
+    lengths = sorted(r.n for r in short.collect())
+    hashed = F.transform("item", lambda w: F.xxhash64(w)).alias("hashes")
+    wanted = store(_seeds(items.select("item_key", hashed), masks, lengths).withColumnRenamed("at", "item_at"), "decontam-seeds")
+    asked = store(wanted.select("seed").distinct(), "decontam-asked")
+    hits = join_small(_seeds(rows.select(*ROW, _hashes("text")), masks, lengths), asked, ["seed"], "left_semi", 24)
     hits = store(hits.distinct(), "decontam-hits")
-    placed = hits.join(wanted.withColumnRenamed("where", "w"), "seed").select(*ROW, F.col("at").alias("doc_at"), F.explode("w").alias("w"))
-    placed = placed.select(*ROW, "w.item_id", "w.item", (F.col("doc_at") - F.col("w.at")).alias("diagonal")).distinct()
-    placed = store(placed.groupBy(*ROW).agg(F.collect_list(F.struct("item_id", "item", "diagonal")).alias("hits")), "decontam-placed")
-    found = join_small(rows, placed, ROW, "inner", 512).dropDuplicates(ROW).select("doc_id", *ROW, plain_words("text").alias("words"), F.explode("hits").alias("hit"))
-    found = found.select("doc_id", *ROW, "hit.item_id", _best_stretch(F.col("words"), F.col("hit.item"), F.col("hit.diagonal")).alias("s"))
-    found = found.filter(F.col("s.best") >= min_score)
+    # Plain rows throughout: a seed of many items and a document of many hits are joins that Spark may split.
+    placed = join_small(hits, wanted, ["seed"], "inner", 40)
+    placed = store(placed.select(*ROW, "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "decontam-placed")
+    met = store(placed.select(*ROW).distinct(), "decontam-met")
+    met = store(join_small(rows, met, ROW, "left_semi", 40).select("doc_id", *ROW, plain_words("text").alias("words")), "decontam-words")
+    found = join_small(met, placed, ROW, "inner", 48)
+    found = join_small(found, items, ["item_key"], "inner", 512)
+    best = _best_stretch(F.col("words"), F.col("item"), F.col("diagonal")).alias("s")
+    found = found.select("doc_id", *ROW, "item_id", F.least(F.lit(min_score), F.size("item")).alias("needed"), best)
+    found = found.filter(F.col("s.best") >= F.col("needed"))
     return found.groupBy(*ROW, "doc_id", "item_id").agg(F.max(F.struct("s.best", "s.matched")).alias("s")).select(
         *ROW, "doc_id", "item_id", F.col("s.best").cast("long").alias("score"), F.col("s.matched").cast("long").alias("matched")
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_score: int = MIN_SCORE) -> DataFrame:
-    """The rows of `docs`, with all their columns, that hold no leak."""
+    """The rows of `docs`, with all their columns, that hold no leak; all rows where the benchmark is empty."""
     found = store(leaks(docs, benchmark, masks, min_score).select(*ROW).distinct(), "decontam-rows")
     keyed = docs.withColumns({"__row_id": row_id(), "__row_hash": text_hash()})
     found = found.withColumnsRenamed({"row_id": "__row_id", "row_hash": "__row_hash"})

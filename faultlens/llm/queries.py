@@ -117,31 +117,34 @@ _PLAIN = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{
 
 def _seed_sql(mask: str) -> str:
     seen = ", ".join(f"w[i + {j}]" for j, c in enumerate(mask) if c == "1")
-    return f"SELECT *, '{mask}' AS mask, [{seen}] AS seed FROM windows"
+    return f"SELECT *, '{mask}' AS mask, [{seen}] AS seed FROM windows WHERE i + {len(mask) - 1} <= len(w)"
 
 
 SQL["op6_benchmark_decontamination"] = f"""
 WITH words AS (
   SELECT doc_id AS id, true AS is_doc, {_PLAIN} AS w FROM documents UNION ALL SELECT item_id, false, {_PLAIN} FROM benchmark),
-windows AS (SELECT *, unnest(range(1, len(w) - {len(decontam.MASKS[0]) - 2})) AS i FROM words),
-seeds AS ({" UNION ALL ".join(_seed_sql(m) for m in decontam.MASKS)}),
+windows AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words),
+short AS (SELECT DISTINCT len(w) AS n FROM words WHERE NOT is_doc AND len(w) BETWEEN {decontam.MIN_PASSAGE} AND {decontam.MIN_SCORE - 1}),
+seeds AS ({" UNION ALL ".join(_seed_sql(m) for m in decontam.MASKS)}
+  UNION ALL SELECT id, is_doc, w, i, 'passage', w[i:i + n - 1] FROM windows, short WHERE i + n - 1 <= len(w)
+  UNION ALL SELECT id, is_doc, w, i, 'whole', w FROM windows WHERE i = 1 AND len(w) < {decontam.MIN_PASSAGE}),
 hits AS (
-  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.w AS doc, b.w AS item, d.i - b.i AS diagonal
+  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.w AS doc, b.w AS item, d.i - b.i AS diagonal, least(len(b.w), {decontam.MIN_SCORE}) AS needed
   FROM seeds d JOIN seeds b ON d.mask = b.mask AND d.seed = b.seed WHERE d.is_doc AND NOT b.is_doc),
 places AS (SELECT *, unnest(range(greatest(1, 1 - diagonal), least(len(item), len(doc) - diagonal) + 1)) AS p FROM hits),
-points AS (SELECT doc_id, item_id, diagonal, p, item[p] = doc[p + diagonal] AS same FROM places),
+points AS (SELECT doc_id, item_id, needed, diagonal, p, item[p] = doc[p + diagonal] AS same FROM places),
 sums AS (
   SELECT *, sum(CASE WHEN same THEN 1 ELSE -1 END) OVER w AS s, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER w AS e
   FROM points WINDOW w AS (PARTITION BY doc_id, item_id, diagonal ORDER BY p)),
 lows AS (
   SELECT *, arg_min({{'s': s, 'e': e}}, {{'s': s, 'p': -p}}) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS low FROM sums),
 stretches AS (
-  SELECT doc_id, item_id, diagonal, p, s - least(low.s, 0) AS score, e - CASE WHEN low.s <= 0 THEN low.e ELSE 0 END AS matched FROM lows),
+  SELECT doc_id, item_id, needed, diagonal, p, s - least(low.s, 0) AS score, e - CASE WHEN low.s <= 0 THEN low.e ELSE 0 END AS matched FROM lows),
 best AS (
-  SELECT doc_id, item_id, diagonal, max({{'score': score, 'p': -p, 'matched': matched}}) AS b FROM stretches GROUP BY ALL),
+  SELECT doc_id, item_id, needed, diagonal, max({{'score': score, 'p': -p, 'matched': matched}}) AS b FROM stretches GROUP BY ALL),
 pairs AS (
-  SELECT doc_id, item_id, max({{'score': b.score, 'matched': b.matched}}) AS b FROM best GROUP BY ALL)
-SELECT doc_id, item_id, CAST(b.score AS BIGINT) AS score, CAST(b.matched AS BIGINT) AS matched FROM pairs WHERE b.score >= {decontam.MIN_SCORE}"""
+  SELECT doc_id, item_id, max({{'score': b.score, 'matched': b.matched}}) AS b FROM best WHERE b.score >= needed GROUP BY ALL)
+SELECT doc_id, item_id, CAST(b.score AS BIGINT) AS score, CAST(b.matched AS BIGINT) AS matched FROM pairs"""
 
 _TEMPLATES = ", ".join(
     "('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for name, several in licenses.TEMPLATES.items() for i, text in enumerate(several)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -171,7 +172,7 @@ def leak_score(doc, item):
 
 
 def test_decontamination(spark):
-    items = [(1, prose(60, 20)), (2, prose(61, 16)), (3, "too short"), (4, None), (2, prose(62, 15))]
+    items = [(1, prose(60, 20)), (2, prose(61, 16)), (3, "too short"), (4, None), (2, prose(62, 15)), (5, prose(67, 8)), (None, prose(68, 12))]
     changed = prose(60, 20).split()
     changed[7] = "other"
     rows = hard_texts() + [
@@ -179,23 +180,61 @@ def test_decontamination(spark):
         (61, " ".join(changed)),
         (62, prose(65, 10) + " " + prose(62, 15)),
         (63, " ".join(prose(60, 20).split()[:9]) + " " + prose(66, 40)),
-        (64, "too short"),
+        (64, "Too short!"),
+        (65, "it is too short here"),
+        (66, prose(69, 6) + " " + prose(67, 8)),
+        (67, " ".join(prose(67, 8).split()[:7])),
+        (68, prose(68, 12)),
         (60, prose(63, 30) + " " + prose(60, 20).upper() + ". " + prose(64, 30)),
     ]
     docs = documents(spark, rows)
-    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("seed", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({"seed": F.lit("x"), "at": F.lit(1), "doc_id": F.lit(2)})
     plain = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     want = {}
     for i, t in rows:
         for k, u in items:
-            s = leak_score(plain(t), plain(u)) if i not in (8, 9) else 0
-            if s >= decontam.MIN_SCORE:
+            doc, item = plain(t), plain(u)
+            s = leak_score(doc, item) if i not in (8, 9) else 0
+            enough = len(item) >= decontam.MIN_PASSAGE or doc == item
+            if item and s >= min(decontam.MIN_SCORE, len(item)) and enough:
                 want[(i, k)] = max(s, want.get((i, k), 0))
     got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, bench).collect()}
-    assert got == want and set(got) == {(60, 1), (61, 1), (62, 2)}
+    assert got == want and {(60, 1), (61, 1), (62, 2), (64, 3), (66, 5), (68, None)} <= set(got)
+    assert not {63, 65, 67} & {d for d, _ in got}
     left = decontam.clean(docs, bench)
-    assert left.columns == docs.columns and left.count() == len(rows) - 4
+    assert left.columns == docs.columns and left.count() == len(rows) - len([1 for i, _ in rows if i in {d for d, _ in got}])
     assert decontam.clean(docs, bench.limit(0)).count() == len(rows)
+    assert decontam.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_seeds_meet_every_stretch_with_up_to_three_changes():
+    """All placings of the changes in the shortest stretch that still scores enough."""
+
+    for changes in range(4):
+        n = decontam.MIN_SCORE + 2 * changes
+        for places in itertools.combinations(range(n), changes):
+            same = ["0" if i in places else "1" for i in range(n)]
+            assert any(
+                all(same[s + j] == "1" for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for s in range(n - len(m) + 1)
+            ), places
+
+
+def test_changed_items_are_found_as_by_plain_alignment(spark):
+    """Items of 12 to 20 words with up to four changed words, and one seed that all items share."""
+
+    rng = random.Random(5)
+    shared = prose(70, 12)
+    items = [(i, shared + " " + prose(700 + i, rng.randint(0, 8))) for i in range(12)] + [(20 + i, prose(800 + i, rng.randint(12, 20))) for i in range(12)]
+    rows = []
+    for k, (i, t) in enumerate(items):
+        w = t.split()
+        for at in rng.sample(range(len(w)), rng.randint(0, 3)):
+            w[at] = f"other{at}"
+        rows.append((k, prose(900 + k, rng.randint(0, 30)) + " " + " ".join(w) + " " + prose(950 + k, rng.randint(0, 30))))
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i): s for d, t in rows for i, u in items if (s := leak_score(t.lower().split(), u.lower().split())) >= decontam.MIN_SCORE}
+    assert len(want) > 50
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, bench).collect()} == want
 
 
 def test_a_long_run_costs_its_length(spark):
