@@ -23,8 +23,8 @@ SYMBOLS = "[^#*$%&|<>]+"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Documents below this many words are too short for a histogram.
-GUARD_WORDS = 50
+#: Documents below this many words are too short for a histogram: two words a bin of the wider one.
+GUARD_WORDS = 2 * (len(COMMON_WORDS) + 1)
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.45
 #: Lower bounds that reject only when both are passed.

@@ -106,6 +106,17 @@ def test_quality_rejects_what_is_far_from_its_language(spark):
     assert quality.judge(documents(spark, []).limit(0)).count() == 0
 
 
+def test_short_documents_are_judged_by_the_base_rules_alone(spark):
+    """Between the base minimum and the guard a document is kept however far its histograms lie; from the guard on not."""
+
+    far = lambda n: prose(92, n).upper()
+    rows = [(i, prose(i, 200)) for i in range(30)] + [(93, far(quality.GUARD_WORDS - 1)), (94, far(quality.GUARD_WORDS)), (95, far(quality.MIN_WORDS - 1))]
+    assert quality.GUARD_WORDS > quality.MIN_WORDS
+    got = {r.doc_id: r for r in quality.judge(documents(spark, rows)).collect()}
+    assert got[93].kept and not got[94].kept and not got[95].kept
+    assert got[93].class_distance > quality.MAX_CLASS_DISTANCE and not got[94].base_failed
+
+
 def test_js_distance(spark):
     row = spark.sql("SELECT array(1L, 0L, 3L) a, array(2L, 2L, 0L) b, array(0L, 0L, 0L) z")
     p, q = [0.25, 0, 0.75], [0.5, 0.5, 0]
