@@ -75,7 +75,8 @@ def novel_counts(annotated: DataFrame) -> DataFrame:
 def with_positions(annotated: DataFrame) -> DataFrame:
     """Add what windows and contexts need: the previous candidate and a count of non-probe lines.
 
-    Windows, contexts and counts all read the result, so it is written to the shared folder.
+    Windows, contexts and counts all read the result, so it is written to the shared folder. It needs no texts:
+    leave `line` out and give what reads texts the numbered lines instead.
     """
     is_candidate = F.col("keyword").isNotNull() | F.col("is_novel")
     return running(
@@ -106,7 +107,8 @@ def merge_windows(positioned: DataFrame, before: int = K.CONTEXT_BEFORE, after:
 def primary_target(windows: DataFrame) -> DataFrame:
     """One candidate per window: its first keyword hit, else its first line."""
     rank = F.struct(F.col("keyword").isNull(), F.col("line_no"))
-    facts = F.struct("line_no", "keyword", "template", "is_novel", "line", "probe", "solid_upto")
+    texts = [c for c in ("line",) if c in windows.columns]
+    facts = F.struct("line_no", "keyword", "template", "is_novel", *texts, "probe", "solid_upto")
     return (
         windows.groupBy(*SERIES, "window_id")
         .agg(F.min_by(facts, rank).alias("t"), F.count(F.lit(1)).alias("targets"))
@@ -114,8 +116,16 @@ def primary_target(windows: DataFrame) -> DataFrame:
     )
 
 
-def _neighbours(targets: DataFrame, positioned: DataFrame, offsets: list[int]) -> DataFrame:
-    """Non-probe lines at wanted distances from each target, found by equality on their running number."""
+def with_texts(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add `line` to rows that name a (case, service, line_no): texts are read for wanted lines only."""
+    return rows.join(lines.select(*SERIES, "line_no", "line"), [*SERIES, "line_no"])
+
+
+def _neighbours(targets: DataFrame, positioned: DataFrame, offsets: list[int], lines: DataFrame | None = None) -> DataFrame:
+    """Non-probe lines at wanted distances from each target, found by equality on their running number.
+
+    Their texts come from `lines` (case_id, service, line_no, line), else from `positioned` itself.
+    """
     # Number of the last solid line before the target; the target itself counts when it is no probe.
     base = F.col("solid_upto") - F.when(F.col("probe"), 0).otherwise(1)
     step = F.col("__k")
@@ -125,20 +135,28 @@ def _neighbours(targets: DataFrame, positioned: DataFrame, offsets: list[int]) -
         step.alias("k"),
         F.when(step < 0, base + 1 + step).otherwise(F.col("solid_upto") + step).alias("solid_upto"),
     )
-    solid = positioned.filter(~F.col("probe")).select(*SERIES, "solid_upto", "line_no", "line")
-    return wanted.join(solid, [*SERIES, "solid_upto"])
+    texts = ["line"] if lines is None else []
+    solid = positioned.filter(~F.col("probe")).select(*SERIES, "solid_upto", "line_no", *texts)
+    found = wanted.join(solid, [*SERIES, "solid_upto"]).drop("solid_upto")
+    return found if lines is None else with_texts(found, lines).select(*found.columns, "line")
 
 
-def context_before(targets: DataFrame, positioned: DataFrame, before: int = K.CONTEXT_BEFORE) -> DataFrame:
+def context_before(
+    targets: DataFrame, positioned: DataFrame, before: int = K.CONTEXT_BEFORE, lines: DataFrame | None = None
+) -> DataFrame:
     """Nearest non-probe lines before each target: rows (target_no, k, line_no, line), k = −1, −2, …"""
-    return _neighbours(targets, positioned, [-k for k in range(1, before + 1)]).drop("solid_upto")
+    return _neighbours(targets, positioned, [-k for k in range(1, before + 1)], lines)
 
 
 def context_after(
-    targets: DataFrame, positioned: DataFrame, after: int = K.CONTEXT_AFTER, extra: int = K.CONTINUATION_EXTRA
+    targets: DataFrame,
+    positioned: DataFrame,
+    after: int = K.CONTEXT_AFTER,
+    extra: int = K.CONTINUATION_EXTRA,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Non-probe lines after each target; beyond `after` only while they carry on a stack trace."""
-    rows = _neighbours(targets, positioned, list(range(1, after + extra + 1))).drop("solid_upto")
+    rows = _neighbours(targets, positioned, list(range(1, after + extra + 1)), lines)
     stop = rows.filter((F.col("k") > after) & ~text.is_continuation(F.col("line")))
     first_stop = stop.groupBy(*SERIES, "target_no").agg(F.min("k").alias("__stop"))
     return (
@@ -156,7 +174,7 @@ def context_plain(
     wanted = targets.select(
         *SERIES, F.col("line_no").alias("target_no"), F.explode(F.array(*[F.lit(o) for o in offsets])).alias("k")
     ).withColumn("line_no", F.col("target_no") + F.col("k"))
-    return wanted.join(lines.select(*SERIES, "line_no", "line"), [*SERIES, "line_no"])
+    return with_texts(wanted, lines)
 
 
 def snippets(
@@ -165,10 +183,11 @@ def snippets(
     before: int = K.CONTEXT_BEFORE,
     after: int = K.CONTEXT_AFTER,
     extra: int = K.CONTINUATION_EXTRA,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Snippet rows with both contexts and the text block; one lookup serves both contexts."""
     offsets = [-k for k in range(1, before + 1)] + list(range(1, after + extra + 1))
-    rows = _neighbours(targets, positioned, offsets)
+    rows = _neighbours(targets, positioned, offsets, lines)
     breaks = (F.col("k") > after) & ~text.is_continuation(F.col("line"))
     # At most before + after + extra lines per target, so the arrays are bounded.
     around = rows.groupBy(*SERIES, F.col("target_no").alias("line_no")).agg(

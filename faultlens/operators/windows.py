@@ -64,8 +64,13 @@ def as_lines(logs: DataFrame) -> DataFrame:
 
 
 def number_lines(logs: DataFrame) -> DataFrame:
-    """Line form and 0-based line number per (case, phase, service), in time order."""
-    return numbered(as_lines(logs), ["case_id", "phase", "service"], ["ts", "seq"], F.floor(F.col("ts") * 10), "line_no")
+    """Line form and 0-based line number per (case, phase, service), in time order.
+
+    Messages are written once, with what their numbers need; the line form is made when they are read back.
+    """
+    rows = logs.select("case_id", "phase", "service", "ts", "message", "seq")
+    found = numbered(rows, ["case_id", "phase", "service"], ["ts", "seq"], F.floor(F.col("ts") * 10), "line_no")
+    return found.withColumn("line", clock.format_line(F.col("ts"), F.col("message")))
 
 
 def time_buckets(

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from faultlens import constants as K
 from faultlens.operators import context, evaluation, fusion, logs, metrics, templates, traces, windows
@@ -73,6 +74,13 @@ class Investigation:
         return materialize(traces.with_error_facts(self.spans), "spans")
 
     # --- logs -------------------------------------------------------------------------------
+    @cached_property
+    def incident_lines(self) -> DataFrame:
+        """Numbered lines after the injection, the one stored copy of their texts."""
+        if self.template_source == "mined":
+            return self.lines.filter("phase = 'incident'")
+        return windows.number_lines(self.labelled_logs.filter("phase = 'incident'"))
+
     @cached_property
     def annotated(self) -> DataFrame:
         """Incident lines with template, novelty, keyword and probe facts."""
@@ -82,16 +90,14 @@ class Investigation:
             # The baseline only lends its signatures, so its lines need no numbers.
             calm = windows.as_lines(self.labelled_logs.filter("phase = 'baseline'"))
             known = logs.with_signatures(calm).select("case_id", "template")
-            incident = windows.number_lines(self.labelled_logs.filter("phase = 'incident'"))
-            judged = logs.flag_novel(logs.with_signatures(incident), known, self.saved_templates)
+            judged = logs.flag_novel(logs.with_signatures(self.incident_lines), known, self.saved_templates)
         return logs.annotate(judged)
 
     @cached_property
     def positioned(self) -> DataFrame:
-        """Annotated lines with running positions."""
-        kept = self.annotated.select(
-            "case_id", "service", "line_no", "line", "template", "is_novel", "keyword", "probe"
-        )
+        """Facts of annotated lines with running positions; no texts but the templates of candidates."""
+        wanted = F.when(F.col("keyword").isNotNull() | F.col("is_novel"), F.col("template"))
+        kept = self.annotated.select("case_id", "service", "line_no", wanted.alias("template"), "is_novel", "keyword", "probe")
         return logs.with_positions(kept)
 
     @cached_property
@@ -100,11 +106,12 @@ class Investigation:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return logs.primary_target(self.log_windows)
+        return logs.with_texts(logs.primary_target(self.log_windows), self.incident_lines)
 
     @cached_property
     def snippets(self) -> DataFrame:
-        return materialize(logs.snippets(self.targets, self.positioned, self.context_before, self.context_after), "snippets")
+        found = logs.snippets(self.targets, self.positioned, self.context_before, self.context_after, lines=self.incident_lines)
+        return materialize(found, "snippets")
 
     @cached_property
     def log_evidence(self) -> DataFrame:

@@ -164,13 +164,13 @@ def primary_target(spark, sf):
 @register("SELECT * FROM before_rows")
 def context_before(spark, sf):
     inv = investigation(spark, sf)
-    return L.context_before(inv.targets, inv.positioned)
+    return L.context_before(inv.targets, inv.positioned, lines=inv.incident_lines)
 
 
 @register("SELECT * FROM after_rows")
 def context_after(spark, sf):
     inv = investigation(spark, sf)
-    return L.context_after(inv.targets, inv.positioned)
+    return L.context_after(inv.targets, inv.positioned, lines=inv.incident_lines)
 
 
 @register(
@@ -180,7 +180,7 @@ def context_after(spark, sf):
 )
 def context_plain(spark, sf):
     inv = investigation(spark, sf)
-    return L.context_plain(inv.targets, inv.positioned)
+    return L.context_plain(inv.targets, inv.incident_lines)
 
 
 @register("SELECT case_id, service, line_number, keyword, template, is_novel, target_line, n_before, n_after, block FROM snips")

@@ -112,6 +112,21 @@ def test_budget_cuts_first_overflow_and_stops(spark):
     assert {r.service for r in L.budget_services(tight, snips).collect()} == {"s0", "s1"}
 
 
+def test_texts_looked_up_equal_texts_carried(spark):
+    lines = {"s": [f"{'error' if i % 9 == 4 else PROBE if i % 5 == 0 else '  at'} {i}" for i in range(90)]}
+    carried = L.with_positions(annotated(spark, lines))
+    slim = L.with_positions(annotated(spark, lines).drop("line"))
+    texts = annotated(spark, lines).select("case_id", "service", "line_no", "line")
+    assert "line" not in slim.columns
+    find = lambda p: L.primary_target(L.merge_windows(p, 1, 1))
+    a, b = find(carried), L.with_texts(find(slim), texts)
+    want, got = L.snippets(a, carried), L.snippets(b, slim, lines=texts)
+    assert want.columns == got.columns and sorted(want.collect()) == sorted(got.collect()) and got.count() > 5
+    for f in (L.context_before, L.context_after):
+        want, got = f(a, carried), f(b, slim, lines=texts)
+        assert want.columns == got.columns and sorted(want.collect()) == sorted(got.collect())
+
+
 def test_long_service_text_is_whole(spark):
     lines = [x for i in range(900) for x in (["error " + str(i)] + ["fill"] * 12)]
     positioned = L.with_positions(annotated(spark, {"s": lines}))
