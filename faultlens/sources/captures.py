@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions import clock, text
-from faultlens.sources.snapshots import TRACES, explode_traces
+from faultlens.sources import documents
+from faultlens.sources.snapshots import TRACE, TRACES, explode_traces
 
 MATRIX = "metric_name string, query string, data array<struct<metric:map<string,string>,values:array<array<string>>>>"
+LABELS = "metric_name string, query string, data array<struct<metric:map<string,string>,values:array<string>>>"
 SERVICE_LABELS = (
     "container_label_com_docker_compose_service", "service", "service_name", "app", "pod", "container", "name",
 )
@@ -30,16 +32,37 @@ def _documents(spark: SparkSession, glob: str, schema: str, multi_line: bool) ->
     return reader.json(glob).withColumn("case_id", _case())
 
 
-def read_promql_matrix(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
+def _pieces(spark: SparkSession, glob: str, end: str) -> DataFrame:
+    return spark.read.option("lineSep", end).text(glob).withColumn("case_id", _case())
+
+
+def read_promql_matrix(spark: SparkSession, glob: str, multi_line: bool = True, split: bool = False) -> DataFrame:
     """Points of range-query results: one row per value, named `service/metric` when a label tells the service.
 
-    A file is one document, or one document per line with `multi_line=False`.
+    A file is one document, or one document per line with `multi_line=False`. With `split` a file is one document whose
+    points are spread over tasks.
     """
-    docs = _documents(spark, glob, MATRIX, multi_line)
-    series = docs.select("case_id", "metric_name", "query", F.explode("data").alias("d"))
+    if split:
+        docs, arrays = documents.split_arrays(_pieces(spark, glob, "]"))
+        docs = docs.select("case_id", documents.DOC, F.from_json("value", LABELS).alias("d")).select("case_id", documents.DOC, "d.*")
+    else:
+        docs = _documents(spark, glob, MATRIX, multi_line)
+    keys = ["case_id", documents.DOC] if split else ["case_id"]
+    series = docs.select(*keys, "metric_name", "query", F.explode("data").alias("d"))
     service = F.coalesce(*[F.try_element_at("d.metric", F.lit(x)) for x in SERVICE_LABELS])
     name = F.when(service.isNull(), F.col("metric_name")).otherwise(F.concat(service, F.lit("/"), F.col("metric_name")))
-    points = series.select("case_id", name.alias("metric_name"), "query", F.posexplode("d.values").alias("seq", "p"))
+    if split:
+        point = lambda c: F.from_json(c, "array<string>")
+        marked = F.coalesce(F.get("d.values", F.lit(0)) == documents.MARK, F.lit(False))
+        named = series.select(*keys, name.alias("metric_name"), "query", F.col("d.values").alias("pts"), marked.alias("marked"))
+        number = lambda i: F.get("pts", F.lit(i)).try_cast("bigint")
+        runs = named.filter("marked").withColumns({documents.RUN: number(1), "start": number(2)})
+        spread = runs.join(arrays.withColumn("p", point("value")), [documents.DOC, documents.RUN])
+        spread = spread.withColumn("seq", F.col("place") - F.col("start"))
+        kept = named.filter("NOT marked").select("case_id", "metric_name", "query", F.posexplode("pts").alias("seq", "p"))
+        points = spread.select(*kept.columns).unionByName(kept.withColumn("p", point("p")))
+    else:
+        points = series.select("case_id", name.alias("metric_name"), "query", F.posexplode("d.values").alias("seq", "p"))
     return points.select(
         "case_id", "metric_name", "query",
         clock.parse_ts(F.get("p", F.lit(0))).alias("ts"),
@@ -48,11 +71,18 @@ def read_promql_matrix(spark: SparkSession, glob: str, multi_line: bool = True)
     ).filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
 
 
-def read_trace_json(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
-    """Spans of trace documents; a span captured by several requests is kept once."""
-    docs = _documents(spark, glob, f"data {TRACES}", multi_line)
-    traces = docs.select("case_id", F.explode("data").alias("t")).select("case_id", "t.*")
-    return explode_traces(traces).dropDuplicates(["case_id", "trace_id", "span_id"])
+def read_trace_json(spark: SparkSession, glob: str, multi_line: bool = True, split: bool = False) -> DataFrame:
+    """Spans of trace documents; a span captured by several requests is kept once.
+
+    A file is one document, or one document per line with `multi_line=False`. With `split` a file is one document whose
+    traces are spread over tasks.
+    """
+    if split:
+        objects = documents.split_objects(_pieces(spark, glob, "}"))
+        traces = objects.select("case_id", F.from_json("value", TRACE).alias("t"))
+    else:
+        traces = _documents(spark, glob, f"data {TRACES}", multi_line).select("case_id", F.explode("data").alias("t"))
+    return explode_traces(traces.select("case_id", "t.*")).dropDuplicates(["case_id", "trace_id", "span_id"])
 
 
 def read_container_logs(spark: SparkSession, glob: str, windows: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ SPAN = (
     f"tags:{S.TAGS},logs:{S.SPAN_LOGS},processID:string>"
 )
 METRICS = "array<struct<metric_name:string,query:string,data:array<struct<timestamp:double,value:double>>>>"
-TRACES = f"array<struct<traceID:string,spans:array<{SPAN}>,processes:map<string,struct<serviceName:string>>>>"
+TRACE = f"struct<traceID:string,spans:array<{SPAN}>,processes:map<string,struct<serviceName:string>>>"
+TRACES = f"array<{TRACE}>"
 TELEMETRY = f"struct<logs:map<string,array<string>>,metrics:{METRICS},traces:{TRACES}>"
 SNAPSHOT = (
     f"run_id string, inject_time double, ground_truth_service string, ground_truth_fault_type string, "

@@ -120,6 +120,24 @@ def read_metrics_json(spark, sf):
     return Me.read_metrics(spark, root, "jsonl", "partitioned").select("case_id", "metric_name", *rounded("ts", digits=3), "value")
 
 
+@register(
+    """SELECT case_id, metric_name, round(ts, 3) AS ts, value, row_number() OVER (PARTITION BY case_id, metric_name, seq // 4096 ORDER BY seq) - 1 AS place
+       FROM v_points"""
+)
+def read_metrics_split(spark, sf):
+    # Indented documents of at most 4096 points, each spread over tasks where it is larger than an input split.
+    point = F.array(F.col("ts").cast("decimal(20,6)").cast("string"), F.col("value").cast("string"))
+    d = investigation(spark, sf).raw_points.withColumn("shard", F.floor(F.col("seq") / 4096))
+    lists = d.groupBy("case_id", "shard", "metric_name").agg(F.sort_array(F.collect_list(F.struct("seq", point.alias("p")))).alias("pts"))
+    labels = F.array(F.col("metric_name"), F.lit("[]}"))
+    series = F.struct(labels.alias("labels"), F.col("pts.p").alias("values"), F.col("metric_name").alias("metric"))
+    docs = lists.groupBy("case_id", "shard").agg(F.to_json(F.collect_list(series), {"pretty": "true"}).alias("value"))
+    root = scratch_path(spark, "files")
+    docs.write.partitionBy("case_id", "shard").text(f"{root}/metrics.json")
+    got = Me.read_metrics(spark, root, "json-split", "partitioned")
+    return got.select("case_id", "metric_name", *rounded("ts", digits=3), "value", F.col("seq").alias("place"))
+
+
 SPAN_SQL = """SELECT case_id, trace_id, span_id, parent_id, service, operation, start_us, duration_us, CASE WHEN status = 504 THEN 'true' END AS error, CAST(status AS VARCHAR) AS code FROM v_spans"""
 
 
