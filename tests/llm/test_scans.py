@@ -106,13 +106,14 @@ def test_quality_rejects_what_is_far_from_its_language(spark):
     assert quality.judge(documents(spark, []).limit(0)).count() == 0
 
 
-def test_short_documents_are_judged_by_the_base_rules_alone(spark):
-    """Between the base minimum and the guard a document is kept however far its histograms lie; from the guard on not."""
+def test_every_document_that_passes_the_base_rules_is_judged(spark):
+    """From the base minimum on a document's histograms count; a caller's guard spares those below it."""
 
     far = lambda n: prose(92, n).upper()
-    rows = [(i, prose(i, 200)) for i in range(30)] + [(93, far(quality.GUARD_WORDS - 1)), (94, far(quality.GUARD_WORDS)), (95, far(quality.MIN_WORDS - 1))]
-    assert quality.GUARD_WORDS > quality.MIN_WORDS
+    rows = [(i, prose(i, 200)) for i in range(30)] + [(93, far(65)), (94, far(66)), (95, far(quality.MIN_WORDS - 1)), (96, far(quality.MIN_WORDS))]
     got = {r.doc_id: r for r in quality.judge(documents(spark, rows)).collect()}
+    assert not any(got[i].kept for i in (93, 94, 95, 96)) and not got[96].base_failed
+    got = {r.doc_id: r for r in quality.judge(documents(spark, rows), guard_words=66).collect()}
     assert got[93].kept and not got[94].kept and not got[95].kept
     assert got[93].class_distance > quality.MAX_CLASS_DISTANCE and not got[94].base_failed
 
