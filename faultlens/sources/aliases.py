@@ -78,7 +78,10 @@ def scan_columns(
         return in_bounds(df, [c for c, _ in at.get("time", [])], within), at
     cells = [f"__c{i}" for i in range(CSV_WIDTH)]
     options = {"header": "false", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE"}
-    raw = scan(spark, root, file_name, "csv", layout, ", ".join(f"{c} string" for c in cells), within, **options)
+    # One column more than is read: the parser then picks columns by place and fills a short row with nulls. Asked for
+    # all of them, it throws and catches an exception for every column that a row lacks.
+    declared = ", ".join(f"{c} string" for c in (*cells, "__spare"))
+    raw = scan(spark, root, file_name, "csv", layout, declared, within, columnPruning="true", **options).drop("__spare")
     raw = raw.withColumns({"__file": F.col("_metadata.file_path"), "__cells": F.array(*cells)}).drop(*cells)
     bare = F.transform("__cells", lambda c: F.lower(F.btrim(c, F.lit(" \t\ufeff"))))
     is_header = reduce(and_, [F.arrays_overlap(bare, F.array(*[F.lit(a.lower()) for a in wanted[k]])) for k in required])

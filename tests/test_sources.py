@@ -6,8 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from faultlens import constants as K
 from faultlens.operators import evaluation, windows
-from faultlens.sources import captures, cases, logs, metrics, results, snapshots, spans
+from faultlens.sources import aliases, captures, cases, logs, metrics, results, snapshots, spans
 
 T = 1680000000.0
 
@@ -218,3 +219,19 @@ def test_spans_of_differing_files(spark, tmp_path):
 def test_saved_templates(spark, tmp_path):
     results.write_templates(spark.createDataFrame([("x",), ("x",), ("y",)], "template string"), f"{tmp_path}/t")
     assert {r.template for r in results.read_templates(spark, f"{tmp_path}/t").collect()} == {"x", "y"}
+
+
+def test_csv_rows_are_short_for_no_more_columns_than_are_read(spark, tmp_path):
+    """The parser picks the columns that are read out of one more, so a row that lacks some costs no exception each."""
+    path = tmp_path / "c" / "traces.csv"
+    path.parent.mkdir()
+    path.write_text("time,traceId,spanId,service,duration_ms\n1705708800,t,s1,a,2\n1705708801,t,s2\n")
+    df, _ = aliases.scan_columns(spark, str(tmp_path), "traces.csv", "csv", "folders", K.SPAN_COLUMNS_CSV, ("time", "trace"))
+    assert "__spare" not in df.columns
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = df._jdf.queryExecution()
+    shown = plan.analyzed().toString(), plan.executedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "__spare" in shown[0] and "__spare" not in shown[1]
+    rows = spans.read_spans(spark, str(tmp_path), "csv").select("span_id", "service", "duration_us").collect()
+    assert sorted(map(tuple, rows)) == [("s1", "a", 2000), ("s2", "unknown_service", 0)]
