@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultlens import constants as K
 from faultlens.functions import naming
 from faultlens.plans import views
-from faultlens.plans.materialize import scratch_path
+from faultlens.plans.materialize import materialize, scratch_path
 from faultlens.streaming.buckets import stream_buckets as buckets
 from faultlens.streaming.dedup import stream_dedup as dedup
 from faultlens.streaming.runs import drain, latest, stream_cases as run_stream
@@ -17,11 +17,17 @@ from queries.windows import SQL as WINDOW_SQL
 QUERIES, SQL = {}, {}
 
 
+#: Rows of a landed file.
+FILE_ROWS = 1_000_000
+
+
 def _landed(spark, df, label, files=4):
-    """Write a DataFrame as several files and open it as a stream."""
+    """Write a DataFrame as several files, `files` at least and more where they would grow large, and open it as a stream of two batches."""
     path = scratch_path(spark, label)
+    df = materialize(df, f"{label}-rows")
+    files = max(files, -(-df.count() // FILE_ROWS))
     df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(path)
 
 
 def _signals(inv):
@@ -59,7 +65,8 @@ def stream_buckets_late(spark, sf):
     since = F.col("ts") - views.INJECT_SECONDS
     late = (since < LANDINGS[1]) & F.col("service").isin(*LATE_SERVICES)
     path, out, checkpoint = (scratch_path(spark, x) for x in ("signals", "buckets", "checkpoint"))
-    signals = _signals(inv)
+    # Written once: every landing would derive the whole telemetry again for its part of it.
+    signals = materialize(_signals(inv), "all-signals")
     parts = [signals.filter(~late & (since >= a) & (since < b)) for a, b in zip(LANDINGS, LANDINGS[1:])]
     clock = inv.cases.select("case_id", (F.col("inject_time") + 1e6).alias("ts"), F.lit("").alias("service"), F.lit("clock").alias("kind"))
     for k, part in enumerate([*parts, signals.filter(late).unionByName(clock)]):

@@ -4,6 +4,7 @@ from faultlens.streaming.buckets import stream_buckets
 from faultlens.streaming.dedup import stream_dedup
 from faultlens.sources.spans import SPANS
 from faultlens.streaming.runs import drain, latest, stream_cases
+from queries import streams
 
 SIGNALS = "case_id string, ts double, service string, kind string"
 T = 1680000000.0
@@ -61,3 +62,25 @@ def test_cases_are_scored_once_and_replaced_when_they_land_again(spark, tmp_path
     got = {r.case_id: (r.predicted_service, r.top1_hit) for r in latest(spark, out, ["case_id", "mode"]).collect()}
     assert got == {"a": ("x", True), "b": ("y", False)}
     assert spark.read.parquet(out).count() == 3
+
+
+def test_landed_files_stay_small_and_make_two_batches(spark, monkeypatch):
+    """Files grow in number with the rows, so that no task reads a fixed share of the whole."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    paths, write = [], streams.scratch_path
+    monkeypatch.setattr(streams, "scratch_path", lambda s, label: paths.append(write(s, label)) or paths[-1])
+    landed = streams._landed(spark, spark.range(95), "few")
+    files = spark.read.parquet(paths[0]).groupBy("_metadata.file_path").count().collect()
+    assert landed.isStreaming and len(files) == 10 and max(r["count"] for r in files) <= 11
+    streams._landed(spark, spark.range(5), "few")
+    assert spark.read.parquet(paths[1]).count() == 5
+
+
+def test_late_landings_take_their_parts_of_signals_written_once(spark, monkeypatch):
+    """The telemetry is derived once, not once for each landing."""
+    calls, stored = [], []
+    derive, store = streams._signals, streams.materialize
+    monkeypatch.setattr(streams, "_signals", lambda inv: calls.append(1) or derive(inv).limit(50))
+    monkeypatch.setattr(streams, "materialize", lambda df, label: stored.append(label) or store(df, label))
+    streams.stream_buckets_late(spark, "/root/testdata/sf0.001").count()
+    assert len(calls) == 1 and stored == ["all-signals"]
