@@ -70,8 +70,9 @@ class Investigation:
 
     @cached_property
     def slim_spans(self) -> DataFrame:
-        """Sliced spans with their error facts in place of tags and logs."""
-        return materialize(traces.with_error_facts(self.spans), "spans")
+        """Sliced spans with their error facts in place of tags and logs, which are not shuffled."""
+        slim = traces.with_error_facts(self.raw_spans)
+        return materialize(windows.label_trace_phase(slim, self.cases, self.baseline_seconds, self.incident_seconds), "spans")
 
     # --- logs -------------------------------------------------------------------------------
     @cached_property
@@ -87,8 +88,9 @@ class Investigation:
         if self.template_source == "mined":
             judged = templates.classify_lines(self.lines)
         else:
-            # The baseline only lends its signatures, so its lines need no numbers.
-            calm = windows.as_lines(self.labelled_logs.filter("phase = 'baseline'"))
+            # The baseline only lends its signatures, so its lines need no numbers. They are dealt out first: a raw
+            # file gives no more tasks than it has row groups, and signatures cost far more than reading.
+            calm = windows.as_lines(self.labelled_logs.filter("phase = 'baseline'").repartition("seq"))
             known = logs.with_signatures(calm).select("case_id", "template")
             judged = logs.flag_novel(logs.with_signatures(self.incident_lines), known, self.saved_templates)
         return logs.annotate(judged)

@@ -75,3 +75,16 @@ def test_raw_rows_meet_cases_without_a_shuffle(spark):
     cases = materialize(many.distinct(), "cases")
     plan = windows.label_phase(raw, cases)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_evidence_is_slim_and_dealt_out_before_its_costly_steps(spark, monkeypatch):
+    """Tags and logs of spans are not joined with phases; baseline lines get their signatures in tasks of their own."""
+    from faultlens.operators import windows
+    from queries import common
+
+    taken, label = [], windows.label_trace_phase
+    monkeypatch.setattr(windows, "label_trace_phase", lambda spans, *a: taken.append(spans.columns) or label(spans, *a))
+    common.forget()
+    inv = common.investigation(spark, "/root/testdata/sf0.001")
+    assert "is_error" in inv.slim_spans.columns and not {"tags", "logs"} & {*taken[0], *inv.slim_spans.columns}
+    assert "RepartitionByExpression [seq" in inv.annotated._jdf.queryExecution().analyzed().toString()
