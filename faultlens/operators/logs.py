@@ -33,7 +33,8 @@ def flag_novel(incident: DataFrame, baseline: DataFrame, saved: DataFrame | None
 
     A case without any baseline of its own is held against the `saved` templates instead, if given.
     """
-    own = baseline.select("case_id", "template").distinct().withColumn("__known", F.lit(True))
+    # Without a null the join infers no filter on templates, which would compute each signature once more, in the scan.
+    own = baseline.select("case_id", F.coalesce("template", F.lit("")).alias("template")).distinct().withColumn("__known", F.lit(True))
     judged = incident.join(own, ["case_id", "template"], "left")
     known = F.coalesce("__known", F.lit(False))
     if saved is not None:

@@ -88,3 +88,24 @@ def test_evidence_is_slim_and_dealt_out_before_its_costly_steps(spark, monkeypat
     inv = common.investigation(spark, "/root/testdata/sf0.001")
     assert "is_error" in inv.slim_spans.columns and not {"tags", "logs"} & {*taken[0], *inv.slim_spans.columns}
     assert "RepartitionByExpression [seq" in inv.annotated._jdf.queryExecution().analyzed().toString()
+
+
+def test_signatures_of_the_baseline_are_not_computed_in_the_scan(spark):
+    """A join on templates infers that they are not null, and that filter would run their signatures before the deal."""
+    from queries import common
+
+    common.forget()
+    plan = common.investigation(spark, "/root/testdata/sf0.001").annotated._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    dealt = next(i for i, line in enumerate(lines) if "RepartitionByExpression [seq" in line)
+    assert any("regexp_replace" in line for line in lines[:dealt])
+    assert not any("regexp_replace" in line for line in lines[dealt:])
+
+
+def test_lines_without_a_template_stay_as_they_were(spark):
+    from faultlens.operators import logs
+
+    schema = "case_id string, template string, line_no long"
+    now = spark.createDataFrame([("a", "x", 0), ("a", "", 1), ("a", None, 2), ("a", "y", 3)], schema)
+    calm = spark.createDataFrame([("a", "x", 0), ("a", None, 1)], schema)
+    assert {r.line_no: r.is_novel for r in logs.flag_novel(now, calm).collect()} == {0: False, 1: False, 2: None, 3: True}
