@@ -72,14 +72,19 @@ def callee_lists(edges: DataFrame) -> DataFrame:
 
 
 def mark_roots(links: DataFrame) -> DataFrame:
-    """Add `is_root`: no parent inside the trace, or the first span of a trace that has no such span."""
+    """Add `is_root`: no parent inside the trace, or the first span of a trace that has no such span.
+
+    Links are written once, and so are the traces without a root, which are few as a rule: Spark then knows their size
+    and does not shuffle the links for them.
+    """
+    links = materialize(links, "links")
     rootless = (
         links.groupBy(*TRACE)
         .agg(F.bool_or(~F.col("has_parent")).alias("any_root"), F.min("seq").alias("first_seq"))
         .filter(~F.col("any_root"))
         .select(*TRACE, "first_seq")
     )
-    return links.join(rootless, TRACE, "left").withColumn(
+    return links.join(materialize(rootless, "rootless"), TRACE, "left").withColumn(
         "is_root", ~F.col("has_parent") | F.coalesce(F.col("seq") == F.col("first_seq"), F.lit(False))
     ).drop("first_seq")
 
@@ -206,9 +211,10 @@ def span_facts(spans: DataFrame) -> DataFrame:
     Takes labelled spans of both phases with the columns of `with_error_facts`.
     """
     baseline, incident = spans.filter("phase = 'baseline'"), spans.filter("phase = 'incident'")
-    marked = materialize(mark_roots(link_spans(incident)), "links")
+    marked = mark_roots(link_spans(incident))
     depth = span_depth(marked)
-    timed = mark_bottlenecks(with_self_time(marked), baseline_p99(baseline))
+    # Written first, the limits are broadcast by their size; spans stay dealt by their ids for the join with depths.
+    timed = mark_bottlenecks(with_self_time(marked), materialize(baseline_p99(baseline), "p99"))
     facts = timed.join(depth, SPAN).withColumn("is_timeout_child", timeout_child())
     return materialize(facts, "span-facts")
 

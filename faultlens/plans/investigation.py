@@ -70,8 +70,11 @@ class Investigation:
 
     @cached_property
     def slim_spans(self) -> DataFrame:
-        """Sliced spans with their error facts in place of tags and logs, which are not shuffled."""
-        slim = traces.with_error_facts(self.raw_spans)
+        """Sliced spans with their error facts in place of tags and logs, which are not shuffled.
+
+        Slicing reads spans twice, for the start of each trace and for their rows, so they are written before.
+        """
+        slim = materialize(traces.with_error_facts(self.raw_spans), "slim-spans")
         return materialize(windows.label_trace_phase(slim, self.cases, self.baseline_seconds, self.incident_seconds), "spans")
 
     # --- logs -------------------------------------------------------------------------------

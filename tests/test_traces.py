@@ -80,3 +80,23 @@ def test_vote_beats_depth_and_lists_are_capped(spark):
 def test_repeated_span_id_counts_every_error(spark):
     _, _, ev = study(spark, [span("s1", None, "a", 10), span("s2", "s1", "b", 5, 500, seq=2), span("s2", "s1", "b", 7, 500, seq=3)])
     assert ev.error_spans == 2
+
+
+def test_links_are_not_shuffled_for_few_limits_or_rootless_traces(spark, monkeypatch):
+    plans, store = {}, T.materialize
+
+    def kept(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(T, "materialize", kept)
+    rows = [span("s1", None, "front", 30), span("s2", "s1", "check", 20), span("x1", "x2", "loop", 5, trace="t2"), span("x2", "x1", "loop", 5, trace="t2")]
+    marked = T.mark_roots(T.link_spans(T.with_error_facts(spark.createDataFrame(rows, SCHEMA))))
+    assert {r.span_id: r.is_root for r in marked.collect()} == {"s1": True, "s2": False, "x1": True, "x2": False}
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    plans.clear()
+    T.span_facts(T.with_error_facts(spark.createDataFrame(rows, SCHEMA)))
+    assert "p99" in plans and "hashpartitioning(case_id#" in plans["span-facts"]
+    dealt = [line for line in plans["span-facts"].splitlines() if "hashpartitioning" in line]
+    assert not any("service#" in line.split("hashpartitioning")[1].split("]")[0] for line in dealt)
