@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import prepare
+from faultlens.session import bound_tasks
 from faultlens.plans import views
 from faultlens.plans.investigation import Investigation
 
@@ -14,7 +15,7 @@ _known: dict[tuple[str, str, str], Investigation] = {}
 
 def investigation(spark: SparkSession, sf_dir: str, template_source: str = "signature") -> Investigation:
     """One investigation per session and data folder, so that evidence is computed once."""
-    prepare(spark)
+    _sized(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir, template_source)
     if key not in _known:
         _known[key] = Investigation(
@@ -42,6 +43,13 @@ def rounded_sql(*names: str, digits: int = 4) -> str:
     return ", ".join(f"round(CAST({n} AS DOUBLE), {digits}) AS {n}" for n in names)
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> SparkSession:
+    return bound_tasks(prepare(spark), *[f"{sf_dir}/{n}.parquet" for n in ("events", "orders", "lineitem")])
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
-    return views.table(spark, sf_dir, "events")
+    return views.table(_sized(spark, sf_dir), sf_dir, "events")
+
+
+def plain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.raw_spans(_sized(spark, sf_dir), sf_dir)

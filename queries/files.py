@@ -8,7 +8,7 @@ from faultlens.plans import views
 from faultlens.plans.materialize import scratch_path
 from faultlens.sources.bounds import bounds_of
 from faultlens.sources import captures, cases as Cs, logs as Lg, metrics as Me, results as R, snapshots as Sn, spans as Sp
-from queries.common import investigation, rounded
+from queries.common import investigation, plain_spans, rounded
 
 QUERIES, SQL = {}, {}
 
@@ -152,7 +152,7 @@ def _flat(spans):
 @register(SPAN_SQL)
 def read_spans(spark, sf):
     root = scratch_path(spark, "files")
-    raw = views.raw_spans(spark, sf).select(
+    raw = plain_spans(spark, sf).select(
         "case_id", F.col("start_us").alias("startTime"), F.col("trace_id").alias("traceID"), F.col("span_id").alias("spanID"),
         F.coalesce("parent_id", F.lit("None")).alias("parentSpanID"), F.col("service").alias("serviceName"),
         F.col("operation").alias("operationName"), F.col("duration_us").alias("duration"), F.col("status").alias("statusCode"),
@@ -170,7 +170,7 @@ def read_spans(spark, sf):
 @register(SPAN_SQL)
 def read_spans_csv(spark, sf):
     root = scratch_path(spark, "files")
-    raw = views.raw_spans(spark, sf).select(
+    raw = plain_spans(spark, sf).select(
         "case_id", F.col("start_us").alias("time"), "trace_id", "span_id", F.coalesce("parent_id", F.lit("none")).alias("parent_id"),
         "service", "operation", (F.col("duration_us") / 1000).alias("duration_ms"), F.col("status").alias("status"),
     )
@@ -244,7 +244,7 @@ def read_trace_json(spark, sf):
         F.col("start_us").alias("startTime"), F.col("duration_us").alias("duration"),
         F.concat(F.lit("p-"), "service").alias("processID"),
     )
-    d = views.raw_spans(spark, sf).withColumn("piece", F.floor(F.col("seq") / 8))
+    d = plain_spans(spark, sf).withColumn("piece", F.floor(F.col("seq") / 8))
     # Pieces of a trace land in several captures, and every fourth piece in two of them.
     d = d.withColumn("copy", F.explode(F.when(F.col("piece") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     docs = d.groupBy("case_id", "trace_id", "piece", "copy").agg(

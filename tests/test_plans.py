@@ -109,3 +109,29 @@ def test_lines_without_a_template_stay_as_they_were(spark):
     now = spark.createDataFrame([("a", "x", 0), ("a", "", 1), ("a", None, 2), ("a", "y", 3)], schema)
     calm = spark.createDataFrame([("a", "x", 0), ("a", None, 1)], schema)
     assert {r.line_no: r.is_novel for r in logs.flag_novel(now, calm).collect()} == {0: False, 1: False, 2: None, 3: True}
+
+
+def test_the_number_of_tasks_grows_with_the_input(spark, tmp_path, monkeypatch):
+    from faultlens import session
+
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part-0").write_bytes(b"x" * 1000)
+    (tmp_path / "b").write_bytes(b"x" * 500)
+    monkeypatch.setattr(session, "INPUT_BYTES_A_PARTITION", 100)
+    inputs = [str(tmp_path / "a"), str(tmp_path / "b")]
+    session.bound_tasks(spark, *inputs)
+    assert spark.conf.get(first) == "15" and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(16 << 20)
+    monkeypatch.setattr(session, "INPUT_BYTES_A_PARTITION", 1000)
+    session.bound_tasks(spark, *inputs)
+    assert spark.conf.get(first, None) is None
+
+
+def test_spans_are_read_with_bounded_tasks(spark, monkeypatch):
+    from queries import common
+    from queries.files import QUERIES
+
+    asked = []
+    monkeypatch.setattr(common, "bound_tasks", lambda session, *inputs: asked.append(inputs) or session)
+    QUERIES["read_spans"](spark, "/root/testdata/sf0.001")
+    assert len(asked[0]) == 3
