@@ -245,17 +245,17 @@ def read_trace_json(spark, sf):
         F.concat(F.lit("p-"), "service").alias("processID"),
     )
     d = plain_spans(spark, sf).withColumn("piece", F.floor(F.col("seq") / 8))
-    # Pieces of a trace land in several captures, and every fourth piece in two of them.
-    d = d.withColumn("copy", F.explode(F.when(F.col("piece") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    docs = d.groupBy("case_id", "trace_id", "piece", "copy").agg(
+    docs = d.groupBy("case_id", "trace_id", "piece").agg(
         F.collect_list(span).alias("spans"),
         F.map_from_entries(
             F.collect_set(F.struct(F.concat(F.lit("p-"), "service"), F.struct(F.col("service").alias("serviceName"))))
         ).alias("processes"),
     )
+    # Pieces of a trace land in several captures, and every fourth piece in two of them.
+    docs = docs.withColumn("copy", F.explode(F.when(F.col("piece") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     docs.select("case_id", F.array(F.struct(F.col("trace_id").alias("traceID"), "spans", "processes")).alias("data")).write.partitionBy(
         "case_id"
-    ).json(f"{root}/traces")
+    ).json(f"{root}/traces", compression="gzip")
     return captures.read_trace_json(spark, f"{root}/traces", multi_line=False).select(
         "case_id", "trace_id", "span_id", "parent_id", "service", "operation", "start_us", "duration_us"
     )

@@ -235,3 +235,16 @@ def test_csv_rows_are_short_for_no_more_columns_than_are_read(spark, tmp_path):
     assert "__spare" in shown[0] and "__spare" not in shown[1]
     rows = spans.read_spans(spark, str(tmp_path), "csv").select("span_id", "service", "duration_us").collect()
     assert sorted(map(tuple, rows)) == [("s1", "a", 2000), ("s2", "unknown_service", 0)]
+
+
+def test_trace_captures_are_stored_packed(spark, monkeypatch):
+    from queries import files
+
+    paths, path = [], files.scratch_path
+    monkeypatch.setattr(files, "scratch_path", lambda *a: paths.append(path(*a)) or paths[-1])
+    got = files.QUERIES["read_trace_json"](spark, "/root/testdata/sf0.001")
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(paths[0])
+    names = [r.path for r in stored.select("path").collect()]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    spans = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert got.count() == spans.count()
