@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens import constants as K
@@ -70,17 +70,19 @@ def _series(docs: DataFrame, *keys: str) -> DataFrame:
     return series.filter(F.col("pts").isNotNull() & (kind("pts") == "ARRAY"))
 
 
+def _once(*values: Column) -> list[Column]:
+    """Costly values as rows of a generator: filters on them stay above it, so they are not computed again below."""
+    return [F.inline(F.array(F.struct(*values)))]
+
+
 def _as_points(rows: DataFrame) -> DataFrame:
     """Rows (case_id, metric_name, seq, value), the value an array of instant and number, as points."""
+    text = F.try_variant_get(F.col("value"), "$[0]", "string").alias("t")
+    number = F.try_variant_get(F.col("value"), "$[1]", "double").alias("v")
     return (
-        rows.select(
-            "case_id",
-            "metric_name",
-            _query(F.col("metric_name")).alias("query"),
-            clock.parse_ts(F.try_variant_get(F.col("value"), "$[0]", "string")).alias("ts"),
-            F.try_variant_get(F.col("value"), "$[1]", "double").alias("v"),
-            F.col("seq").cast("bigint").alias("seq"),
-        )
+        rows.select("case_id", "metric_name", F.col("seq").cast("bigint").alias("seq"), *_once(text, number))
+        .select("case_id", "metric_name", "seq", "v", *_once(clock.parse_ts(F.col("t")).alias("ts")))
+        .select("case_id", "metric_name", _query(F.col("metric_name")).alias("query"), "ts", "v", "seq")
         .filter(F.col("ts").isNotNull() & F.col("v").isNotNull())
         .select("case_id", "metric_name", "query", "ts", F.col("v").alias("value"), "seq")
     )
@@ -105,7 +107,7 @@ def split_json_points(scan: DataFrame) -> DataFrame:
     runs = series.filter(marked).select(
         "case_id", documents.DOC, "metric_name", number("$[1]").alias(documents.RUN), number("$[2]").alias("start")
     )
-    parsed = points.withColumn("value", F.try_parse_json("value"))
+    parsed = points.select(documents.DOC, documents.RUN, "place", *_once(F.try_parse_json("value").alias("value")))
     spread = runs.join(parsed, [documents.DOC, documents.RUN]).withColumn("seq", F.col("place") - F.col("start"))
     return _as_points(spread).unionByName(_exploded(series.filter(~marked)))
 

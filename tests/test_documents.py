@@ -95,3 +95,14 @@ def test_a_document_is_read_by_several_tasks(spark, tmp_path, small_splits):
     assert raw.rdd.getNumPartitions() > 5
     got = metrics.read_metrics(spark, str(tmp_path), "json-split").orderBy("seq").collect()
     assert [(r.seq, r.ts - T, r.value) for r in got] == [(i, i, i) for i in range(500)]
+
+
+def test_points_are_parsed_once(spark):
+    """Filters on what a point holds stay above its parsing; pushed down they would parse every point once more."""
+    from faultlens.sources import metrics
+
+    docs = spark.createDataFrame([("c", '{"m": [["1705708800", "2.5"], ["1705708801", "bad"], ["never", "1"], [null, "1"]]}')], "case_id string, value string")
+    got = metrics.json_points(docs)
+    assert {(r.seq, r.ts, r.value) for r in got.collect()} == {(0, 1705708800.0, 2.5), (3, 0.0, 1.0)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Filter" in line and "$[1]" in line for line in plan)
