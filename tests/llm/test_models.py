@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from cases import documents, hard_texts, lined, prose
 from tokenizers import Tokenizer
 
-from faultlens.llm import lm, neardup, packing, queries
+from faultlens.llm import common, lm, neardup, packing, queries
 from faultlens.llm.common import texts
 
 
@@ -133,6 +134,85 @@ def test_scores_tell_word_order(spark):
     assert right >= 19 and got[200].n_words == 0 and got[201].mean_log_prob is None and got[200].log_prob == 0
 
 
+def spelled(rows, s):
+    """The corpus' words by the contract: (token of a word, count of a word, count of a token)."""
+    n = Counter(w for _, t in rows for w in (t or "").encode().split())
+    named = {w: i + 1 for i, w in enumerate(sorted(n, key=lambda w: (-n[w], w))[: s.named])}
+
+    def token(w):
+        kind = b"U" if w.isupper() else b"T" if w[:1].isupper() else b"l" if w[:1].islower() else b"o"
+        return named.get(w) or 1 + s.named + zlib.crc32(kind + w[-2:]) % s.looks
+
+    of_token = Counter()
+    for w, k in n.items():
+        of_token[token(w)] += k
+    return token, n, of_token
+
+
+def scored(text, flat, s, token, n, of_token):
+    """Sum over all words of log P(token | neighbours) + log P(word | token), place by place."""
+    v, h, words = s.size, s.hidden, (text or "").encode().split()
+    inner, rest = np.split(flat.astype(float), [2 * s.reach * v * h])
+    inner, bias, outer, prior = inner.reshape(-1, v, h), rest[:h], rest[h : h + h * v].reshape(h, v), rest[h + h * v :]
+    line = [0] * s.reach + [token(w) for w in words] + [0] * s.reach
+    total = 0.0
+    for i, w in enumerate(words):
+        near = line[i : i + s.reach] + line[i + s.reach + 1 : i + 2 * s.reach + 1]
+        logits = np.tanh(sum(inner[j][t] for j, t in enumerate(near)) + bias) @ outer + prior
+        total += logits[token(w)] - np.log(np.exp(logits).sum())
+        total += 0 if 1 <= token(w) <= s.named else np.log(max(n[w], 1) / (of_token[token(w)] + 1))
+    return total
+
+
+def test_scores_are_those_of_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 200)
+    s = lm.Settings(named=6, looks=5, hidden=4, masked=0.5)
+    shapes = "a A 1 B\u00e9 ABC AbC xY \u2014 \U0001f600 caf\u00e9 CAF\u00c9 9z Z9 zz".split()
+    rows = hard_texts() + [(20 + i, " ".join(random.Random(i).choices(shapes, k=60))) for i in range(40)]
+    docs = texts(documents(spark, rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # blocks end after a batch
+    assert lm.index(docs).select("block").distinct().count() > 3
+    known, counts = lm.vocabulary(docs, s)
+    tokens = lm.tokenize(docs, known, s)
+    flat = lm.train(tokens, counts, s)
+    corpus = spelled(rows, s)
+    new = [(1, "unseen a wörd A"), (2, rows[0][1])]
+    for asked in (rows, new):
+        got = lm.score(lm.tokenize(texts(documents(spark, asked)), known, s), flat, s).collect()
+        want = sorted((str(i), len((t or "").split()), scored(t, flat, s, *corpus)) for i, t in asked)
+        assert len(got) == len(want)
+        for r, (i, n, x) in zip(sorted(got, key=lambda r: (str(r.doc_id), r.n_words, r.log_prob)), want, strict=True):
+            assert (str(r.doc_id), r.n_words) == (i, n) and abs(r.log_prob - x) < 1e-4 * (1 + n)
+            assert (r.mean_log_prob is None) if n == 0 else abs(r.mean_log_prob - x / n) < 1e-3
+
+
+def test_scores_tell_documents_that_occur_twice(spark):
+    once, twice = [prose(100 + i, 80) for i in range(20)], [prose(200 + i, 80) for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(once + twice + twice)] + [(100 + i, "the same old words " * 30) for i in range(40)]
+    got = {r.doc_id: r.mean_log_prob for r in lm.train_and_score(documents(spark, rows)).collect()}
+    assert max(got[i] for i in range(20)) < min(got[i] for i in range(20, 60))
+
+
+@pytest.mark.parametrize("masked", [0.15, 0.5, 1.0])
+def test_every_place_is_a_target(spark, monkeypatch, masked):
+    places = []
+
+    def stored(df, label):
+        df = common.store(df, label)
+        if label == "lm-round":
+            places.append(df.selectExpr("sum(places)").first()[0])
+        return df
+
+    s = lm.Settings(named=6, looks=5, hidden=4, masked=masked, rounds=1)
+    docs = texts(documents(spark, hard_texts()))
+    known, counts = lm.vocabulary(docs, s)
+    tokens = common.store(lm.tokenize(docs, known, s), "test")
+    monkeypatch.setattr(lm, "store", stored)
+    lm.train(tokens, counts, s)
+    assert sum(places) == counts.sum() == sum(len((t or "").split()) for _, t in hard_texts())
+    assert all(abs(n / counts.sum() - masked) < 0.05 for n in places[: int(1 / masked)])
+
+
 def test_gradient():
     s = lm.Settings(named=5, looks=3, hidden=4)
     rng = np.random.default_rng(0)
